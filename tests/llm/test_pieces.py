@@ -34,12 +34,36 @@ def test_ids_and_decoding_equal_the_library(library):
         assert spans == text.encode()
 
 
+def surfaces(codec, text, ids, begins, ends):
+    """Sources of pieces; the library gives a character's bytes to the last of its byte pieces, so runs of byte pieces are joined."""
+    out, joined = [], False
+    for i, b, e in zip(ids[1:-1], begins[1:-1], ends[1:-1]):
+        byte = codec.types[i] == pieces.BYTE
+        if byte and joined:
+            out[-1] += text.encode()[b:e]
+        else:
+            out.append(text.encode()[b:e])
+        joined = byte
+    return [x.decode(errors="replace") for x in out]
+
+
+def library_surfaces(codec, library, text):
+    out, joined = [], False
+    for p in library.encode(text, return_type="proto").pieces:
+        byte = codec.types[p.id] == pieces.BYTE
+        if byte and joined:
+            out[-1] += p.surface
+        else:
+            out.append(p.surface)
+        joined = byte
+    return out
+
+
 def test_spans_equal_the_library(library):
     codec = pieces.PieceCodec(pieces.read_model(PATH))
     texts = HARD + random_texts(100)
-    for text, (_, begins, ends) in zip(texts, codec.encode(texts)):
-        theirs = [p.surface.encode() for p in library.encode(text, return_type="proto").pieces]
-        assert [text.encode()[b:e] for b, e in zip(begins[1:-1], ends[1:-1])] == theirs
+    for text, (ids, begins, ends) in zip(texts, codec.encode(texts)):
+        assert surfaces(codec, text, ids, begins, ends) == library_surfaces(codec, library, text)
 
 
 def test_decoding_any_ids(library):
@@ -70,8 +94,7 @@ def test_character_map(rule, squeeze, library):
         assert out.decode() == theirs.normalize(text)
         assert len(align) == len(out) + 1 and (np.diff(align) >= 0).all()
         assert ids.tolist() == theirs.encode(text, add_bos=True, add_eos=True)
-        surfaces = [p.surface for p in theirs.encode(text, return_type="proto").pieces]
-        assert [text.encode()[b:e].decode(errors="replace") for b, e in zip(begins[1:-1], ends[1:-1])] == surfaces
+        assert surfaces(codec, text, ids, begins, ends) == library_surfaces(codec, theirs, text)
 
 
 def test_query_and_operator(spark, library, tmp_path):

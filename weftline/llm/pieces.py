@@ -10,6 +10,7 @@ doc ids are each encoded, long texts are encoded whole, an empty table gives an
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -81,6 +82,7 @@ class PieceCodec:
         self.user_pattern = re.compile(b"|".join(map(re.escape, self.user_defined))) if self.user_defined else None
         self.types = [p.type for p in proto.pieces]
         self.surfaces = [int(p.piece[3:5], 16).to_bytes(1, "little") if p.type == BYTE else b"" if p.type == CONTROL else p.piece.encode() for p in proto.pieces]
+        self.control = np.array([t == CONTROL for t in self.types])
         self.lengths = np.array([len(x) for x in self.surfaces], np.int64)
         self.decoded = [UNKNOWN_SURFACE if t == UNKNOWN else x.replace(SPACE, b" ") if t != BYTE else x for x, t in zip(self.surfaces, self.types, strict=True)]
         ids = {p.piece: i for i, p in enumerate(proto.pieces)}
@@ -149,7 +151,7 @@ class PieceCodec:
             if new:
                 shown = new.replace(b" ", space)
                 out += shown
-                align += [start] * len(shown)
+                align += range(start, start + size) if shown == data[start : start + size] else [start] * len(shown)
                 after_space = new.endswith(b" ")
             done = start + size
             if not squeeze:
@@ -165,7 +167,11 @@ class PieceCodec:
         return bytes(out), np.array([*align, done], np.int64)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text its ids with the begin and end ids, and every id's span of source bytes."""
+        """For each text its ids with the begin and end ids, and every id's span of source bytes.
+
+        A byte that stands for itself points to its own place, so each byte piece of a character that no piece
+        covers spans that byte; all bytes of a replacement point to the start of what it replaced.
+        """
         i = 0
         while i < len(texts):
             j, chars = i, 0
@@ -191,16 +197,18 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """Text of ids; control ids give nothing, a lone byte that isn't UTF-8 gives U+FFFD."""
-        parts = [self.decoded[i] for i in ids if self.types[i] != CONTROL]
-        first = next((i for i in ids if self.types[i] != CONTROL), None)
-        if first is not None and self.spec.add_dummy_prefix and not self.suffix and self.surfaces[first].startswith(SPACE):
-            parts[0] = parts[0][1:]
-        try:
-            return b"".join(parts).decode()
-        except UnicodeDecodeError:
-            return self._decode(parts, [self.types[i] == BYTE for i in ids if self.types[i] != CONTROL])
+        control = self.control[np.asarray(ids, np.int64)]
+        parts = list(map(self.decoded.__getitem__, ids))
+        first = int(np.argmin(control)) if len(control) and not control.all() else None
+        if first is not None and self.spec.add_dummy_prefix and not self.suffix and self.surfaces[ids[first]].startswith(SPACE):
+            parts[first] = parts[first][1:]
+        if not control[1:-1].any():  # then no run of byte pieces is broken
+            with contextlib.suppress(UnicodeDecodeError):
+                return b"".join(parts).decode()
+        return self._decode(parts, [self.types[i] == BYTE for i in ids])
 
     def _decode(self, parts: list[bytes], is_byte: list[bool]) -> str:
+        """Runs of bytes that no other piece breaks are read as UTF-8, character by character."""
         out, run = [], b""
         for part, byte in [*zip(parts, is_byte, strict=True), (b"", False)]:
             if byte:
