@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pieces
+from weftline.llm import lines, pieces, simhash
 
-MODULES = (pieces,)
+MODULES = (pieces, simhash, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
