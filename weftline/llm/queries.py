@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import lines, pieces, simhash
+from weftline.llm import lines, pieces, simhash, topk
 
-MODULES = (pieces, simhash, lines)
+MODULES = (pieces, simhash, lines, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
