@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import lines, pieces, shards, simhash, topk
+from weftline.llm import lines, pieces, secrets, shards, simhash, topk, urls
 
-MODULES = (shards, pieces, simhash, lines, topk)
+MODULES = (shards, urls, secrets, pieces, simhash, lines, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
