@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import lines, pieces, secrets, shards, simhash, templates, topk, urls
+from weftline.llm import lines, pieces, quality, secrets, shards, simhash, templates, topk, urls
 
-MODULES = (shards, urls, secrets, templates, pieces, simhash, lines, topk)
+MODULES = (quality, shards, urls, secrets, templates, pieces, simhash, lines, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
