@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """``df``, through whose last projection nothing is pushed or merged. Without it Spark puts copies of what a column
+    is computed from into the filters and lambdas that use the column, and computes it again in each."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner", spread: Column | None = None) -> DataFrame:
     """Equi-join in which ``left`` may hold most of its rows under one key.
 

@@ -1,13 +1,13 @@
 """Benchmark decontamination by template canonicalisation (operator 5).
 
-A text's tokens become a template: numbers, names (capitalised inside a sentence) and units (after a number, or signs)
-are replaced by typed placeholders, other words are lower-cased. Windows of ``WINDOW`` template tokens are hash-joined with
-those of the benchmark, so a question whose numbers or names were exchanged still meets its source. Matches of one
+A text becomes a template: numbers, units (words after a number, or signs) and names (capitalised words inside a
+sentence) are replaced by typed placeholders, other words are lower-cased. Windows of ``WINDOW`` template tokens are
+hash-joined with those of the benchmark, so a question whose numbers or names were exchanged still meets its source. Matches of one
 document and item that lie at one offset form an alignment; it is a leak if it has enough windows and its slots agree:
 each value of the item stands for one value of the document throughout, and different names for different names.
 
-DataFrame functions only. A bitmap of the benchmark's hashes, of a fixed size, keeps windows that can't match from
-leaving their row; the join itself is exact. Items with fewer tokens than a window (but ``LEAST`` or more) match as a
+DataFrame functions only. Two bitmaps of bounded size, of the benchmark's token pairs and of its windows, keep texts and
+windows that can't match from going on; a window of the benchmark passes both, and the join itself is exact. Items with fewer tokens than a window (but ``LEAST`` or more) match as a
 whole; windows with fewer than half plain words aren't used, as tables of numbers would share them.
 
 Defined cases: null and empty texts and items have no windows; repeated rows of a document give one result, repeated
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import cut, fence, table
 from weftline.llm.secrets import let
 
 WINDOW = 8
@@ -30,96 +30,128 @@ LEAST = 5
 RUN = 6
 #: Benchmark windows up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Fixed list: words and signs that count as units after a number.
+#: Placeholders; a template holds no other digits.
+NUMBER, UNIT, NAME = "0", "1", "2"
+#: Fixed list: words that count as units after a number.
 UNITS = "mm cm m km g kg mg l ml s ms min h hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet mile miles pound pounds ounce ounces dollar dollars euro euros cent cents percent degrees meter meters metre metres gram grams liter liters litre litres watt watts volt volts".split()
-SIGNS = "%$€£°"
-TOKEN = rf"\p{{L}}+(?:['’]\p{{L}}+)*|\d+(?:[.,]\d+)*|[.!?\n{SIGNS}]"
+NUMBERS = r"\d+(?:[.,]\d+)*"
+UNIT_WORDS = r"(?<= 0 ) {0,2}(?i:" + "|".join(UNITS) + r")(?![\p{L}\d])|[%$€£°]"
+#: What stands before a name is tested after its capital, so that it is tested nowhere else.
+NAMES = r"""\p{Lu}(?<=[\p{L}\d,;:)'"’] {1,3}\p{Lu})[\p{Ll}'’]+(?![\p{L}\d])"""
+APART = r"[^\p{L}\d]+"
+
+
+def numbered(text: Column) -> Column:
+    return F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
+
+
+def measured(text: Column) -> Column:
+    """Units are sought only where there is a number or a sign."""
+    some = lambda t: F.contains(t, F.lit(f" {NUMBER} ")) | (F.length(F.translate(t, "%$€£°", "")) < F.length(t))
+    return let(numbered(text), lambda t: F.when(some(t), F.regexp_replace(t, UNIT_WORDS, f" {UNIT} ")).otherwise(t))
 
 
 def tokens(text: Column) -> Column:
-    """Array of (t, r): template token and the text's own, lower-cased, in order."""
-    ends = F.array(*[F.lit(x) for x in ".!?\n"])
-
-    def typed(all_: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            first, before = F.substring(x, 1, 1), F.get(all_, i - 1)
-            rest = F.substr(x, F.lit(2))
-            digit = lambda c: (F.substring(c, 1, 1) >= "0") & (F.substring(c, 1, 1) <= "9")
-            inside = F.coalesce(~F.array_contains(ends, before), F.lit(False))
-            kind = (
-                F.when(F.array_contains(ends, x), F.lit(None))
-                .when(digit(x), NUMBER)
-                .when(F.instr(F.lit(SIGNS), x) > 0, UNIT)
-                .when(F.coalesce(digit(before), F.lit(False)) & F.lower(x).isin(UNITS), UNIT)
-                .when((first != F.lower(first)) & (rest != "") & (rest == F.lower(rest)) & inside, NAME)
-                .otherwise(F.lower(x))
-            )
-            return F.struct(kind.alias("t"), F.lower(x).alias("r"))
-
-        return F.filter(F.transform(all_, one), lambda s: s["t"].isNotNull())
-
-    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), typed)
-
-
-def windows(toks: Column, size: int, keep: Callable[[Column], Column]) -> Column:
-    """Array of (at, size, h) of the windows whose hash ``keep`` passes."""
+    """Template tokens in order."""
+    named = F.regexp_replace(measured(text), NAMES, f" {NAME} ")
+    return F.array_remove(F.split(F.lower(named), APART), "")
+
+
+def values(text: Column) -> Column:
+    """What a text's placeholders stand for, lower-cased: arrays of numbers, units and names, in order."""
+    found = ((text, NUMBERS), (numbered(text), UNIT_WORDS), (measured(text), NAMES))
+    return F.array(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda x: F.trim(F.lower(x))) for t, p in found])
+
+
+def own_values(toks: Column, found: Column, at: Column, size: Column) -> Column:
+    """The tokens of a window, each placeholder's value in its place."""
+
+    def counted(before: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            def value(kind: int, mark: str) -> Column:
+                earlier = F.size(F.filter(F.slice(toks, at + 1, i), lambda x: x == mark))
+                return F.get(found[kind], before[kind] + earlier)
 
-    def hashed(hashes: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(hashes) - size)
-        found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashes, i + 1, size)).alias("h")))
-        return F.filter(found, lambda s: keep(s["h"]))
+            return F.when(t == NUMBER, value(0, NUMBER)).when(t == UNIT, value(1, UNIT)).when(t == NAME, value(2, NAME)).otherwise(t)
 
+        return F.transform(F.slice(toks, at + 1, size), one)
+
+    ahead = F.slice(toks, F.lit(1), at)
+    many = lambda mark: F.size(F.filter(ahead, lambda x: x == F.lit(mark)))
+    return let(F.array(many(NUMBER), many(UNIT), many(NAME)), counted)
+
+
+def hashes(toks: Column) -> Column:
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+def windows(hashed: Column, size: int, keep: Callable[[Column], Column]) -> Column:
+    """Array of (at, size, h) of the windows whose hash ``keep`` passes."""
+    at = F.sequence(F.lit(0), F.size(hashed) - size)
+    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashed, i + 1, size)).alias("h")))
     none = F.array().cast("array<struct<at:int,size:int,h:bigint>>")
-    return F.when(F.size(toks) >= size, let(F.transform(toks, lambda s: F.xxhash64(s["t"])), hashed)).otherwise(none)
+    return F.when(F.size(hashed) >= size, F.filter(found, lambda s: keep(s["h"]))).otherwise(none)
+
+
+def pair_hashes(hashed: Column) -> Column:
+    n = F.size(hashed) - 1
+    return F.zip_with(F.slice(hashed, 1, n), F.slice(hashed, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
 def every(h: Column) -> Column:
     return F.lit(True)
 
 
-def bitmap_of(bench: DataFrame, rows: int) -> Callable[[Column], Column]:
-    """A test that all hashes of ``bench`` pass: a bitmap of 2**16 to 2**22 bits, by the number of windows."""
-    bits = min(22, max(16, (16 * rows).bit_length()))
+def bitmap_of(rows: DataFrame, count: int) -> Callable[[Column], Column]:
+    """A test that all values of ``h`` pass: a bitmap of 2**16 to 2**22 bits, by their number."""
+    bits = min(22, max(16, (16 * count).bit_length()))
     place = F.pmod("h", F.lit(1 << bits)).cast("int")
-    words = bench.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
+    words = rows.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
     found = {r.word: r.bits for r in words.collect()}  # at most 2**16 words
     literal = F.expr("cast(split('" + ",".join(str(found.get(i, 0)) for i in range(1 << (bits - 6))) + "', ',') as array<bigint>)")
 
     def test(h: Column) -> Column:
         p = F.pmod(h, F.lit(1 << bits)).cast("int")
-        return F.getbit(F.get(literal, (p / 64).cast("int")), p % 64) == 1
+        return F.getbit(F.get(literal, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
 
     return test
 
 
 def benchmark_windows(items: DataFrame, item: str, text: str) -> DataFrame:
-    """item_id, at, size, h, toks, total: the windows with enough plain words; items of fewer tokens as a whole."""
-    toks = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("all"))
+    """item_id, at, size, h, toks, theirs, pairs, total: the windows with enough plain words; short items as a whole."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = fence(items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(body).alias("all"), values(body).alias("values")))
     n = F.size("all")
-    whole = F.array(F.struct(F.lit(0).alias("at"), n.alias("size"), F.xxhash64(F.transform("all", lambda s: F.xxhash64(s["t"]))).alias("h")))
-    found = F.when(n >= WINDOW, windows(F.col("all"), WINDOW, every)).when(n >= LEAST, whole).otherwise(F.array().cast("array<struct<at:int,size:int,h:bigint>>"))
-    rows = toks.select("item_id", "all", F.explode(found).alias("w")).select("item_id", "w.*", F.slice("all", F.col("w.at") + 1, F.col("w.size")).alias("toks"), F.when(n < WINDOW, 1).otherwise(n - WINDOW + 1).alias("total"))
-    plain = F.size(F.filter("toks", lambda s: ~s["t"].isin(NUMBER, NAME, UNIT)))
-    return rows.where(2 * plain >= F.col("size"))
+    whole = lambda h: F.array(F.struct(F.lit(0).alias("at"), n.alias("size"), F.xxhash64(h).alias("h")))
+    none = F.array().cast("array<struct<at:int,size:int,h:bigint>>")
+    found = let(hashes(F.col("all")), lambda h: F.when(n >= WINDOW, windows(h, WINDOW, every)).when(n >= LEAST, whole(h)).otherwise(none))
+    rows = fence(rows.select("item_id", "all", "values", found.alias("w"))).select("item_id", "all", "values", F.explode("w").alias("w")).select("item_id", "all", "values", "w.*")
+    toks = F.slice("all", F.col("at") + 1, F.col("size"))
+    plain = F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
+    rows = rows.where(2 * plain >= F.col("size"))
+    return rows.select("item_id", "at", "size", "h", toks.alias("toks"), own_values(F.col("all"), F.col("values"), F.col("at"), F.col("size")).alias("theirs"), let(hashes(toks), pair_hashes).alias("pairs"), F.when(n < WINDOW, 1).otherwise(n - WINDOW + 1).alias("total"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """ident, item_id, kind (verbatim or reparameterised), windows, slots, changed, start, stop (token places)."""
-    bench = benchmark_windows(items, item, item_text)
+    bench = cut(benchmark_windows(items, item, item_text))
     summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    test = bitmap_of(bench, summary.n)
-    toks = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    arrays = [windows(F.col("toks"), size, test) for size in sorted(summary.sizes)] or [F.array().cast("array<struct<at:int,size:int,h:bigint>>")]
-    hits = toks.withColumn("hits", F.concat(*arrays)).where("size(hits) > 0")
-    hits = hits.select("id", "toks", F.explode("hits").alias("w")).select("id", "w.*", F.slice("toks", F.col("w.at") + 1, F.col("w.size")).alias("own"))
-    small = F.broadcast(bench) if summary.n <= BROADCAST_ROWS else bench
-    small = small.select("h", "size", "item_id", F.col("at").alias("item_at"), F.col("toks").alias("theirs"), "total")
-    met = hits.join(small, ["h", "size"])
-    pairs = F.zip_with("own", "theirs", lambda a, b: F.struct(a["t"].alias("t"), b["t"].alias("u"), b["r"].alias("item"), a["r"].alias("doc")))
-    met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", "size", "total", pairs.alias("pairs")).where(F.forall("pairs", lambda p: p["t"] == p["u"]))
-    slots = F.filter("pairs", lambda p: p["t"].isin(NUMBER, NAME, UNIT))
-    met = met.withColumn("slots", F.transform(slots, lambda p: F.struct(p["t"].alias("t"), p["item"].alias("item"), p["doc"].alias("doc"))))
+    least = min(summary.sizes, default=WINDOW)
+    test, pair_test = bitmap_of(bench, summary.n), bitmap_of(bench.select(F.explode("pairs").alias("h")), 2 * summary.n)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = fence(docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), body.alias("body"), tokens(body).alias("toks")))
+    rows = fence(rows.withColumn("hashed", hashes(F.col("toks"))))
+    # A text goes on if all the token pairs of some window may be the benchmark's.
+    marks = F.array_join(F.transform(pair_hashes(F.col("hashed")), lambda h: F.when(pair_test(h), "1").otherwise("0")), "")
+    near = fence(rows.where((F.size("toks") >= least) & F.contains(marks, F.lit("1" * (least - 1)))))
+    arrays = [windows(F.col("hashed"), size, test) for size in sorted(summary.sizes)] or [F.array().cast("array<struct<at:int,size:int,h:bigint>>")]
+    hits = near.select("id", "toks", values(F.col("body")).alias("values"), F.concat(*arrays).alias("hits"))
+    hits = fence(hits).select("id", "toks", "values", F.explode("hits").alias("w")).select("id", "toks", "values", "w.*")
+    hits = hits.select("id", "at", "size", "h", F.slice("toks", F.col("at") + 1, F.col("size")).alias("own_toks"), own_values(F.col("toks"), F.col("values"), F.col("at"), F.col("size")).alias("own"))
+    theirs = bench.select("h", "size", "item_id", F.col("at").alias("item_at"), "toks", "theirs", "total")
+    met = hits.join(F.broadcast(theirs) if summary.n <= BROADCAST_ROWS else theirs, ["h", "size"]).where("own_toks = toks")
+    slots = F.filter(F.arrays_zip(F.col("toks").alias("t"), F.col("theirs").alias("item"), F.col("own").alias("doc")), lambda p: p["t"].isin(NUMBER, NAME, UNIT))
+    met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", "size", "total", slots.alias("slots"))
     lined = met.groupBy("id", "item_id", "delta").agg(
         F.count_distinct("at").alias("windows"), F.max("total").alias("total"), F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
