@@ -43,7 +43,7 @@ def closed(sets: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     small = []
     for size in sizes:
         for k in (k for k in sizes if k < size):
-            subsets = F.array(*[F.array(*[F.col("items")[i] for i in c]) for c in combinations(range(size), k)])
+            subsets = F.array(*[F.array(*[F.get("items", F.lit(i)) for i in c]) for c in combinations(range(size), k)])
             small.append(sets.where(F.size("items") == size).select(F.explode(subsets).alias("items"), "omes"))
     out = sets
     for s in small:

@@ -38,7 +38,7 @@ def window_combinations(genes: DataFrame, k: int, w: int = 2) -> DataFrame:
     whole = found.where(~F.exists("items", lambda x: x.isNull())).select("ome", F.array_sort("items").alias("items"))
     # After sorting, equal neighbours are the repeats.
     for i in range(k - 1):
-        whole = whole.where(F.col("items")[i] != F.col("items")[i + 1])
+        whole = whole.where(F.get("items", F.lit(i)) != F.get("items", F.lit(i + 1)))
     return whole.distinct()
 
 

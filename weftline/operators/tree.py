@@ -8,19 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.frames import once
+
 
 def closure(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     """(anc, node, up): every node with each of its ancestors, itself included, and the distance between them.
 
     A join a level; the loop ends at the tree's height, so this suits trees, not chains of thousands of nodes.
     """
+    tree = once(tree)
     step = tree.select("node", F.col("node").alias("anc"), F.lit(0.0).alias("up"))
     parents = tree.where("parent is not null").select(F.col("node").alias("anc"), "parent", "length")
     out = step
     for _ in range(max_depth):
-        step = step.join(parents, "anc").select("node", F.col("parent").alias("anc"), (F.col("up") + F.col("length")).alias("up"))
+        step = once(step.join(parents, "anc").select("node", F.col("parent").alias("anc"), (F.col("up") + F.col("length")).alias("up")))
         if step.isEmpty():
-            return out
+            return once(out)
         out = out.unionAll(step)
     raise ValueError(f"the tree is deeper than {max_depth}, or has a cycle")
 
@@ -39,12 +42,12 @@ def node_stats(tree: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     far = arms.withColumn("r", F.row_number().over(Window.partitionBy("anc").orderBy(F.desc("arm")))).where("r <= 2").groupBy("anc").agg(F.sum("arm").alias("across"))
     widest = pairs.join(far.withColumnRenamed("anc", "node"), "node").groupBy("anc").agg(F.max("across").alias("max_tip_dist"))
     out = tree.join(sums.drop("reach").withColumnRenamed("anc", "node"), "node").join(depth, "node").join(widest.withColumnRenamed("anc", "node"), "node", "left")
-    return out.withColumn("max_tip_dist", F.coalesce("max_tip_dist", F.lit(0.0)))
+    return once(out.withColumn("max_tip_dist", F.coalesce("max_tip_dist", F.lit(0.0))))
 
 
 def set_nodes(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """set_id, size, and for every ancestor of a member: node, c (members below), and the node's statistics."""
-    members = sets.select("set_id", F.explode(F.array_distinct("omes")).alias("tip")).join(stats.where("tip is not null").select("node", "tip"), "tip").select("set_id", "node")
+    members = once(sets.select("set_id", F.explode(F.array_distinct("omes")).alias("tip")).join(stats.where("tip is not null").select("node", "tip"), "tip").select("set_id", "node"))
     counts = members.join(pairs.select("node", "anc"), "node").groupBy("set_id", "anc").agg(F.count("*").alias("c"))
     sizes = members.groupBy("set_id").agg(F.count("*").alias("size"))
     return counts.withColumnRenamed("anc", "node").join(stats, "node").join(sizes, "set_id")
@@ -57,7 +60,7 @@ def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFr
     branch, or what lies strictly below an inner node). pds: the share of the ancestor's clade that these leave out.
     Genomes that the tree lacks don't count; a set without any has no row.
     """
-    rows = set_nodes(sets, stats, pairs)
+    rows = once(set_nodes(sets, stats, pairs))
     top = rows.where("c = size").groupBy("set_id").agg(F.max_by("node", "depth").alias("mrca"))
     rows = rows.join(top, "set_id").withColumn("full", F.col("c") == F.col("n_tips"))
     up = rows.select("set_id", F.col("node").alias("parent"), F.col("full").alias("parent_full"))
