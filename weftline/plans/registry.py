@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import sets_and_trees
+from weftline.plans import sets_and_trees, statistics_and_networks, thresholds_and_loci
 
-MODULES = (sets_and_trees,)
+MODULES = (sets_and_trees, thresholds_and_loci, statistics_and_networks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
