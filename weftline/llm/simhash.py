@@ -103,13 +103,15 @@ def segments(column: str, words: int, width: int, count: int):
     return F.array(*keys)
 
 
-def near_components(nodes: DataFrame, width: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def near_components(nodes: DataFrame, width: int, most: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the nodes that link to others.
 
-    nodes: id, keys (segment keys). Every node whose key lies within one bit of another's is a candidate pair
-    (a, b) with a > b; ``verify`` keeps the pairs that link.
+    nodes: id, keys (segment keys), mark (64 bits). Every node whose key lies within one bit of another's, and whose
+    mark within ``most`` bits, is a candidate pair (a, b) with a > b; ``verify`` keeps the pairs that link. Marks are
+    compared in the join itself, so that members of a crowded bucket that are no candidates leave no rows.
     """
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    close = F.bit_count(F.col("mark").bitwiseXOR(F.col("other_mark"))) <= most
 
     def entries(df: DataFrame) -> DataFrame:
         return df.select(*[c for c in df.columns if c != "keys"], F.explode("keys").alias("key"))
@@ -118,16 +120,21 @@ def near_components(nodes: DataFrame, width: int, verify: Callable[[DataFrame],
         mask = entries(df).withColumn("mask", F.explode(ball))
         return mask.withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
 
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
+        return cut(verify(pairs) if verify else pairs)
+
     # A written table, so that both sides of the join are plain exchanges and AQE can split a hot key.
-    heads = cut(entries(nodes).groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")))
-    pairs = probes(nodes).join(heads.select("key", "head"), "key").where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    first = cut(verify(pairs))
+    heads = entries(nodes).groupBy("key").agg(F.min(F.struct("id", "mark")).alias("h"), F.count("*").alias("members"))
+    heads = cut(heads.select("key", F.col("h.id").alias("head"), F.col("h.mark").alias("other_mark"), "members"))
+    met = probes(nodes).join(heads.drop("members"), "key").where((F.col("id") > F.col("head")) & close)
+    first = links(met.select(F.col("id").alias("a"), F.col("head").alias("b")))
     named = nodes.join(star_components(first).withColumnRenamed("node", "id"), "id", "left")
-    named = cut(named.select("id", "keys", F.coalesce("root", "id").alias("part")))
-    rest = entries(named).join(heads.where("members > 1"), "key").where("id > head")
-    rest = rest.select("key", F.col("id").alias("b"), F.col("part").alias("other"))
-    pairs = probes(named).join(rest, "key").where("id > b and part <> other").select(F.col("id").alias("a"), "b").distinct()
-    second = cut(verify(pairs))
+    named = cut(named.select("id", "keys", "mark", F.coalesce("root", "id").alias("part")))
+    rest = entries(named).join(heads.where("members > 1").select("key", "head"), "key").where("id > head")
+    rest = rest.select("key", F.col("id").alias("b"), F.col("mark").alias("other_mark"), F.col("part").alias("other"))
+    met = probes(named).join(rest, "key").where((F.col("id") > F.col("b")) & (F.col("part") != F.col("other")) & close)
+    second = links(met.select(F.col("id").alias("a"), "b"))
     return star_components(first.select("a", "b").unionAll(second.select("a", "b")))
 
 
@@ -138,8 +145,8 @@ def simhash_components(df: DataFrame, shingle: int = 3, ident: str = "doc_id", t
     """
     found = cut(with_fingerprints(df, {"words": (shingle, False, 1)}, ident, text).select(ident, F.col("words")[0].alias("fp")))
     distinct = cut(found.groupBy("fp").agg(F.min(ident).alias("least")))
-    nodes = distinct.select(F.col("fp").alias("id"), F.array("fp").alias("w")).select("id", segments("w", 1, 32, 2).alias("keys"))
-    linked = near_components(nodes, 32, lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
+    nodes = distinct.select(F.col("fp").alias("id"), F.array("fp").alias("w")).select("id", segments("w", 1, 32, 2).alias("keys"), F.col("id").alias("mark"))
+    linked = near_components(nodes, 32, 3)  # the mark is the whole fingerprint: its distance needs no other check
     roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = cut(roots)
     ids = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
@@ -170,7 +177,9 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
         two = one.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
         return two.where(distance("fa", "fb", words) <= most).select("a", "b")
 
-    linked = near_components(nodes.select("id", "keys"), width, verify)
+    # The first word of the complete fingerprint is the mark, with room for four standard deviations.
+    room = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+    linked = near_components(nodes.select("id", "keys", F.col("full")[0].alias("mark")), width, room, verify)
     stay = nodes.select("id").join(linked.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
     kept = df.join(stay.withColumnRenamed("id", ident), ident, "left_semi").unionAll(df.where(F.col(ident).isNull()))
     counts = nodes.agg(F.sum("rows"), F.sum("ids")).first()
