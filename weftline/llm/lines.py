@@ -76,20 +76,20 @@ def repeated(own: list[int], other: list[int], delta: int, anchors: list[int]) -
 
 
 def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, gone: the places of the lines that later repeated runs cover; only documents with such."""
+    """id, gone, words: the places of the lines that later repeated runs cover, and their words; only documents with such."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.column(text):
                 hashes, counts, places = line_hashes(x.as_py() or "")
-                rows.append((hashes, places, *winnow(hashes, counts, min_words)))
-            lists = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "hashes", "places", "marks", "keys"])
+                rows.append((hashes, places, counts, *winnow(hashes, counts, min_words)))
+            lists = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "hashes", "places", "counts", "marks", "keys"])
 
     read = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), text)
     kind = dict(read.dtypes)["id"]
-    lines = cut(read.mapInArrow(scan, f"id {kind}, hashes array<bigint>, places array<int>, marks array<int>, keys array<bigint>").where("size(marks) > 0"))
+    lines = cut(read.mapInArrow(scan, f"id {kind}, hashes array<bigint>, places array<int>, counts array<int>, marks array<int>, keys array<bigint>").where("size(marks) > 0"))
     marks = lines.select("id", F.explode(F.arrays_zip("marks", "keys")).alias("m")).select("id", F.col("m.marks").alias("at"), F.col("m.keys").alias("key"))
     first = marks.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("key", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
@@ -102,13 +102,14 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("hashes", "places", "delta", "anchors", "other"))
-            out = [[places[i] for i in repeated(own, other, delta, anchors)] for own, places, delta, anchors, other in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32()))], ["id", "gone"])
+            columns = (batch.column(c).to_pylist() for c in ("hashes", "places", "counts", "delta", "anchors", "other"))
+            out = [[{"at": places[i], "words": counts[i]} for i in repeated(own, other, delta, anchors)] for own, places, counts, delta, anchors, other in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32())])))], ["id", "runs"])
 
-    both = pairs.join(lines.select("id", "hashes", "places"), "id").select("id", "hashes", "places", "delta", "anchors", "other")
-    found = both.mapInArrow(extend, f"id {kind}, gone array<int>")
-    return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    both = pairs.join(lines.select("id", "hashes", "places", "counts"), "id").select("id", "hashes", "places", "counts", "delta", "anchors", "other")
+    found = both.mapInArrow(extend, f"id {kind}, runs array<struct<at:int,words:int>>")
+    found = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return found.select("id", F.col("runs.at").alias("gone"), F.aggregate("runs.words", F.lit(0), lambda s, x: s + x).alias("words"))
 
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,21 +117,17 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_id"
 
     n_chars, where there is one, becomes the new text's length.
     """
-    gone = repeated_lines(df, min_words, ident, text).select(F.col("id").alias(ident), F.col("gone").alias("_gone"))
+    gone = repeated_lines(df, min_words, ident, text).select(F.col("id").alias(ident), F.col("gone").alias("_gone"), F.col("words").alias("_words"))
     split = F.split(F.col(text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone")
-    picked = lambda which: F.array_join(F.transform(which, lambda i: F.get(split, i)), "\n")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     changed = F.col("_gone").isNotNull() & F.col(text).isNotNull()
-    words = F.size(F.filter(F.split(picked(F.col("_gone")), r"\s+"), lambda x: x != ""))
-    out = {
-        "removed_lines": F.when(changed, F.size("_gone")).otherwise(0),
-        "removed_words": F.when(changed, words).otherwise(0),
-        text: F.when(changed, picked(stay)).otherwise(F.col(text)),
-    }
+    joined = df.drop("_gone", "_words", "_kept", "removed_lines", "removed_words").join(gone, ident, "left").withColumn("_kept", F.when(changed, kept))
+    new = F.col("_kept").isNotNull()
+    out = {"removed_lines": F.when(new, F.size("_gone")).otherwise(0), "removed_words": F.when(new, F.col("_words")).otherwise(0)}
     if "n_chars" in df.columns:
-        out["n_chars"] = F.when(changed, F.length(picked(stay))).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
-    joined = df.drop("_gone", "removed_lines", "removed_words").join(gone, ident, "left")
-    return joined.withColumns(out).drop("_gone")
+        out["n_chars"] = F.when(new, F.length("_kept")).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType)
+    return joined.withColumns(out).withColumn(text, F.coalesce("_kept", text)).drop("_gone", "_words", "_kept")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
