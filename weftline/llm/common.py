@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.frames import once as cut
+from weftline.functions.frames import shared_folder
+from weftline.operators.graph import components as star_components
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder: the session's ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+__all__ = ["cut", "fence", "salted_join", "shared_folder", "star_components", "table"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fence(df: DataFrame) -> DataFrame:
@@ -45,37 +31,3 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     part = F.pmod(spread if spread is not None else F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     parts = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     return left.withColumn("_salt", part).join(right.withColumn("_salt", parts), [*keys, "_salt"], how).drop("_salt")
-
-
-def star_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node that an edge touches; root: the smallest node reachable.
-
-    Alternates large-star and small-star steps (each a grouped minimum and a join on the node) until the edges
-    stop changing. Each round is written to the checkpoint folder, so a lost executor costs a round at most and
-    lineage stays short. Nulls and self-links are dropped. The driver sees one (count, checksum) row a round.
-    """
-
-    def links(df: DataFrame) -> DataFrame:
-        return df.where("u > v").distinct()
-
-    def large(df: DataFrame) -> DataFrame:
-        both = df.select("u", "v").unionAll(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-    def small(df: DataFrame) -> DataFrame:
-        joined = df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u")
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        return joined.select(F.explode(ends).alias("e")).select("e.u", "e.v")
-
-    now = cut(links(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))))
-    seen = None
-    for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen, now = mark, cut(links(small(links(large(now)))))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)

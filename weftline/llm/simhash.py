@@ -103,13 +103,15 @@ def segments(column: str, words: int, width: int, count: int):
     return F.array(*keys)
 
 
-def near_components(nodes: DataFrame, width: int, most: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_components(nodes: DataFrame, width: int, most: int, complete: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """(node, root) of the nodes that link to others.
 
     nodes: id, keys (segment keys), mark (64 bits). Every node whose key lies within one bit of another's, and whose
-    mark within ``most`` bits, is a candidate pair (a, b) with a > b; ``verify`` keeps the pairs that link. Marks are
-    compared in the join itself, so that members of a crowded bucket that are no candidates leave no rows.
+    mark within ``most`` bits, is a candidate pair (a, b) with a > b. complete: (id, full), the words of full, and the
+    largest distance of a link; without it the mark is the whole fingerprint. Within crowded buckets complete
+    fingerprints are compared in the join itself, so that members that don't link leave no rows.
     """
+    full, words, limit = complete or (None, 0, 0)
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
     close = F.bit_count(F.col("mark").bitwiseXOR(F.col("other_mark"))) <= most
 
@@ -120,9 +122,14 @@ def near_components(nodes: DataFrame, width: int, most: int, verify: Callable[[D
         mask = entries(df).withColumn("mask", F.explode(ball))
         return mask.withColumn("key", F.col("key").bitwiseXOR(F.col("mask"))).drop("mask")
 
+    def named_full(df: DataFrame, ident: str, name: str) -> DataFrame:
+        return df.join(full.select(F.col("id").alias(ident), F.col("full").alias(name)), ident)
+
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
-        return cut(verify(pairs) if verify else pairs)
+        if complete:
+            pairs = named_full(named_full(pairs, "a", "fa"), "b", "fb").where(distance("fa", "fb", words) <= limit).select("a", "b")
+        return cut(pairs)
 
     # A written table, so that both sides of the join are plain exchanges and AQE can split a hot key.
     heads = entries(nodes).groupBy("key").agg(F.min(F.struct("id", "mark")).alias("h"), F.count("*").alias("members"))
@@ -133,8 +140,14 @@ def near_components(nodes: DataFrame, width: int, most: int, verify: Callable[[D
     named = cut(named.select("id", "keys", "mark", F.coalesce("root", "id").alias("part")))
     rest = entries(named).join(heads.where("members > 1").select("key", "head"), "key").where("id > head")
     rest = rest.select("key", F.col("id").alias("b"), F.col("mark").alias("other_mark"), F.col("part").alias("other"))
-    met = probes(named).join(rest, "key").where((F.col("id") > F.col("b")) & (F.col("part") != F.col("other")) & close)
-    second = links(met.select(F.col("id").alias("a"), "b"))
+    apart = (F.col("id") > F.col("b")) & (F.col("part") != F.col("other")) & close
+    near = probes(named)
+    if complete:
+        # Few probes meet a crowded bucket; only these take their complete fingerprints along.
+        near = named_full(near.join(rest.select("key").distinct(), "key", "left_semi"), "id", "fa")
+        rest = named_full(rest, "b", "fb")
+        apart = apart & (distance("fa", "fb", words) <= limit)
+    second = cut(near.join(rest, "key").where(apart).select(F.col("id").alias("a"), "b").distinct())
     return star_components(first.select("a", "b").unionAll(second.select("a", "b")))
 
 
@@ -170,16 +183,9 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     key_words = -(-width * count // 64)
     prints = with_fingerprints(df, {"w": (1, True, key_words), "full": (shingle, True, words)}, ident, text).where(F.col(ident).isNotNull())
     nodes = cut(prints.groupBy("full", "w").agg(F.min(ident).alias("id"), F.count("*").alias("rows"), F.count_distinct(ident).alias("ids")).select("id", "full", segments("w", key_words, width, count).alias("keys"), "rows", "ids"))
-    full = nodes.select("id", "full")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
-        two = one.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-        return two.where(distance("fa", "fb", words) <= most).select("a", "b")
-
     # The first word of the complete fingerprint is the mark, with room for four standard deviations.
     room = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    linked = near_components(nodes.select("id", "keys", F.col("full")[0].alias("mark")), width, room, verify)
+    linked = near_components(nodes.select("id", "keys", F.col("full")[0].alias("mark")), width, room, (nodes.select("id", "full"), words, most))
     stay = nodes.select("id").join(linked.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
     kept = df.join(stay.withColumnRenamed("id", ident), ident, "left_semi").unionAll(df.where(F.col(ident).isNull()))
     counts = nodes.agg(F.sum("rows"), F.sum("ids")).first()
