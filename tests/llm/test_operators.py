@@ -224,6 +224,32 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(df.limit(0)).count() == 0
 
 
+def copies(seed, cut_off):
+    """Texts, and copies with foreign text appended or with the tail cut off, at similarities of 0.7 to 0.95."""
+    r, texts = random.Random(seed), []
+    for i in range(60):
+        words = prose(r.randint(80, 400), 900 + seed * 1000 + i).split()
+        share = r.uniform(0.05, 0.4)
+        more = prose(int(len(words) * share), 5000 + seed * 1000 + i).split()
+        texts += [" ".join(words), " ".join(words[: int(len(words) / (1 + share))] if cut_off else words + more)]
+    return texts
+
+
+def similarities(texts):
+    """Brute-force Jaccard of the 5-word runs, by pair of places."""
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return {(i, j): len(runs[i] & runs[j]) / len(runs[i] | runs[j]) for i, j in itertools.combinations(range(len(runs)), 2) if runs[i] & runs[j]}
+
+
+@pytest.mark.parametrize("cut_off", [False, True])
+def test_every_near_copy_is_found(spark, cut_off):
+    texts = copies(1, cut_off)
+    found = similarities(texts)
+    assert sum(0.8 <= x < 0.9 for x in found.values()) > 15
+    kept = {x.doc_id for x in simhash.distinct_documents(frame(spark, texts)).collect()}
+    assert not {j for (_, j), x in found.items() if x >= 0.8} & kept
+
+
 # Line dedup
 
 
