@@ -250,6 +250,27 @@ def test_every_near_copy_is_found(spark, cut_off):
     assert not {j for (_, j), x in found.items() if x >= 0.8} & kept
 
 
+def test_nothing_below_the_similarity_is_dropped(spark):
+    r, texts = random.Random(12), copies(2, False) + copies(3, True)
+    notice = " ".join(WORDS[:40])  # in many texts; with short ones around it some pairs lie on either side of 0.8
+    texts += [f"{notice} {prose(r.randint(1, 12), 7000 + i)}" for i in range(80)] + [f"{prose(100, 7100 + i)} {notice}" for i in range(80)]
+    found = similarities(texts)
+    assert sum(0.7 <= x < 0.8 for x in found.values()) > 30
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), x in found.items():
+        if x >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    kept = sorted(x.doc_id for x in simhash.distinct_documents(frame(spark, texts)).collect())
+    assert kept == [i for i in range(len(texts)) if find(i) == i]
+
+
 # Line dedup
 
 
