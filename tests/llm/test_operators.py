@@ -165,6 +165,14 @@ def test_leaks(spark):
     assert [(r.doc_id, r.item_id) for r in short.collect()] == [(0, 5)]
 
 
+def test_leaks_of_items_rich_in_numbers(spark):
+    rich, table, tiny = "Compute 12 + 7 * 3 - 4 / 2 and give the result", "Rows 1 2 3 4 5 6 7 8 9 10 11 12", "What is 17?"
+    items = spark.createDataFrame([(1, rich), (2, table), (3, tiny), (4, "")], "item_id long, text string")
+    texts = [f"{prose(40, 301)} {rich}. {prose(9, 302)}", f"so {table}, it says", f"{prose(30, 303)}\n{tiny}", table.replace("7", "70"), "What is 18?", " ".join(str(i) for i in range(50, 400)), "17"]
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in templates.leaks(frame(spark, texts), items).collect())
+    assert got == [(0, 1, "verbatim"), (1, 2, "verbatim"), (2, 3, "verbatim")]
+
+
 # SimHash
 
 

@@ -8,7 +8,12 @@ each value of the item stands for one value of the document throughout, and diff
 
 DataFrame functions only. Two bitmaps of bounded size, of the benchmark's token pairs and of its windows, keep texts and
 windows that can't match from going on; a window of the benchmark passes both, and the join itself is exact. Items with fewer tokens than a window (but ``LEAST`` or more) match as a
-whole; windows with fewer than half plain words aren't used, as tables of numbers would share them.
+whole. Windows with fewer than half plain words, and items with fewer than ``LEAST`` tokens, match only with equal values,
+as tables of numbers would share their templates.
+
+A capitalised word that opens a sentence, line or text may be a name, and a spelled number a number: windows with such
+words have a second form, in which they are placeholders, and match by either. Alignments are judged by first forms
+alone and by both.
 
 Defined cases: null and empty texts and items have no windows; repeated rows of a document give one result, repeated
 items each their own; rows without id take no part; empty tables give an empty result; other columns aren't read.
@@ -38,7 +43,13 @@ NUMBERS = r"\d+(?:[.,]\d+)*"
 UNIT_WORDS = r"(?<= 0 ) {0,2}(?i:" + "|".join(UNITS) + r")(?![\p{L}\d])|[%$€£°]"
 #: What stands before a name is tested after its capital, so that it is tested nowhere else.
 NAMES = r"""\p{Lu}(?<=[\p{L}\d,;:)'"’] {1,3}\p{Lu})[\p{Ll}'’]+(?![\p{L}\d])"""
+#: A capital that opens a word; where NAMES are replaced already, it may be a name.
+INITIALS = r"\p{Lu}(?<![\p{L}\d]\p{Lu})[\p{Ll}'’]+(?![\p{L}\d])"
+#: Stands before the word of such a token.
+MAYBE = "3"
+SPELLED = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 APART = r"[^\p{L}\d]+"
+HITS = "array<struct<at:int,size:int,h:bigint,form:int>>"
 
 
 def numbered(text: Column) -> Column:
@@ -52,11 +63,32 @@ def measured(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Template tokens in order."""
-    named = F.regexp_replace(measured(text), NAMES, f" {NAME} ")
+    """Template tokens in order; words that may be names have MAYBE before them."""
+    named = F.regexp_replace(F.regexp_replace(measured(text), NAMES, f" {NAME} "), INITIALS, f"{MAYBE}$0")
     return F.array_remove(F.split(F.lower(named), APART), "")
 
 
+def plainly(toks: Column) -> Column:
+    """First form: words that may be names or numbers are words."""
+    return F.transform(toks, lambda t: F.when(F.startswith(t, F.lit(MAYBE)), F.substring(t, 2, 1 << 30)).otherwise(t))
+
+
+def freely(toks: Column) -> Column:
+    """Second form: they are placeholders, and so is a unit after a spelled number."""
+
+    def one(t: Column, i: Column) -> Column:
+        unit = t.isin(UNITS) & (i > 0) & F.ltrim(F.get(toks, i - 1), F.lit(MAYBE)).isin(SPELLED)
+        spelled = F.ltrim(t, F.lit(MAYBE)).isin(SPELLED)
+        return F.when(spelled, NUMBER).when(F.startswith(t, F.lit(MAYBE)), NAME).when(unit, UNIT).otherwise(t)
+
+    return F.transform(toks, one)
+
+
+def heavy(toks: Column) -> Column:
+    """Fewer than half plain words."""
+    return 2 * F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.size(toks)
+
+
 def values(text: Column) -> Column:
     """What a text's placeholders stand for, lower-cased: arrays of numbers, units and names, in order."""
     found = ((text, NUMBERS), (numbered(text), UNIT_WORDS), (measured(text), NAMES))
@@ -85,11 +117,11 @@ def hashes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
 
 
-def windows(hashed: Column, size: int, keep: Callable[[Column], Column]) -> Column:
-    """Array of (at, size, h) of the windows whose hash ``keep`` passes."""
+def windows(hashed: Column, size: int, keep: Callable[[Column], Column], form: int = 0) -> Column:
+    """Array of (at, size, h, form) of the windows whose hash ``keep`` passes."""
     at = F.sequence(F.lit(0), F.size(hashed) - size)
-    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashed, i + 1, size)).alias("h")))
-    none = F.array().cast("array<struct<at:int,size:int,h:bigint>>")
+    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashed, i + 1, size)).alias("h"), F.lit(form).alias("form")))
+    none = F.array().cast(HITS)
     return F.when(F.size(hashed) >= size, F.filter(found, lambda s: keep(s["h"]))).otherwise(none)
 
 
@@ -98,10 +130,6 @@ def pair_hashes(hashed: Column) -> Column:
     return F.zip_with(F.slice(hashed, 1, n), F.slice(hashed, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def every(h: Column) -> Column:
-    return F.lit(True)
-
-
 def bitmap_of(rows: DataFrame, count: int) -> Callable[[Column], Column]:
     """A test that all values of ``h`` pass: a bitmap of 2**16 to 2**22 bits, by their number."""
     bits = min(22, max(16, (16 * count).bit_length()))
@@ -117,19 +145,44 @@ def bitmap_of(rows: DataFrame, count: int) -> Callable[[Column], Column]:
     return test
 
 
+def valued(tagged: Column, found: Column, at: Column, size: Column) -> Column:
+    """The words of a window, each placeholder's value in its place, whatever the form."""
+    return plainly(own_values(tagged, found, at, size))
+
+
+def first_or_second(tagged: Column, free: Column, form: Column, at: Column, size: Column) -> Column:
+    return F.when(form == 0, plainly(F.slice(tagged, at + 1, size))).otherwise(F.slice(free, at + 1, size))
+
+
+def match_key(h: Column, exact: Column, words: Column) -> Column:
+    """Windows that match with equal values only are joined by these."""
+    return F.when(exact, F.xxhash64(h, F.array_join(words, " "))).otherwise(h)
+
+
 def benchmark_windows(items: DataFrame, item: str, text: str) -> DataFrame:
-    """item_id, at, size, h, toks, theirs, pairs, total: the windows with enough plain words; short items as a whole."""
+    """item_id, at, size, h, form, exact, key, toks, theirs, pairs, total, and plain windows by form; short items as a whole.
+
+    pairs: hashes of the token pairs that a document's second form can have where it holds the window.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = fence(items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(body).alias("all"), values(body).alias("values")))
-    n = F.size("all")
-    whole = lambda h: F.array(F.struct(F.lit(0).alias("at"), n.alias("size"), F.xxhash64(h).alias("h")))
-    none = F.array().cast("array<struct<at:int,size:int,h:bigint>>")
-    found = let(hashes(F.col("all")), lambda h: F.when(n >= WINDOW, windows(h, WINDOW, every)).when(n >= LEAST, whole(h)).otherwise(none))
-    rows = fence(rows.select("item_id", "all", "values", found.alias("w"))).select("item_id", "all", "values", F.explode("w").alias("w")).select("item_id", "all", "values", "w.*")
-    toks = F.slice("all", F.col("at") + 1, F.col("size"))
-    plain = F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    rows = rows.where(2 * plain >= F.col("size"))
-    return rows.select("item_id", "at", "size", "h", toks.alias("toks"), own_values(F.col("all"), F.col("values"), F.col("at"), F.col("size")).alias("theirs"), let(hashes(toks), pair_hashes).alias("pairs"), F.when(n < WINDOW, 1).otherwise(n - WINDOW + 1).alias("total"))
+    rows = fence(items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(body).alias("tagged"), values(body).alias("values")))
+    n = F.size("tagged")
+    size = F.least(F.lit(WINDOW), n)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    found = F.flatten(F.transform(places, lambda i: F.array(*[F.struct(i.alias("at"), F.lit(f).alias("form")) for f in (0, 1)])))
+    rows = fence(rows.withColumn("n", n)).select("item_id", "tagged", "values", "n", F.explode(found).alias("w")).select("item_id", "tagged", "values", "n", F.least(F.lit(WINDOW), "n").alias("size"), "w.*")
+    rows = rows.withColumn("toks", first_or_second(F.col("tagged"), freely(F.col("tagged")), F.col("form"), F.col("at"), F.col("size")))
+    rows = rows.withColumn("exact", heavy(F.col("toks")) | (F.col("n") < LEAST)).withColumn("theirs", valued(F.col("tagged"), F.col("values"), F.col("at"), F.col("size")))
+    rows = cut(rows.withColumn("h", F.xxhash64(hashes(F.col("toks")))).withColumn("key", match_key(F.col("h"), F.col("exact"), F.col("theirs"))))
+    totals = rows.groupBy("item_id", "tagged").agg(*[F.count_distinct(F.when((F.col("form") == f) & ~F.col("exact"), F.col("at"))).alias(f"plain{f}") for f in (0, 1)])
+    # A word may stand at a sentence's start, or for a number or unit, in the document.
+    others = lambda t: F.array_distinct(F.array(t, F.lit(NAME), F.when(t.isin(SPELLED), NUMBER).otherwise(t), F.when(t.isin(UNITS), UNIT).otherwise(t)))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(F.xxhash64(x), F.xxhash64(y)))))
+    pairs = F.array_distinct(F.flatten(F.zip_with(F.slice("toks", F.lit(1), F.col("size") - 1), F.slice("toks", F.lit(2), F.col("size") - 1), lambda a, b: both(others(a), others(b)))))
+    # A second form that is the first isn't kept twice.
+    differs = (F.col("form") == 0) | (F.col("toks") != plainly(F.slice("tagged", F.col("at") + 1, F.col("size"))))
+    rows = rows.where(differs).join(totals, ["item_id", "tagged"])
+    return rows.select("item_id", "at", "size", "h", "form", "exact", "key", "toks", "theirs", pairs.alias("pairs"), (F.col("n") - F.col("size") + 1).alias("total"), "plain0", "plain1")
 
 
 def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
@@ -137,29 +190,48 @@ def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str =
     bench = cut(benchmark_windows(items, item, item_text))
     summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
     least = min(summary.sizes, default=WINDOW)
-    test, pair_test = bitmap_of(bench, summary.n), bitmap_of(bench.select(F.explode("pairs").alias("h")), 2 * summary.n)
+    pairs = bench.select(F.explode("pairs").alias("h")).distinct()
+    test, pair_test = bitmap_of(bench, summary.n), bitmap_of(pairs, pairs.count())
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = fence(docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), body.alias("body"), tokens(body).alias("toks")))
-    rows = fence(rows.withColumn("hashed", hashes(F.col("toks"))))
+    rows = fence(docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), body.alias("body"), tokens(body).alias("tagged")))
+    rows = fence(rows.withColumn("free", freely(F.col("tagged"))))
+    rows = fence(rows.withColumn("hashed", hashes(F.col("free"))))
     # A text goes on if all the token pairs of some window may be the benchmark's.
     marks = F.array_join(F.transform(pair_hashes(F.col("hashed")), lambda h: F.when(pair_test(h), "1").otherwise("0")), "")
-    near = fence(rows.where((F.size("toks") >= least) & F.contains(marks, F.lit("1" * (least - 1)))))
-    arrays = [windows(F.col("hashed"), size, test) for size in sorted(summary.sizes)] or [F.array().cast("array<struct<at:int,size:int,h:bigint>>")]
-    hits = near.select("id", "toks", values(F.col("body")).alias("values"), F.concat(*arrays).alias("hits"))
-    hits = fence(hits).select("id", "toks", "values", F.explode("hits").alias("w")).select("id", "toks", "values", "w.*")
-    hits = hits.select("id", "at", "size", "h", F.slice("toks", F.col("at") + 1, F.col("size")).alias("own_toks"), own_values(F.col("toks"), F.col("values"), F.col("at"), F.col("size")).alias("own"))
-    theirs = bench.select("h", "size", "item_id", F.col("at").alias("item_at"), "toks", "theirs", "total")
-    met = hits.join(F.broadcast(theirs) if summary.n <= BROADCAST_ROWS else theirs, ["h", "size"]).where("own_toks = toks")
+    near = fence(rows.where((F.size("tagged") >= least) & F.contains(marks, F.lit("1" * (least - 1)))))
+    near = fence(near.withColumn("plain", hashes(plainly(F.col("tagged")))))
+    forms = [windows(F.col(c), size, test, form) for size in sorted(summary.sizes) for form, c in enumerate(("plain", "hashed"))]
+    hits = near.select("id", "tagged", "free", values(F.col("body")).alias("values"), F.concat(*(forms or [F.array().cast(HITS)])).alias("hits"))
+    hits = fence(hits).select("id", "tagged", "free", "values", F.explode("hits").alias("w")).select("id", "tagged", "free", "values", "w.*")
+    toks = first_or_second(F.col("tagged"), F.col("free"), F.col("form"), F.col("at"), F.col("size"))
+    hits = fence(hits.select("id", "at", "size", "h", F.col("form").alias("own_form"), toks.alias("own_toks"), valued(F.col("tagged"), F.col("values"), F.col("at"), F.col("size")).alias("own")))
+    # Which key a window goes by depends on its tokens and, for short items, on its size.
+    hits = hits.withColumn("key", match_key(F.col("h"), heavy(F.col("own_toks")) | (F.col("size") < LEAST), F.col("own")))
+    theirs = bench.select("key", "size", "item_id", F.col("at").alias("item_at"), "form", "exact", "toks", "theirs", "total", "plain0", "plain1")
+    met = hits.drop("h").join(F.broadcast(theirs) if summary.n <= BROADCAST_ROWS else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
     slots = F.filter(F.arrays_zip(F.col("toks").alias("t"), F.col("theirs").alias("item"), F.col("own").alias("doc")), lambda p: p["t"].isin(NUMBER, NAME, UNIT))
-    met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", "size", "total", slots.alias("slots"))
-    lined = met.groupBy("id", "item_id", "delta").agg(
-        F.count_distinct("at").alias("windows"), F.max("total").alias("total"), F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", "plain0", "plain1", slots.alias("slots")).alias("m"))
+    # Of the forms by which a window matches, the first.
+    met = met.groupBy("id", "item_id", "delta", "at").agg(F.min("m").alias("m")).select("id", "item_id", "delta", "at", "m.*")
+    judged = met.where("form = 0").withColumn("judge", F.lit(0)).unionAll(met.withColumn("judge", F.lit(1)))
+    lined = judged.groupBy("id", "item_id", "delta", "judge").agg(
+        F.count("*").alias("windows"),
+        F.count_if(~F.col("exact")).alias("plain"),
+        F.max("total").alias("total"),
+        F.when(F.col("judge") == 0, F.max("plain0")).otherwise(F.max("plain1")).alias("plain_total"),
+        F.min("at").alias("start"),
+        F.max(F.col("at") + F.col("size")).alias("stop"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     kinds = lambda side, only=None: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["t"] == only) if only else F.col("slots"), lambda p: F.struct(p["t"], p[side]))))
     agree = (kinds("item") == F.size("slots")) & (kinds("doc", NAME) == F.size(F.filter("slots", lambda p: p["t"] == NAME)))
     changed = F.size(F.filter("slots", lambda p: p["item"] != p["doc"]))
-    found = lined.where((F.col("windows") >= F.least(F.lit(RUN), F.col("total"))) & agree)
-    return found.select(F.col("id").alias(ident), "item_id", F.when(changed > 0, "reparameterised").otherwise("verbatim").alias("kind"), "windows", F.size("slots").alias("slots"), changed.alias("changed"), "start", "stop")
+    # All of its windows, or all of those that may have other values.
+    enough = (F.col("windows") >= F.least(F.lit(RUN), F.col("total"))) | ((F.col("plain") > 0) & (F.col("plain") >= F.least(F.lit(RUN), F.col("plain_total"))))
+    found = lined.where(enough & agree)
+    rest = F.struct(F.when(changed > 0, "reparameterised").otherwise("verbatim").alias("kind"), "windows", F.size("slots").alias("slots"), changed.alias("changed"), "start", "stop")
+    found = found.groupBy("id", "item_id", "delta").agg(F.max_by(rest, F.struct("windows", -F.col("judge"))).alias("r"))
+    return found.select(F.col("id").alias(ident), "item_id", "r.*")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
