@@ -173,6 +173,16 @@ def test_leaks_of_items_rich_in_numbers(spark):
     assert got == [(0, 1, "verbatim"), (1, 2, "verbatim"), (2, 3, "verbatim")]
 
 
+def test_leaks_with_names_at_sentence_starts_and_spelled_numbers(spark):
+    item = "Alice has 5 apples. Bob gives Alice 3 more. How many apples does Alice have now?"
+    spelled = "a farmer walks three miles to the market and sells seven large baskets of ripe pears before noon"
+    items = spark.createDataFrame([(1, item), (2, spelled)], "item_id long, text string")
+    other = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "9").replace("3", "7")
+    texts = [other, f'{prose(20, 311)} "{other}', other.replace("does Carol", "does Erin"), prose(60, 312), spelled.replace("three", "12").replace("seven", "eleven"), spelled.replace("three miles", "9 km")]
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in templates.leaks(frame(spark, texts), items).collect())
+    assert got == [(0, 1, "reparameterised"), (1, 1, "reparameterised"), (4, 2, "reparameterised"), (5, 2, "reparameterised")]
+
+
 # SimHash
 
 
