@@ -393,6 +393,12 @@ def test_languages(spark):
     assert {x.lang for x in languages.identify(df, docs.limit(0)).collect()} == {None}
 
 
+def test_declaration_behind_long_styles():
+    style = "<style>" + "p { margin: 0 } " * 8000 + "</style>"
+    assert languages.declared(f'<html><head>{style}<meta property="og:locale" content="fr_FR"></head></html>') == "fr"
+    assert languages.declared(f"<!-- {style} --><html lang=de></html>") == "de" and languages.declared(style) == ""
+
+
 # Top-k
 
 

@@ -44,7 +44,7 @@ def text_of(page: str) -> str:
 
 
 def declared(page: str) -> str:
-    found = DECLARED.search(page[: 1 << 16])  # declarations stand in a page's head
+    found = DECLARED.search(page)
     return (found[1] or found[2]).lower() if found else ""
 
 
