@@ -6,10 +6,11 @@ hash-joined with those of the benchmark, so a question whose numbers or names we
 document and item that lie at one offset form an alignment; it is a leak if it has enough windows and its slots agree:
 each value of the item stands for one value of the document throughout, and different names for different names.
 
-DataFrame functions only. Two bitmaps of bounded size, of the benchmark's token pairs and of its windows, keep texts and
-windows that can't match from going on; a window of the benchmark passes both, and the join itself is exact. Items with fewer tokens than a window (but ``LEAST`` or more) match as a
-whole. Windows with fewer than half plain words, and items with fewer than ``LEAST`` tokens, match only with equal values,
-as tables of numbers would share their templates.
+DataFrame functions only. Two bitmaps of bounded size, of the benchmark's token pairs and of its windows, keep places that
+can't match from going on; a window of the benchmark passes both, and the join itself is exact. Texts are cut into
+segments of ``SEGMENT`` tokens that overlap by a window, so a row stays small however long the text is. Items with fewer
+tokens than a window match as a whole. Windows with fewer than half plain words, and items with fewer than ``LEAST``
+tokens, match only with equal values, as tables of numbers would share their templates.
 
 A capitalised word that opens a sentence, line or text may be a name, and a spelled number a number: windows with such
 words have a second form, in which they are placeholders, and match by either. Alignments are judged by first forms
@@ -22,6 +23,7 @@ items each their own; rows without id take no part; empty tables give an empty r
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,127 +35,93 @@ WINDOW = 8
 LEAST = 5
 #: Windows of one alignment that make a leak: a run of WINDOW + RUN - 1 tokens (or the whole item, if it has fewer).
 RUN = 6
-#: Benchmark windows up to which their table is broadcast.
-BROADCAST_ROWS = 200_000
-#: Placeholders; a template holds no other digits.
+#: Tokens of a text in one row.
+SEGMENT = 4096
+#: Bytes of the benchmark's windows up to which their table is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Placeholders; a raw token of the kind holds its value behind the digit. A word has no digits.
 NUMBER, UNIT, NAME = "0", "1", "2"
+#: Stands before a word that may be a name.
+MAYBE = "3"
+#: No mark is greater or equal, every word is.
+WORDS_FROM = "4"
 #: Fixed list: words that count as units after a number.
 UNITS = "mm cm m km g kg mg l ml s ms min h hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet mile miles pound pounds ounce ounces dollar dollars euro euros cent cents percent degrees meter meters metre metres gram grams liter liters litre litres watt watts volt volts".split()
-NUMBERS = r"\d+(?:[.,]\d+)*"
-UNIT_WORDS = r"(?<= 0 ) {0,2}(?i:" + "|".join(UNITS) + r")(?![\p{L}\d])|[%$€£°]"
-#: What stands before a name is tested after its capital, so that it is tested nowhere else.
-NAMES = r"""\p{Lu}(?<=[\p{L}\d,;:)'"’] {1,3}\p{Lu})[\p{Ll}'’]+(?![\p{L}\d])"""
-#: A capital that opens a word; where NAMES are replaced already, it may be a name.
-INITIALS = r"\p{Lu}(?<![\p{L}\d]\p{Lu})[\p{Ll}'’]+(?![\p{L}\d])"
-#: Stands before the word of such a token.
-MAYBE = "3"
+#: Signs that are units wherever they stand, and their values.
+SIGNS = {"%": "percent", "$": "dollar", "€": "euro", "£": "pound", "°": "degree"}
+#: A letter in place of the point or comma within a number, which so stays one token.
+POINT = "\ua78f"
+#: What stands before a point or name is tested after its first character, so that it is tested nowhere else.
+POINTS = r"[.,](?<=\d[.,])(?=\d)"
+NAMES = r"""\p{Lu}(?<=[\p{L}\d,;:)'"’] {1,3}\p{Lu})\p{Ll}+(?![\p{L}\d])"""
+#: A capital that opens a word; where NAMES are marked already, it may be a name.
+INITIALS = r"\p{Lu}(?<![\p{L}\d]\p{Lu})\p{Ll}+(?![\p{L}\d])"
 SPELLED = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 APART = r"[^\p{L}\d]+"
-HITS = "array<struct<at:int,size:int,h:bigint,form:int>>"
-
-
-def numbered(text: Column) -> Column:
-    return F.regexp_replace(text, NUMBERS, f" {NUMBER} ")
-
-
-def measured(text: Column) -> Column:
-    """Units are sought only where there is a number or a sign."""
-    some = lambda t: F.contains(t, F.lit(f" {NUMBER} ")) | (F.length(F.translate(t, "%$€£°", "")) < F.length(t))
-    return let(numbered(text), lambda t: F.when(some(t), F.regexp_replace(t, UNIT_WORDS, f" {UNIT} ")).otherwise(t))
 
 
 def tokens(text: Column) -> Column:
-    """Template tokens in order; words that may be names have MAYBE before them."""
-    named = F.regexp_replace(F.regexp_replace(measured(text), NAMES, f" {NAME} "), INITIALS, f"{MAYBE}$0")
-    return F.array_remove(F.split(F.lower(named), APART), "")
-
+    """Raw tokens in order: words, and marks with their values; units that are words are told by the token before."""
 
-def plainly(toks: Column) -> Column:
-    """First form: words that may be names or numbers are words."""
-    return F.transform(toks, lambda t: F.when(F.startswith(t, F.lit(MAYBE)), F.substring(t, 2, 1 << 30)).otherwise(t))
+    def figures(t: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(t, POINTS, POINT), rf"\d[\d{POINT}]*", f" {NUMBER}$0 ")
+        return reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(f" {UNIT}{SIGNS[sign]} ")), SIGNS, t)
 
-
-def freely(toks: Column) -> Column:
-    """Second form: they are placeholders, and so is a unit after a spelled number."""
-
-    def one(t: Column, i: Column) -> Column:
-        unit = t.isin(UNITS) & (i > 0) & F.ltrim(F.get(toks, i - 1), F.lit(MAYBE)).isin(SPELLED)
-        spelled = F.ltrim(t, F.lit(MAYBE)).isin(SPELLED)
-        return F.when(spelled, NUMBER).when(F.startswith(t, F.lit(MAYBE)), NAME).when(unit, UNIT).otherwise(t)
-
-    return F.transform(toks, one)
-
-
-def heavy(toks: Column) -> Column:
-    """Fewer than half plain words."""
-    return 2 * F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.size(toks)
+    marked = let(text, lambda t: F.when(t.rlike(r"[\d%$€£°]"), figures(t)).otherwise(t))
+    named = F.regexp_replace(F.regexp_replace(marked, NAMES, f" {NAME}$0 "), INITIALS, f"{MAYBE}$0")
+    return F.array_remove(F.split(F.lower(named), APART), "")
 
 
-def values(text: Column) -> Column:
-    """What a text's placeholders stand for, lower-cased: arrays of numbers, units and names, in order."""
-    found = ((text, NUMBERS), (numbered(text), UNIT_WORDS), (measured(text), NAMES))
-    return F.array(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda x: F.trim(F.lower(x))) for t, p in found])
+def value(t: Column) -> Column:
+    """What a raw token stands for."""
+    return F.when(t < WORDS_FROM, F.substring(t, 2, 1 << 30)).otherwise(t)
 
 
-def own_values(toks: Column, found: Column, at: Column, size: Column) -> Column:
-    """The tokens of a window, each placeholder's value in its place."""
+def is_mark(t: Column, mark: str) -> Column:
+    return F.startswith(t, F.lit(mark))
 
-    def counted(before: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            def value(kind: int, mark: str) -> Column:
-                earlier = F.size(F.filter(F.slice(toks, at + 1, i), lambda x: x == mark))
-                return F.get(found[kind], before[kind] + earlier)
 
-            return F.when(t == NUMBER, value(0, NUMBER)).when(t == UNIT, value(1, UNIT)).when(t == NAME, value(2, NAME)).otherwise(t)
+def plain(t: Column, before: Column) -> Column:
+    """First form of a raw token: words that may be names or numbers are words."""
+    kind = F.when(is_mark(t, MAYBE), value(t)).otherwise(F.substring(t, 1, 1))
+    return F.when(t < WORDS_FROM, kind).when(t.isin(UNITS) & is_mark(before, NUMBER), UNIT).otherwise(t)
 
-        return F.transform(F.slice(toks, at + 1, size), one)
 
-    ahead = F.slice(toks, F.lit(1), at)
-    many = lambda mark: F.size(F.filter(ahead, lambda x: x == F.lit(mark)))
-    return let(F.array(many(NUMBER), many(UNIT), many(NAME)), counted)
+def free(t: Column, before: Column) -> Column:
+    """Second form: they are placeholders, and so is a unit after a spelled number."""
+    kind = F.when(~is_mark(t, MAYBE), F.substring(t, 1, 1)).when(value(t).isin(SPELLED), NUMBER).otherwise(NAME)
+    unit = t.isin(UNITS) & (is_mark(before, NUMBER) | F.ltrim(before, F.lit(MAYBE)).isin(SPELLED))
+    return F.when(t < WORDS_FROM, kind).when(t.isin(SPELLED), NUMBER).when(unit, UNIT).otherwise(t)
 
 
-def hashes(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.xxhash64(t))
+FORMS = (plain, free)
 
 
-def windows(hashed: Column, size: int, keep: Callable[[Column], Column], form: int = 0) -> Column:
-    """Array of (at, size, h, form) of the windows whose hash ``keep`` passes."""
-    at = F.sequence(F.lit(0), F.size(hashed) - size)
-    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice(hashed, i + 1, size)).alias("h"), F.lit(form).alias("form")))
-    none = F.array().cast(HITS)
-    return F.when(F.size(hashed) >= size, F.filter(found, lambda s: keep(s["h"]))).otherwise(none)
+def formed(raw: Column, at: Column, size: Column, form: Callable[[Column, Column], Column]) -> Column:
+    """The window of ``size`` template tokens from place ``at`` of an array of raw tokens."""
+    return F.transform(F.sequence(at, at + size - 1), lambda i: form(F.get(raw, i), F.get(raw, i - 1)))
 
 
-def pair_hashes(hashed: Column) -> Column:
-    n = F.size(hashed) - 1
-    return F.zip_with(F.slice(hashed, 1, n), F.slice(hashed, 2, n), lambda a, b: F.xxhash64(a, b))
+def heavy(toks: Column) -> Column:
+    """Fewer than half plain words."""
+    return 2 * F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.size(toks)
 
 
 def bitmap_of(rows: DataFrame, count: int) -> Callable[[Column], Column]:
     """A test that all values of ``h`` pass: a bitmap of 2**16 to 2**22 bits, by their number."""
     bits = min(22, max(16, (16 * count).bit_length()))
-    place = F.pmod("h", F.lit(1 << bits)).cast("int")
-    words = rows.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
     found = {r.word: r.bits for r in words.collect()}  # at most 2**16 words
     literal = F.expr("cast(split('" + ",".join(str(found.get(i, 0)) for i in range(1 << (bits - 6))) + "', ',') as array<bigint>)")
 
     def test(h: Column) -> Column:
-        p = F.pmod(h, F.lit(1 << bits)).cast("int")
-        return F.getbit(F.get(literal, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1
+        word = F.shiftright(h, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).cast("int")
+        return F.getbit(F.get(literal, word), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     return test
 
 
-def valued(tagged: Column, found: Column, at: Column, size: Column) -> Column:
-    """The words of a window, each placeholder's value in its place, whatever the form."""
-    return plainly(own_values(tagged, found, at, size))
-
-
-def first_or_second(tagged: Column, free: Column, form: Column, at: Column, size: Column) -> Column:
-    return F.when(form == 0, plainly(F.slice(tagged, at + 1, size))).otherwise(F.slice(free, at + 1, size))
-
-
 def match_key(h: Column, exact: Column, words: Column) -> Column:
     """Windows that match with equal values only are joined by these."""
     return F.when(exact, F.xxhash64(h, F.array_join(words, " "))).otherwise(h)
@@ -165,55 +133,87 @@ def benchmark_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     pairs: hashes of the token pairs that a document's second form can have where it holds the window.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = fence(items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(body).alias("tagged"), values(body).alias("values")))
-    n = F.size("tagged")
+    rows = fence(items.where(F.col(item).isNotNull()).select(F.col(item).alias("item_id"), tokens(body).alias("raw")))
+    n = F.size("raw")
     size = F.least(F.lit(WINDOW), n)
     places = F.when(n > 0, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    found = F.flatten(F.transform(places, lambda i: F.array(*[F.struct(i.alias("at"), F.lit(f).alias("form")) for f in (0, 1)])))
-    rows = fence(rows.withColumn("n", n)).select("item_id", "tagged", "values", "n", F.explode(found).alias("w")).select("item_id", "tagged", "values", "n", F.least(F.lit(WINDOW), "n").alias("size"), "w.*")
-    rows = rows.withColumn("toks", first_or_second(F.col("tagged"), freely(F.col("tagged")), F.col("form"), F.col("at"), F.col("size")))
-    rows = rows.withColumn("exact", heavy(F.col("toks")) | (F.col("n") < LEAST)).withColumn("theirs", valued(F.col("tagged"), F.col("values"), F.col("at"), F.col("size")))
-    rows = cut(rows.withColumn("h", F.xxhash64(hashes(F.col("toks")))).withColumn("key", match_key(F.col("h"), F.col("exact"), F.col("theirs"))))
-    totals = rows.groupBy("item_id", "tagged").agg(*[F.count_distinct(F.when((F.col("form") == f) & ~F.col("exact"), F.col("at"))).alias(f"plain{f}") for f in (0, 1)])
+    rows = rows.select("item_id", "raw", n.alias("n"), size.alias("size"), F.explode(places).alias("at"))
+    forms = F.array(*[F.struct(F.lit(f).alias("form"), formed(F.col("raw"), F.col("at"), F.col("size"), form).alias("toks")) for f, form in enumerate(FORMS)])
+    rows = rows.select("item_id", "raw", "n", "size", "at", F.explode(forms).alias("w")).select("item_id", "raw", "n", "size", "at", "w.*")
+    rows = rows.withColumn("exact", heavy(F.col("toks")) | (F.col("n") < LEAST)).withColumn("theirs", F.transform(F.slice("raw", F.col("at") + 1, F.col("size")), value))
+    rows = cut(rows.withColumn("h", F.xxhash64("toks")).withColumn("key", match_key(F.col("h"), F.col("exact"), F.col("theirs"))))
+    totals = rows.groupBy("item_id", "raw").agg(*[F.count_distinct(F.when((F.col("form") == f) & ~F.col("exact"), F.col("at"))).alias(f"plain{f}") for f in (0, 1)])
     # A word may stand at a sentence's start, or for a number or unit, in the document.
     others = lambda t: F.array_distinct(F.array(t, F.lit(NAME), F.when(t.isin(SPELLED), NUMBER).otherwise(t), F.when(t.isin(UNITS), UNIT).otherwise(t)))
-    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(F.xxhash64(x), F.xxhash64(y)))))
+    both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
     pairs = F.array_distinct(F.flatten(F.zip_with(F.slice("toks", F.lit(1), F.col("size") - 1), F.slice("toks", F.lit(2), F.col("size") - 1), lambda a, b: both(others(a), others(b)))))
     # A second form that is the first isn't kept twice.
-    differs = (F.col("form") == 0) | (F.col("toks") != plainly(F.slice("tagged", F.col("at") + 1, F.col("size"))))
-    rows = rows.where(differs).join(totals, ["item_id", "tagged"])
+    differs = (F.col("form") == 0) | (F.col("toks") != formed(F.col("raw"), F.col("at"), F.col("size"), plain))
+    rows = rows.where(differs).join(totals, ["item_id", "raw"])
     return rows.select("item_id", "at", "size", "h", "form", "exact", "key", "toks", "theirs", pairs.alias("pairs"), (F.col("n") - F.col("size") + 1).alias("total"), "plain0", "plain1")
 
 
+def segments(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """id, base, raw: raw tokens of a text from place base - 1 (null before the first) to the end of the last window that starts in the segment."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = fence(docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.concat(F.array(F.lit(None).cast("string")), tokens(body)).alias("raw")))
+    bases = F.sequence(F.lit(0), F.greatest(F.size("raw") - 2, F.lit(0)), F.lit(SEGMENT))
+    parts = F.transform(bases, lambda b: F.struct(b.alias("base"), F.slice("raw", b + 1, SEGMENT + WINDOW).alias("raw")))
+    whole = F.array(F.struct(F.lit(0).alias("base"), F.col("raw")))
+    return rows.select("id", F.explode(F.when(F.size("raw") <= SEGMENT, whole).otherwise(parts)).alias("s")).select("id", "s.*")
+
+
+def document_windows(docs: DataFrame, sizes: list[int], pair_test: Callable[[Column], Column], test: Callable[[Column], Column], ident: str, text: str) -> DataFrame:
+    """id, at, size, form, h, toks, own (their values) of the windows that pass both tests."""
+    rows = fence(segments(docs, ident, text))
+    rows = fence(rows.withColumn("free", F.transform("raw", lambda t, i: free(t, F.get("raw", i - 1)))))
+    rows = fence(rows.withColumn("marks", F.transform("free", lambda t, i: pair_test(F.xxhash64(t, F.get("free", i + 1))))))
+
+    def places(size: int) -> Column:
+        """Places in the segment where all token pairs of a window may be the benchmark's."""
+        last = F.least(F.lit(SEGMENT), F.size("raw") - size)
+        may = lambda i: reduce(lambda a, b: a & b, [F.get("marks", i + k) for k in range(size - 1)], F.lit(True))
+        found = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), may)).otherwise(F.array().cast("array<int>"))
+        return F.transform(found, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size")))
+
+    rows = fence(rows.select("id", "base", "raw", "free", F.concat(*map(places, sizes)).alias("places")))
+    rows = rows.where("size(places) > 0")
+
+    def hashed(w: Column) -> Column:
+        first = F.xxhash64(formed(F.col("raw"), w["i"], w["size"], plain))
+        return F.struct(w["i"].alias("i"), w["size"].alias("size"), first.alias("h0"), F.xxhash64(F.slice("free", w["i"] + 1, w["size"])).alias("h1"))
+
+    rows = fence(rows.withColumn("places", F.transform("places", hashed)))
+    rows = fence(rows.withColumn("places", F.filter("places", lambda w: test(w["h0"]) | test(w["h1"])))).where("size(places) > 0")
+
+    def filled(w: Column) -> Column:
+        own = F.transform(F.slice("raw", w["i"] + 1, w["size"]), value)
+        return F.struct((F.col("base") + w["i"] - 1).alias("at"), w["size"].alias("size"), w["h0"].alias("h0"), w["h1"].alias("h1"), formed(F.col("raw"), w["i"], w["size"], plain).alias("first"), F.slice("free", w["i"] + 1, w["size"]).alias("second"), own.alias("own"))
+
+    hits = rows.select("id", F.explode(F.transform("places", filled)).alias("w")).select("id", "w.*")
+    both = F.array(F.struct(F.lit(0).alias("form"), F.col("h0").alias("h"), F.col("first").alias("toks")), F.struct(F.lit(1).alias("form"), F.col("h1").alias("h"), F.col("second").alias("toks")))
+    forms = F.when(F.col("h0") == F.col("h1"), F.slice(both, 1, 1)).otherwise(both)
+    return hits.select("id", "at", "size", "own", F.explode(forms).alias("f")).select("id", "at", "size", "own", "f.*").where(test(F.col("h")))
+
+
 def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """ident, item_id, kind (verbatim or reparameterised), windows, slots, changed, start, stop (token places)."""
     bench = cut(benchmark_windows(items, item, item_text))
-    summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
-    least = min(summary.sizes, default=WINDOW)
+    room = F.octet_length(F.array_join("toks", " ")) + F.octet_length(F.array_join("theirs", " ")) + 16 * (F.size("toks") + 8)
+    summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes"), F.sum(room).alias("bytes")).first()
     pairs = bench.select(F.explode("pairs").alias("h")).distinct()
     test, pair_test = bitmap_of(bench, summary.n), bitmap_of(pairs, pairs.count())
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = fence(docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), body.alias("body"), tokens(body).alias("tagged")))
-    rows = fence(rows.withColumn("free", freely(F.col("tagged"))))
-    rows = fence(rows.withColumn("hashed", hashes(F.col("free"))))
-    # A text goes on if all the token pairs of some window may be the benchmark's.
-    marks = F.array_join(F.transform(pair_hashes(F.col("hashed")), lambda h: F.when(pair_test(h), "1").otherwise("0")), "")
-    near = fence(rows.where((F.size("tagged") >= least) & F.contains(marks, F.lit("1" * (least - 1)))))
-    near = fence(near.withColumn("plain", hashes(plainly(F.col("tagged")))))
-    forms = [windows(F.col(c), size, test, form) for size in sorted(summary.sizes) for form, c in enumerate(("plain", "hashed"))]
-    hits = near.select("id", "tagged", "free", values(F.col("body")).alias("values"), F.concat(*(forms or [F.array().cast(HITS)])).alias("hits"))
-    hits = fence(hits).select("id", "tagged", "free", "values", F.explode("hits").alias("w")).select("id", "tagged", "free", "values", "w.*")
-    toks = first_or_second(F.col("tagged"), F.col("free"), F.col("form"), F.col("at"), F.col("size"))
-    hits = fence(hits.select("id", "at", "size", "h", F.col("form").alias("own_form"), toks.alias("own_toks"), valued(F.col("tagged"), F.col("values"), F.col("at"), F.col("size")).alias("own")))
+    hits = document_windows(docs, sorted(summary.sizes) or [WINDOW], pair_test, test, ident, text)
     # Which key a window goes by depends on its tokens and, for short items, on its size.
-    hits = hits.withColumn("key", match_key(F.col("h"), heavy(F.col("own_toks")) | (F.col("size") < LEAST), F.col("own")))
+    hits = hits.withColumn("key", match_key(F.col("h"), heavy(F.col("toks")) | (F.col("size") < LEAST), F.col("own")))
+    hits = hits.select("id", "at", "size", "key", F.col("form").alias("own_form"), F.col("toks").alias("own_toks"), "own")
     theirs = bench.select("key", "size", "item_id", F.col("at").alias("item_at"), "form", "exact", "toks", "theirs", "total", "plain0", "plain1")
-    met = hits.drop("h").join(F.broadcast(theirs) if summary.n <= BROADCAST_ROWS else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
+    met = hits.join(F.broadcast(theirs) if (summary.bytes or 0) <= BROADCAST_BYTES else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
     slots = F.filter(F.arrays_zip(F.col("toks").alias("t"), F.col("theirs").alias("item"), F.col("own").alias("doc")), lambda p: p["t"].isin(NUMBER, NAME, UNIT))
     met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", "plain0", "plain1", slots.alias("slots")).alias("m"))
     # Of the forms by which a window matches, the first.
     met = met.groupBy("id", "item_id", "delta", "at").agg(F.min("m").alias("m")).select("id", "item_id", "delta", "at", "m.*")
-    judged = met.where("form = 0").withColumn("judge", F.lit(0)).unionAll(met.withColumn("judge", F.lit(1)))
+    judged = met.withColumn("judge", F.explode(F.sequence("form", F.lit(1))))
     lined = judged.groupBy("id", "item_id", "delta", "judge").agg(
         F.count("*").alias("windows"),
         F.count_if(~F.col("exact")).alias("plain"),
