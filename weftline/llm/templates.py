@@ -6,7 +6,7 @@ hash-joined with those of the benchmark, so a question whose numbers or names we
 document and item that lie at one offset form an alignment; it is a leak if it has enough windows and its slots agree:
 each value of the item stands for one value of the document throughout, and different names for different names.
 
-DataFrame functions only. Two bitmaps of bounded size, of the benchmark's token pairs and of its windows, keep places that
+DataFrame functions only. Two Bloom filters of bounded size, of the benchmark's token pairs and of its windows, keep places that
 can't match from going on; a window of the benchmark passes both, and the join itself is exact. Texts are cut into
 segments of ``SEGMENT`` tokens that overlap by a window, so a row stays small however long the text is. Items with fewer
 tokens than a window match as a whole. Windows with fewer than half plain words, and items with fewer than ``LEAST``
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, fence, table
+from weftline.llm.common import cut, fence, salted_join, table
 from weftline.llm.secrets import let
 
 WINDOW = 8
@@ -107,17 +107,20 @@ def heavy(toks: Column) -> Column:
     return 2 * F.size(F.filter(toks, lambda t: ~t.isin(NUMBER, NAME, UNIT))) < F.size(toks)
 
 
-def bitmap_of(rows: DataFrame, count: int) -> Callable[[Column], Column]:
-    """A test that all values of ``h`` pass: a bitmap of 2**16 to 2**22 bits, by their number."""
+def bitmap_of(rows: DataFrame, count: int, at: tuple[int, ...] = (0,)) -> Callable[[Column], Column]:
+    """A test that all values of ``h`` pass and few others: a Bloom filter of 2**16 to 2**22 bits, by their number.
+
+    at: the bits of a value from which its probes are taken."""
     bits = min(22, max(16, (16 * count).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    words = rows.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits"))
+    probes = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND(F.lit((1 << bits) - 1)) for k in at]
+    places = rows.select(F.explode(F.array(*probes(F.col("h")))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     found = {r.word: r.bits for r in words.collect()}  # at most 2**16 words
     literal = F.expr("cast(split('" + ",".join(str(found.get(i, 0)) for i in range(1 << (bits - 6))) + "', ',') as array<bigint>)")
 
     def test(h: Column) -> Column:
-        word = F.shiftright(h, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1)).cast("int")
-        return F.getbit(F.get(literal, word), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+        one = lambda p: F.getbit(F.get(literal, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return reduce(lambda a, b: a & b, map(one, probes(h)))
 
     return test
 
@@ -163,8 +166,9 @@ def segments(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.select("id", F.explode(F.when(F.size("raw") <= SEGMENT, whole).otherwise(parts)).alias("s")).select("id", "s.*")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], pair_test: Callable[[Column], Column], test: Callable[[Column], Column], ident: str, text: str) -> DataFrame:
-    """id, at, size, form, h, toks, own (their values) of the windows that pass both tests."""
+def document_runs(docs: DataFrame, sizes: list[int], pair_test: Callable[[Column], Column], test: Callable[[Column], Column], ident: str, text: str) -> DataFrame:
+    """id, at, size, run, raw: runs of neighbouring windows that pass both tests. at: the first window's place; raw: their
+    raw tokens, with the one before; run: a digest of these."""
     rows = fence(segments(docs, ident, text))
     rows = fence(rows.withColumn("free", F.transform("raw", lambda t, i: free(t, F.get("raw", i - 1)))))
     rows = fence(rows.withColumn("marks", F.transform("free", lambda t, i: pair_test(F.xxhash64(t, F.get("free", i + 1))))))
@@ -173,48 +177,43 @@ def document_windows(docs: DataFrame, sizes: list[int], pair_test: Callable[[Col
         """Places in the segment where all token pairs of a window may be the benchmark's."""
         last = F.least(F.lit(SEGMENT), F.size("raw") - size)
         may = lambda i: reduce(lambda a, b: a & b, [F.get("marks", i + k) for k in range(size - 1)], F.lit(True))
-        found = F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), may)).otherwise(F.array().cast("array<int>"))
-        return F.transform(found, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size")))
-
-    rows = fence(rows.select("id", "base", "raw", "free", F.concat(*map(places, sizes)).alias("places")))
-    rows = rows.where("size(places) > 0")
-
-    def hashed(w: Column) -> Column:
-        first = F.xxhash64(formed(F.col("raw"), w["i"], w["size"], plain))
-        return F.struct(w["i"].alias("i"), w["size"].alias("size"), first.alias("h0"), F.xxhash64(F.slice("free", w["i"] + 1, w["size"])).alias("h1"))
-
-    rows = fence(rows.withColumn("places", F.transform("places", hashed)))
-    rows = fence(rows.withColumn("places", F.filter("places", lambda w: test(w["h0"]) | test(w["h1"])))).where("size(places) > 0")
-
-    def filled(w: Column) -> Column:
-        own = F.transform(F.slice("raw", w["i"] + 1, w["size"]), value)
-        return F.struct((F.col("base") + w["i"] - 1).alias("at"), w["size"].alias("size"), w["h0"].alias("h0"), w["h1"].alias("h1"), formed(F.col("raw"), w["i"], w["size"], plain).alias("first"), F.slice("free", w["i"] + 1, w["size"]).alias("second"), own.alias("own"))
-
-    hits = rows.select("id", F.explode(F.transform("places", filled)).alias("w")).select("id", "w.*")
-    both = F.array(F.struct(F.lit(0).alias("form"), F.col("h0").alias("h"), F.col("first").alias("toks")), F.struct(F.lit(1).alias("form"), F.col("h1").alias("h"), F.col("second").alias("toks")))
-    forms = F.when(F.col("h0") == F.col("h1"), F.slice(both, 1, 1)).otherwise(both)
-    return hits.select("id", "at", "size", "own", F.explode(forms).alias("f")).select("id", "at", "size", "own", "f.*").where(test(F.col("h")))
-
-
-def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
-    """ident, item_id, kind (verbatim or reparameterised), windows, slots, changed, start, stop (token places)."""
-    bench = cut(benchmark_windows(items, item, item_text))
-    room = F.octet_length(F.array_join("toks", " ")) + F.octet_length(F.array_join("theirs", " ")) + 16 * (F.size("toks") + 8)
-    summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes"), F.sum(room).alias("bytes")).first()
-    pairs = bench.select(F.explode("pairs").alias("h")).distinct()
-    test, pair_test = bitmap_of(bench, summary.n), bitmap_of(pairs, pairs.count())
-    hits = document_windows(docs, sorted(summary.sizes) or [WINDOW], pair_test, test, ident, text)
+        return F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), may)).otherwise(F.array().cast("array<int>"))
+
+    def windows(size: int) -> Column:
+        """Those whose window may be the benchmark's, in either form."""
+        either = lambda i: let(F.xxhash64(F.slice("free", i + 1, size)), test) | let(F.xxhash64(formed(F.col("raw"), i, F.lit(size), plain)), test)
+        return F.filter(f"p{size}", either)
+
+    def runs(size: int) -> Column:
+        here = F.col(f"p{size}")
+        first = F.filter(here, lambda x, k: F.coalesce(F.get(here, k - 1) < x - 1, F.lit(True)))
+        last = F.filter(here, lambda x, k: F.coalesce(F.get(here, k + 1) > x + 1, F.lit(True)))
+        return F.zip_with(first, last, lambda a, b: F.struct((F.col("base") + a - 1).alias("at"), F.lit(size).alias("size"), F.slice("raw", a, b - a + size + 1).alias("raw")))
+
+    some = lambda: " or ".join(f"size(p{size}) > 0" for size in sizes)
+    rows = fence(rows.select("id", "base", "raw", "free", *[places(size).alias(f"p{size}") for size in sizes])).where(some())
+    rows = fence(rows.withColumns({f"p{size}": windows(size) for size in sizes})).where(some())
+    found = rows.select("id", F.explode(F.concat(*map(runs, sizes))).alias("r")).select("id", "r.*")
+    return found.withColumn("run", F.sha2(F.concat_ws(" ", F.col("size").cast("string"), F.transform("raw", lambda t: F.coalesce(t, F.lit(".")))), 256))
+
+
+def run_matches(runs: DataFrame, bench: DataFrame, test: Callable[[Column], Column], broadcast: bool) -> DataFrame:
+    """run, item_id, delta, judge, windows, plain, total, plain_total, start, stop, slots of distinct runs; places count from a run's first."""
+    at = F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("size"))).alias("i")
+    rows = fence(runs.select("run", "size", "raw", at))
+    forms = F.array(*[F.struct(F.lit(f).alias("own_form"), formed(F.col("raw"), F.col("i"), F.col("size"), form).alias("own_toks")) for f, form in enumerate(FORMS)])
+    own = F.transform(F.slice("raw", F.col("i") + 1, F.col("size")), value).alias("own")
+    rows = fence(rows.select("run", "size", (F.col("i") - 1).alias("at"), own, F.explode(F.array_distinct(forms)).alias("f"))).select("run", "size", "at", "own", "f.*")
+    rows = fence(rows.withColumn("h", F.xxhash64("own_toks"))).where(test(F.col("h")))
     # Which key a window goes by depends on its tokens and, for short items, on its size.
-    hits = hits.withColumn("key", match_key(F.col("h"), heavy(F.col("toks")) | (F.col("size") < LEAST), F.col("own")))
-    hits = hits.select("id", "at", "size", "key", F.col("form").alias("own_form"), F.col("toks").alias("own_toks"), "own")
+    hits = rows.withColumn("key", match_key(F.col("h"), heavy(F.col("own_toks")) | (F.col("size") < LEAST), F.col("own"))).drop("h")
     theirs = bench.select("key", "size", "item_id", F.col("at").alias("item_at"), "form", "exact", "toks", "theirs", "total", "plain0", "plain1")
-    met = hits.join(F.broadcast(theirs) if (summary.bytes or 0) <= BROADCAST_BYTES else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
+    met = hits.join(F.broadcast(theirs) if broadcast else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
     slots = F.filter(F.arrays_zip(F.col("toks").alias("t"), F.col("theirs").alias("item"), F.col("own").alias("doc")), lambda p: p["t"].isin(NUMBER, NAME, UNIT))
-    met = met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", "plain0", "plain1", slots.alias("slots")).alias("m"))
+    met = met.select("run", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", "plain0", "plain1", slots.alias("slots")).alias("m"))
     # Of the forms by which a window matches, the first.
-    met = met.groupBy("id", "item_id", "delta", "at").agg(F.min("m").alias("m")).select("id", "item_id", "delta", "at", "m.*")
-    judged = met.withColumn("judge", F.explode(F.sequence("form", F.lit(1))))
-    lined = judged.groupBy("id", "item_id", "delta", "judge").agg(
+    met = met.groupBy("run", "item_id", "delta", "at").agg(F.min("m").alias("m")).select("run", "item_id", "delta", "at", "m.*")
+    return met.withColumn("judge", F.explode(F.sequence("form", F.lit(1)))).groupBy("run", "item_id", "delta", "judge").agg(
         F.count("*").alias("windows"),
         F.count_if(~F.col("exact")).alias("plain"),
         F.max("total").alias("total"),
@@ -223,6 +222,29 @@ def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str =
         F.max(F.col("at") + F.col("size")).alias("stop"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
+
+
+def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """ident, item_id, kind (verbatim or reparameterised), windows, slots, changed, start, stop (token places)."""
+    bench = cut(benchmark_windows(items, item, item_text))
+    room = F.octet_length(F.array_join("toks", " ")) + F.octet_length(F.array_join("theirs", " ")) + 16 * (F.size("toks") + 8)
+    summary = bench.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes"), F.sum(room).alias("bytes")).first()
+    pairs = bench.select(F.explode("pairs").alias("h")).distinct()
+    test, pair_test = bitmap_of(bench, summary.n, (0, 21, 42)), bitmap_of(pairs, pairs.count())
+    found = cut(document_runs(docs, sorted(summary.sizes) or [WINDOW], pair_test, test, ident, text))
+    # A passage that many documents hold is matched once.
+    distinct = found.groupBy("run").agg(F.first("size").alias("size"), F.first("raw").alias("raw"))
+    partial = cut(run_matches(distinct, bench, test, (summary.bytes or 0) <= BROADCAST_BYTES))
+    parts = partial.agg(F.sum(F.octet_length(F.to_json("slots")) + 128)).first()[0] or 0
+    held = found.select("id", "run", F.col("at").alias("first")).distinct()
+    met = held.join(F.broadcast(partial), "run") if parts <= BROADCAST_BYTES else salted_join(held, partial, ["run"], 64)
+    lined = met.groupBy("id", "item_id", (F.col("first") + F.col("delta")).alias("delta"), "judge").agg(
+        *[F.sum(c).alias(c) for c in ("windows", "plain")],
+        *[F.max(c).alias(c) for c in ("total", "plain_total")],
+        F.min(F.col("first") + F.col("start")).alias("start"),
+        F.max(F.col("first") + F.col("stop")).alias("stop"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    )
     kinds = lambda side, only=None: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["t"] == only) if only else F.col("slots"), lambda p: F.struct(p["t"], p[side]))))
     agree = (kinds("item") == F.size("slots")) & (kinds("doc", NAME) == F.size(F.filter("slots", lambda p: p["t"] == NAME)))
     changed = F.size(F.filter("slots", lambda p: p["item"] != p["doc"]))
