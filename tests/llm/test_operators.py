@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -309,36 +310,54 @@ def test_line_dedup(spark):
 
 
 def runs_by_hand(docs, min_words):
-    """Lines of later repeated runs: every window of enough words that stands earlier, and the match with its first place extended."""
-    first, gone = {}, {}
-    split = {i: lines.line_hashes(t)[:2] for i, t in docs.items()}
-    for i in sorted(split):
-        hashes, counts = split[i]
-        for a in range(len(hashes)):
-            b = next((b for b in range(a + 1, len(hashes) + 1) if sum(counts[a:b]) >= min_words), None)
-            if b is None:
+    """Lines in a run of enough words that also stands wholly earlier: every run is held against every earlier place."""
+    split = {i: [(place, tuple(line.lower().split())) for place, line in enumerate(t.split("\n")) if line.split()] for i, t in docs.items()}
+    gone = {}
+    for i, own in split.items():
+        for j, other in split.items():
+            if j > i:
                 continue
-            window = tuple(hashes[a:b])
-            if window in first:
-                j, c = first[window]
-                s, e = a, b
-                while s > 0 and s - 1 - a + c >= 0 and hashes[s - 1] == split[j][0][s - 1 - a + c]:
-                    s -= 1
-                while e < len(hashes) and e - a + c < len(split[j][0]) and hashes[e] == split[j][0][e - a + c]:
+            for s, c in itertools.product(range(len(own)), range(len(other))):
+                e = 0
+                while s + e < len(own) and c + e < len(other) and own[s + e][1] == other[c + e][1] and (j < i or c + e < s):
                     e += 1
-                gone.setdefault(i, set()).update(range(s, e))
-            else:
-                first[window] = (i, a)
+                if sum(len(line) for _, line in own[s : s + e]) >= min_words:
+                    gone.setdefault(i, set()).update(place for place, _ in own[s : s + e])
     return gone
 
 
-def test_line_dedup_against_every_window(spark):
+def test_line_dedup_against_every_run(spark):
     r = random.Random(17)
-    pool = [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 9))) for _ in range(12)]
-    docs = {i: "\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for i in range(60)}
+    pool = [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 9))) for _ in range(12)] + ["", " ".join(WORDS[:16])]
+    docs = {i: "\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for i in range(70)}
+    one, more = " ".join(WORDS[20:70]), " ".join(WORDS[70:100])
+    docs |= {70: one, 71: f"{one}\n{more}", 72: f"{one}\n{more}", 73: "\n".join(pool[:6] * 6), 74: f"{more}\n{one}\n{more}"}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {x.id: set(x.gone) for x in lines.repeated_lines(df, 15).collect()}
-    assert got == runs_by_hand(docs, 15) and got
+    want = runs_by_hand(docs, 15)
+    assert {x.id: set(x.gone) for x in lines.repeated_lines(df, 15).collect()} == want
+    for x in lines.dedup_lines(df, 15).collect():
+        left = [line for place, line in enumerate(docs[x.doc_id].split("\n")) if place not in want.get(x.doc_id, ())]
+        assert x.text == "\n".join(left) and x.removed_lines == len(want.get(x.doc_id, ()))
+
+
+def test_line_dedup_of_periodic_and_long_texts(spark):
+    many = "\n".join(" ".join(WORDS[(k * 7 + i) % 400] for i in range(8)) + f" {k}" for k in range(16_000))
+    equal = "\n".join(["one line again"] * 20_000)
+    texts = [equal, many, f"own words\n{many}\nand an end", equal, "\n".join(["a b c d e f g", "h i j k l"] * 3000)]
+    began = time.time()
+    got = [x.text for x in lines.dedup_lines(frame(spark, texts).withColumns({"_gone": F.lit(1), "__stay": F.lit(2), "mark": F.lit(3)})).orderBy("doc_id").collect()]
+    assert time.time() - began < 90
+    assert got[0] == "\n".join(["one line again"] * 17) and got[1] == many and got[2] == "own words\nand an end" and got[3] == ""
+    assert len(got[4].split("\n")) < 20
+    digests, counts, _ = lines.line_hashes(many)
+    assert len(lines.winnow(digests, counts, 50)[0]) < 12_000 and len(lines.winnow(*lines.line_hashes(equal)[:2], 50)[0]) < 3000
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = prose(80, 401), prose(80, 402)
+    rows = spark.createDataFrame([(1, a), (1, f"{a}\n{b}"), (1, a), (2, b)], "doc_id long, text string")
+    got = sorted(x.text for x in lines.dedup_lines(rows).collect())
+    assert len(got) == 4 and got.count(a) == 2 or got.count(f"{a}\n{b}") == 1
 
 
 # Quality

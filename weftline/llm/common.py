@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from weftline.functions.frames import once as cut
 from weftline.functions.frames import shared_folder
 from weftline.operators.graph import components as star_components
 
-__all__ = ["cut", "fence", "salted_join", "shared_folder", "star_components", "table"]
+__all__ = ["cut", "fence", "fresh", "let", "salted_join", "shared_folder", "slices", "star_components", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +34,24 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     part = F.pmod(spread if spread is not None else F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     parts = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     return left.withColumn("_salt", part).join(right.withColumn("_salt", parts), [*keys, "_salt"], how).drop("_salt")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with as many underscores before them as it takes to differ from all columns of ``df``."""
+    known = {c.lower() for c in df.columns}
+    ahead = "_"
+    while any(f"{ahead}{name}".lower() in known for name in names):
+        ahead += "_"
+    return [f"{ahead}{name}" for name in names]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what is made of long texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import let, table
 
 #: Fixed patterns: kind, pattern, and what a match must satisfy.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,11 +42,6 @@ WORDS = "get set user name config value list index file path read write open clo
 CHUNK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def spans(text: Column, kind: str, pattern: str, test) -> Column:
     """Array of (start, kind, end, m) of leftmost matches that don't overlap; ``text`` holds neither mark."""
     none = F.array().cast("array<struct<start:bigint,kind:string,end:bigint,m:string>>")

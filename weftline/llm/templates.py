@@ -28,8 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, fence, salted_join, table
-from weftline.llm.secrets import let
+from weftline.llm.common import cut, fence, let, salted_join, table
 
 WINDOW = 8
 LEAST = 5
