@@ -12,7 +12,7 @@ from weftline.functions.frames import once as cut
 from weftline.functions.frames import shared_folder
 from weftline.operators.graph import components as star_components
 
-__all__ = ["cut", "fence", "fresh", "let", "salted_join", "shared_folder", "slices", "star_components", "table"]
+__all__ = ["bounded", "cut", "fence", "fresh", "let", "salted_join", "shared_folder", "slices", "star_components", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     return left.withColumn("_salt", part).join(right.withColumn("_salt", parts), [*keys, "_salt"], how).drop("_salt")
 
 
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (written, of rows of at most so many bytes), marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, star_components, table
+from weftline.llm.common import bounded, cut, star_components, table
 
 SEED = 42
 #: Shingles whose bits are unpacked at a time.
@@ -221,9 +221,10 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     """
     num, den = similarity.as_integer_ratio()
     entries = nodes.select("id", "n", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("n") - F.col("at")).alias("ahead"), "n")
-    heads = entries.groupBy("key").agg(F.min(F.struct("id", "ahead", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    several = cut(entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"))
+    shared = cut(entries.join(bounded(several, 16), "key"))
+    heads = shared.groupBy("key").agg(F.min(F.struct("id", "ahead", "n")).alias("h"), F.count("*").alias("members"))
     heads = cut(heads.select("key", "members", F.col("h.id").alias("head"), F.col("h.ahead").alias("other_ahead"), F.col("h.n").alias("other_n")))
-    shared = cut(entries.join(heads.select("key"), "key"))
     may = F.least("ahead", "other_ahead") * (num + den) >= num * (F.col("n") + F.col("other_n"))
     apart = sum((F.bit_count(F.col("mark")[i].bitwiseXOR(F.col("other_mark")[i])) for i in range(MARK)), F.lit(0))
     near = apart * (num + den) <= (den - num) * (F.col("n") + F.col("other_n"))
@@ -238,8 +239,9 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     met = shared.join(heads.drop("members"), "key").where((F.col("id") > F.col("head")) & may)
     first = links(met.select(F.col("id").alias("a"), F.col("head").alias("b")))
     # Members of a bucket that the head left apart. Few buckets have such; only they take marks along.
-    parts = shared.join(star_components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-    parts = cut(parts.join(heads.where("members > 2").select("key", "head"), "key").where("id > head").drop("head"))
+    rest = cut(shared.join(bounded(cut(heads.where("members > 2").select("key", "head")), 24), "key").where("id > head").drop("head"))
+    parts = rest.join(star_components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    parts = cut(parts)
     several = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
     parts = cut(parts.join(several, "key").join(nodes.select("id", "mark").dropDuplicates(["id"]), "id"))
     other = parts.select("key", F.col("id").alias("b"), F.col("ahead").alias("other_ahead"), F.col("n").alias("other_n"), F.col("part").alias("other"), F.col("mark").alias("other_mark"))
@@ -262,15 +264,16 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     nodes = prints.join(groups.select("digest", "id"), ["digest", "id"], "left_semi")
 
     def sets(ids: DataFrame) -> DataFrame:
-        wanted = known.join(ids.withColumnRenamed("id", ident), ident, "left_semi")
+        wanted = known.join(bounded(cut(ids.withColumnRenamed("id", ident)), 32), ident, "left_semi")
         return shingle_sets(wanted, shingle, ident, text).dropDuplicates(["id"])
 
     linked = jaccard_components(nodes, sets, least)
     stay = groups.select("id").join(linked.where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-    kept = df.join(stay.withColumnRenamed("id", ident), ident, "left_semi").unionAll(df.where(F.col(ident).isNull()))
+    gone = cut(prints.select("id").distinct().join(stay, "id", "left_anti").withColumnRenamed("id", ident))
+    kept = df.join(bounded(gone, 32), ident, "left_anti")
     counts = groups.agg(F.sum("rows"), F.sum("ids")).first()
-    if counts[0] != counts[1]:  # a repeated row is the same document twice
-        kept = kept.dropDuplicates([ident, text])
+    if counts[0] != counts[1]:  # a repeated row is the same document twice; rows without an id aren't known to be
+        kept = kept.where(F.col(ident).isNotNull()).dropDuplicates([ident, text]).unionAll(kept.where(F.col(ident).isNull()))
     return kept
 
 
