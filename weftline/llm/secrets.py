@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns and character Markov models (operator 9).
 
 Base spans come from three patterns. The method adds spans: runs of 20 or more token characters for which a first-order
-Markov model of random strings is likelier than one of ordinary identifiers, by ``MARGIN`` nats in all, and which
-touch no base span. Both models are transition counts over labelled samples, summed by a grouped aggregation; what
-reaches the driver is one number for each pair of printable characters.
+Markov model of random strings is likelier than one of ordinary identifiers, by ``MARGIN`` nats in all and ``RATE`` a
+transition, and which touch no base span. A run's transitions count once each, and it needs ``DISTINCT`` of them, so
+repeated characters are no evidence.
+Both models are transition counts over labelled samples (random strings in four alphabets; identifiers of English words
+in six styles, and the corpus's own words), summed by a grouped aggregation; what reaches the driver is one number for
+each pair of printable characters.
 
 DataFrame functions only. Spark has no function for match positions, so matches are wrapped in two marks that no
 pattern fits (and that are replaced in the text beforehand, one character for one), the text is split at them, and
@@ -16,7 +19,9 @@ text; repeated rows are scanned each; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
+from pydoc_data.topics import topics
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +38,12 @@ BASE = (
 )
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KIND = "markov"
-MARGIN = 10.0
+MARGIN, RATE = 10.0, 0.5
+#: Distinct transitions that a random string has at least.
+DISTINCT = 10
 #: Documents from which ordinary words are taken as labelled samples, and random strings and identifiers made.
 FIT_ROWS = 5000
 MADE = 3000
-#: Words of identifiers that the labelled samples are made of, in several styles.
-WORDS = "get set user name config value list index file path read write open close data item count total first last next node tree table column row key map test build load save parse format text line buffer stream client server request response session cache event handler error message option default".split()
 CHUNK = 256
 
 
@@ -71,20 +76,29 @@ def spans(text: Column, kind: str, pattern: str, test) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def samples(docs: DataFrame, fit_rows: int = FIT_ROWS, made: int = MADE, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """token, random: labelled samples. Random: generated strings in three alphabets. Ordinary: identifiers made of
-    common words, and the words of a bounded sample of documents that hold no digit."""
+def english() -> list[str]:
+    """Words of the Python language's documentation, which comes with Python: some 3000."""
+    return sorted({w.lower() for text in topics.values() for w in re.findall(r"[A-Za-z]{2,14}", text)})
+
+
+def samples(docs: DataFrame, fit_rows: int = FIT_ROWS, made: int = MADE, ident: str = "doc_id", text: str = "text", vocabulary: list[str] | None = None) -> DataFrame:
+    """token, random: labelled samples. Random: generated strings in four alphabets. Ordinary: identifiers made of a
+    vocabulary, and the words of a bounded sample of documents that hold no digit."""
     spark = docs.sparkSession
     ids = spark.range(made)
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    upper = F.upper(F.regexp_replace(base64, "[+/]", "7"))
-    random = ids.select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.substring(upper, 1, 20))).alias("token"), F.lit(True).alias("random"))
-    words = F.array(*[F.lit(w) for w in WORDS])
-    word = lambda n: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(len(WORDS))) + 1).cast("int"))
-    four = [word(n) for n in range(4)]
-    styles = F.array(F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.upper(F.concat_ws("_", *four[:3])), F.concat_ws("/", *four))
-    ordinary = ids.select(F.explode(styles).alias("token"), F.lit(False).alias("random"))
+    plain = F.regexp_replace(base64, "[+/]", "7")
+    random = ids.select(F.explode(F.array(F.substring(digest, 1, 40), base64, F.substring(F.upper(plain), 1, 20), F.substring(F.lower(plain), 1, 32))).alias("token"), F.lit(True).alias("random"))
+    vocabulary = vocabulary or english()
+    words = F.split(F.lit(" ".join(vocabulary)), " ")
+    word = lambda n: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(len(vocabulary))) + 1).cast("int"))
+    four = [F.col(f"w{n}") for n in range(4)]
+    camel = F.concat(four[0], *[F.initcap(w) for w in four[1:]])
+    styles = F.array(F.concat_ws("_", *four), F.concat_ws("-", *four), camel, F.concat(F.initcap(four[3]), F.initcap(four[2]), F.initcap(four[1])), F.upper(F.concat_ws("_", *four[:3])), F.concat_ws("/", *four))
+    number = F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 0, F.pmod(F.xxhash64("id", F.lit(9)), F.lit(10_000)).cast("string")).otherwise("")
+    ordinary = ids.select(number.alias("number"), *[word(n).alias(f"w{n}") for n in range(4)]).select("number", F.explode(styles).alias("token"))
+    ordinary = ordinary.select(F.concat("token", "number").alias("token"), F.lit(False).alias("random"))
     rows = docs.count()
     part = F.pmod(F.xxhash64(ident), F.lit(max(1, -(-rows // fit_rows)))) == 0
     own = docs.where(part).select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[^A-Za-z0-9+/_=-]+")).alias("token"), F.lit(False).alias("random"))
@@ -107,10 +121,12 @@ def fit(labelled: DataFrame) -> list[float]:
     return [round(chance(True, a, b) - chance(False, a, b), 4) for a in range(32, 128) for b in range(32, 128)]
 
 
-def ratio(token: Column, model: Column) -> Column:
-    """Log-likelihood ratio of a token of printable characters."""
+def likely_random(token: Column, model: Column, margin: float = MARGIN, rate: float = RATE) -> Column:
+    """Whether the distinct transitions of a token of printable characters speak for a random string."""
     code = lambda i: F.ascii(F.substr(token, i, F.lit(1))) - 32
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.get(model, code(i) * 96 + code(i + 1)))
+    steps = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: code(i) * 96 + code(i + 1)))
+    ratio = lambda found: F.aggregate(found, F.lit(0.0), lambda s, x: s + F.get(model, x))
+    return let(steps, lambda found: let(ratio(found), lambda r: (F.size(found) >= DISTINCT) & (r > margin) & (r > rate * F.size(found))))
 
 
 def scan_secrets(docs: DataFrame, model: list[float], margin: float = MARGIN, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,7 +137,7 @@ def scan_secrets(docs: DataFrame, model: list[float], margin: float = MARGIN, id
     found = clean.select(ident, order(F.concat(*[spans(F.col("_t"), *b) for b in BASE])).alias("base"), spans(F.col("_t"), KIND, CANDIDATE, None).alias("more"))
     table_ = F.expr("cast(split('" + ",".join(map(str, model)) + "', ',') as array<double>)")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.filter("more", lambda s: free(s) & (ratio(s["m"], table_) > margin))
+    added = F.filter("more", lambda s: free(s) & likely_random(s["m"], table_, margin))
     return found.select(ident, "base", added.alias("added"))
 
 
