@@ -9,8 +9,10 @@ Queries are taken in blocks of ``block`` rows, a fixed bound on what is broadcas
 recomputes scores instead of storing rows x queries of them.
 
 Defined cases: vectors that are null, hold null or non-finite components, or whose length differs from the most
-common one take no part, nor do rows without an id; repeated rows are candidates each, a query's own id is none;
-a query with fewer than k candidates gets them all; an empty table gives an empty result.
+common one take no part, nor do rows without an id; rows are told apart as rows, so a repeated row is a candidate like
+any other, also for its twin, and each query row has its own result under its id; a query with fewer than k candidates
+gets them all; an empty table gives an empty result. Components so large that a score might not fit a long raise a
+ValueError before anything is scored.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ TILE = 1 << 22
 
 
 def integers(df: DataFrame, ident: str, vector: str, scale: float, is_query: Column) -> DataFrame:
-    """id, v, q: vectors whose components are all there and finite, as whole numbers floor(scale * x)."""
+    """row, id, v, q: vectors whose components are all there and finite, as whole numbers floor(scale * x), and the largest of them."""
     values = F.transform(vector, lambda x: x.cast("double"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     fit = F.col(ident).isNotNull() & F.col(vector).isNotNull() & F.forall(values, sound)
-    rows = df.where(fit).select(F.col(ident).cast("long").alias("id"), F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    return rows.where(F.size("v") > 0)
+    whole = F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
+    most = F.array_max(F.transform(values, lambda x: F.abs(x * F.lit(float(scale))))) + 1
+    rows = df.where(fit & (F.size(vector) > 0)).select(F.col(ident).cast("long").alias("id"), whole.alias("v"), most.alias("most"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -56,30 +60,33 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     """query_id, rank, id, score: the ``k`` highest scores of each query row, ties to the smaller id."""
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
     rows = cut(integers(df, ident, vector, scale, is_query))
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max(F.array_max(F.transform("v", F.abs))).alias("bound"))
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max("most").alias("bound"))
     common = lengths.orderBy(F.desc("rows"), "n").first()
     if common is None:
         return empty
     size, bound = common["n"], common["bound"]
+    if bound * bound * size >= 1 << 62:
+        raise ValueError(f"components up to {bound:g} in {size} dimensions: scores might not fit a long")
+    bound = int(bound)
     rows = rows.where(F.size("v") == size)
     exact = bound * bound * size < 1 << 53
-    wanted = cut(rows.where("q").select("id", "v").dropDuplicates(["id"]))
+    wanted = cut(rows.where("q").select("row", "id", "v"))
     blocks = max(1, -(-wanted.count() // block))
     out = empty
     for part in range(blocks):
-        found = _select(rows, wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part), k, size, bound, exact)
+        found = _select(rows, wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == part), k, size, bound, exact)
         out = out if found is None else out.unionAll(found)
     return out
 
 
 def _select(rows: DataFrame, block: DataFrame, k: int, size: int, bound: int, exact: bool) -> DataFrame | None:
     spark = rows.sparkSession
-    got = block.select("id", "v").toArrow()
+    got = block.select("row", "id", "v").toArrow()
     if not got.num_rows:
         return None
-    names = got.column("id").to_numpy()
+    names = got.column("row").to_numpy()
     queries = got.column("v").combine_chunks()
-    queries = spark.sparkContext.broadcast((names, np.asarray(queries.flatten().to_numpy()).reshape(-1, size)))
+    queries = spark.sparkContext.broadcast((names, got.column("id").to_numpy(), np.asarray(queries.flatten().to_numpy()).reshape(-1, size)))
     most = bound * bound * size
     width = 1
     while width * BINS <= 2 * most:
@@ -105,15 +112,16 @@ def _histogram(rows: DataFrame, queries, low: np.ndarray, width: int, size: int,
     """How many scores of each query lie in each bin of ``width`` from ``low`` on; scores outside aren't counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = queries.value
+        names, _, vectors = queries.value
         sums = np.zeros((len(names), BINS), np.int64)
         offset = (np.arange(len(names)) * BINS)[:, None]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for ids, scores in scored(batch.column("id").to_numpy(), matrix(batch.column("v"), size), vectors, exact):
+            rows_ = batch.column("row").to_numpy()
+            for at, scores in scored(np.arange(batch.num_rows), matrix(batch.column("v"), size), vectors, exact):
                 bins = (scores - low[:, None]) // width
-                inside = (bins >= 0) & (bins < BINS) & (ids[None, :] != names[:, None])
+                inside = (bins >= 0) & (bins < BINS) & (rows_[at][None, :] != names[:, None])
                 sums += np.bincount((bins + offset)[inside], minlength=sums.size).reshape(sums.shape)
         query, bin_ = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(bin_, pa.int32()), pa.array(sums[query, bin_])], ["query", "bin", "n"])
@@ -128,28 +136,29 @@ def _emit(rows: DataFrame, queries, kth: np.ndarray, need: np.ndarray, k: int, s
     """The rows above each query's kth score, and each task's smallest ids among those at it."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = queries.value
+        names, own, vectors = queries.value
         ties: dict[int, list[int]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             out = []
-            for ids, scores in scored(batch.column("id").to_numpy(), matrix(batch.column("v"), size), vectors, exact):
-                other = ids[None, :] != names[:, None]
-                query, at = np.nonzero((scores > kth[:, None]) & other)
-                out.append((names[query], ids[at], scores[query, at]))
-                query, at = np.nonzero((scores == kth[:, None]) & other)
+            rows_, all_ids = batch.column("row").to_numpy(), batch.column("id").to_numpy()
+            for at, scores in scored(np.arange(batch.num_rows), matrix(batch.column("v"), size), vectors, exact):
+                ids, other = all_ids[at], rows_[at][None, :] != names[:, None]
+                query, place = np.nonzero((scores > kth[:, None]) & other)
+                out.append((names[query], own[query], ids[place], scores[query, place]))
+                query, place = np.nonzero((scores == kth[:, None]) & other)
                 cuts = np.searchsorted(query, np.arange(len(names) + 1))
                 for q in np.unique(query):
-                    new = ids[at[cuts[q] : cuts[q + 1]]]
+                    new = ids[place[cuts[q] : cuts[q + 1]]]
                     ties[q] = np.sort(np.concatenate([ties.get(q, new[:0]), new]))[: need[q]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in range(3)], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in range(4)], ["query", "query_id", "id", "score"])
         for q, found in ties.items():
-            columns = (np.full(len(found), names[q]), found, np.full(len(found), kth[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "id", "score"])
+            columns = (np.full(len(found), names[q]), np.full(len(found), own[q]), found, np.full(len(found), kth[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query", "query_id", "id", "score"])
 
-    found = rows.mapInArrow(pick, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = rows.mapInArrow(pick, "query long, query_id long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
