@@ -1,10 +1,10 @@
 """Sharding by a hierarchical weighted hash tree (operator 2).
 
-A shard sits in a rack and a rack in a region. A key descends the tree: at each level every child draws
--ln(u) / weight, u being a hash of the key and the child's name, and the smallest draw wins. A child's weight is the
-number of its shards, so shards get equal parts. Draws of other children don't depend on a child's weight, so a change
-moves keys only into or out of the subtrees whose weights change. A shard that opens a new region takes keys only into
-itself; one that joins a region brings keys to that region, of which its own rack's other shards get some.
+A shard sits in a rack and a rack in a region. For a key each shard draws -ln(u) / weight, u being a hash of the key and
+the shard's name; a rack's draw is the smallest of its shards', a region's the smallest of its racks'. The key descends by
+the smallest draw, which a subtree wins in proportion to the weight below it. Draws don't depend on what else
+there is, so a shard that comes takes keys only into itself, wherever it stands, one that goes gives its keys up, and a
+weight that changes moves keys only into or out of its shard.
 
 DataFrame functions only. Slots are numbered within each (shard, input partition) and shifted by the counts of the
 partitions before, so no task holds a whole shard and copies of one key are spread as the input is.
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, table
+from weftline.llm.common import cut, let, table
 
 Tree = dict[str, dict[str, dict[int, float]]]
 #: Fixed bytes of a row besides its text.
@@ -36,30 +36,29 @@ def tree(shards: int, racks: int = 4, per_rack: int = 2) -> Tree:
     return out
 
 
-def children(topology: Tree) -> dict[str, dict[str, float]]:
-    """Weight of every child by its parent; the root is the empty name, others are paths."""
-    out: dict[str, dict[str, float]] = {"": {}}
+def descend(key: Column, topology: Tree) -> Column:
+    """(draw, region, rack, shard) of ``key``. At each level the smallest draw wins; of equal draws, the smaller name. Null without shards."""
+    levels = []
     for region, racks in topology.items():
-        out[""][region] = sum(sum(x.values()) for x in racks.values())
         for rack, leaves in racks.items():
-            out.setdefault(region, {})[f"{region}/{rack}"] = sum(leaves.values())
-            out[f"{region}/{rack}"] = {f"{region}/{rack}/{shard}": weight for shard, weight in leaves.items()}
-    return out
+            shards = [F.struct(F.lit(f"{region}/{rack}/{shard}").alias("path"), F.lit(shard).alias("shard"), F.lit(float(w)).alias("w")) for shard, w in leaves.items() if w > 0]
+            if shards:
+                levels.append((region, F.struct(F.lit(rack).alias("rack"), F.array(*shards).alias("shards"))))
+    regions = [F.struct(F.lit(region).alias("region"), F.array(*[r for name, r in levels if name == region]).alias("racks")) for region in dict.fromkeys(name for name, _ in levels)]
+    if not regions:
+        return F.lit(None).cast("struct<draw:double,region:string,rack:string,shard:int>")
 
+    def draw(shard: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, shard["path"]), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.ln(u) / shard["w"]).alias("draw"), shard["shard"].alias("shard"))
 
-def descend(key: Column, topology: Tree) -> Column:
-    """The shard of ``key``. At each level the smallest draw wins; of equal draws, the smaller name."""
-    lists = [F.lit(parent) if i == 0 else F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(w)).alias("w")) for n, w in named.items() if w > 0]) for parent, named in children(topology).items() for i in range(2)]
-    table_ = F.create_map(*lists)
-
-    def step(node: Column) -> Column:
-        def draw(child: Column) -> Column:
-            u = (F.conv(F.substring(F.md5(F.concat_ws("|", key, child["n"])), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-            return F.struct((-F.ln(u) / child["w"]).alias("d"), child["n"].alias("n"))
+    def of_rack(rack: Column) -> Column:
+        return let(F.array_min(F.transform(rack["shards"], draw)), lambda best: F.struct(best["draw"].alias("draw"), rack["rack"].alias("rack"), best["shard"].alias("shard")))
 
-        return F.array_min(F.transform(F.element_at(table_, node), draw))["n"]
+    def of_region(region: Column) -> Column:
+        return let(F.array_min(F.transform(region["racks"], of_rack)), lambda best: F.struct(best["draw"].alias("draw"), region["region"].alias("region"), best["rack"].alias("rack"), best["shard"].alias("shard")))
 
-    return F.element_at(F.split(step(step(step(F.lit("")))), "/"), -1).cast("int")
+    return F.array_min(F.transform(F.array(*regions), of_region))
 
 
 def with_slots(df: DataFrame, shard: str, out: str = "slot") -> DataFrame:
@@ -77,9 +76,9 @@ def shard_rows(df: DataFrame, shards: int, grown: int | None = None, ident: str
     """ident, size, text_crc32, shard, slot and, with ``grown``, grown_shard: the shard among so many."""
     key = F.coalesce(F.col(ident).cast("string"), F.lit("null"))
     body = F.coalesce(F.col(text), F.lit(""))
-    places = {"shard": descend(key, tree(shards, racks, per_rack))}
+    places = {"shard": descend(key, tree(shards, racks, per_rack))["shard"]}
     if grown:
-        places["grown_shard"] = descend(key, tree(grown, racks, per_rack))
+        places["grown_shard"] = descend(key, tree(grown, racks, per_rack))["shard"]
     placed = df.select(ident, (F.octet_length(body) + OVERHEAD).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *[c.alias(name) for name, c in places.items()])
     return with_slots(placed, "shard")
 
