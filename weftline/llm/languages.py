@@ -2,9 +2,9 @@
 
 Four pieces of evidence on a page multiply: its text's likelihood under each language (hashed byte trigrams, counted
 over all labelled documents), the language that its markup declares, its address suffix, and a prior of its host. What
-declarations, suffixes and hosts say is estimated by grouped sums of the pages' posteriors from text alone; a host's
-share is smoothed towards its parent domain's, that towards its suffix's, that towards the whole, without the page's
-own part.
+declarations, suffixes and hosts say is estimated by grouped sums of the pages' posteriors from text alone, always
+without the page's own part, so that nothing confirms itself; a host's share is smoothed towards its parent domain's, that
+towards the whole. The suffix is evidence of its own and enters the host prior nowhere.
 
 Text of n trigrams counts as at most ``EFFECTIVE`` independent ones, as neighbours repeat each other.
 
@@ -123,16 +123,18 @@ def identify(pages: DataFrame, docs: DataFrame, ident: str = "page_id", url: str
     tally = cut(hosts.join(up("parent", "p"), "parent").join(up("suffix", "s"), "suffix"))
     said = {r.declared: np.array([r[f"d{i}"] for i in range(k)]) for r in rows.groupBy("declared").agg(*shares("post", k, "d")).collect()}
     whole = np.sum(list(said.values()), axis=0) if said else np.zeros(k)
-    base = (whole + 1) / (whole.sum() + k)
-    # P(declared | language), with one more count for each declaration that could be made.
-    chance = {d: np.log((n + 1) / (whole + k + 2)) for d, n in said.items()}
+    suffixes = tally.agg(F.count_distinct("suffix")).first()[0]
     joined = rows.join(tally.drop("parent", "suffix"), "host")
     own = [F.col("post")[i] for i in range(k)]
-    level = lambda lead, below: [(F.greatest(F.col(f"{lead}{i}") - own[i], F.lit(0.0)) + STRENGTH * below[i]) / (sum((F.col(f"{lead}{j}") for j in range(k)), F.lit(0.0)) - 1 + STRENGTH) for i in range(k)]
-    prior = level("h", level("p", level("s", [F.lit(float(b)) for b in base])))
-    # P(suffix | language) by the suffix's sums, against what its pages would have if suffixes said nothing.
-    suffix = [F.ln((F.col(f"s{i}") + 1) / (float(whole[i]) + k)) - F.ln((sum((F.col(f"s{j}") for j in range(k)), F.lit(0.0)) + k) / (float(whole.sum()) + k * k)) for i in range(k)]
-    says = [F.coalesce(*[F.when(F.col("declared") == d, float(c[i])) for d, c in chance.items()], F.lit(0.0)) for i in range(k)]
+    rest = lambda sums: [F.greatest(x - own[i], F.lit(0.0)) for i, x in enumerate(sums)]
+    others = rest([F.lit(float(x)) for x in whole])
+    base = [(x + 1) / (float(whole.sum()) - 1 + k) for x in others]
+    level = lambda lead, below: [(x + STRENGTH * below[i]) / (sum((F.col(f"{lead}{j}") for j in range(k)), F.lit(0.0)) - 1 + STRENGTH) for i, x in enumerate(rest([F.col(f"{lead}{j}") for j in range(k)]))]
+    prior = level("h", level("p", base))
+    # P(suffix | language) and P(declared | language), with one more count for each value that there could be.
+    suffix = [F.ln((x + 1) / (others[i] + suffixes)) for i, x in enumerate(rest([F.col(f"s{i}") for i in range(k)]))]
+    sums = [F.coalesce(*[F.when(F.col("declared") == d, float(n[i])) for d, n in said.items()], F.lit(0.0)) for i in range(k)]
+    says = [F.ln((x + 1) / (others[i] + k + 2)) for i, x in enumerate(rest(sums))]
     logs = F.array(*[F.col("said")[i] + says[i] + suffix[i] + F.ln(prior[i]) for i in range(k)])
     scored = joined.select(ident, "host", "declared", "post", logs.alias("logs")).withColumn("top", F.array_max("logs"))
     named = F.array(*[F.lit(x) for x in langs])
