@@ -33,7 +33,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     """
     part = F.pmod(spread if spread is not None else F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     parts = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    return left.withColumn("_salt", part).join(right.withColumn("_salt", parts), [*keys, "_salt"], how).drop("_salt")
+    salt = max(fresh(left, "salt") + fresh(right, "salt"), key=len)
+    return left.withColumn(salt, part).join(right.withColumn(salt, parts), [*keys, salt], how).drop(salt)
 
 
 #: Bytes up to which a counted table is broadcast.

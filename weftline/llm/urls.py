@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, salted_join, table
+from weftline.llm.common import cut, fresh, salted_join, table
 
 #: (host and path, verdict): fixed values of the query.
 RULES = (
@@ -45,9 +45,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without its www., m. or blog. and path without its last slash or .html; null without a host."""
-    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(www|m|blog)\.", ""), F.regexp_replace(path, r"(/|\.html)$", "")))
+def query_of(url: Column) -> Column:
+    """From the question mark on, up to a number sign; empty where nothing follows the mark."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1), F.lit(""))
+
+
+def canonical(host: Column, path: Column, query: Column) -> Column:
+    """Host without user, port, last dot and a leading www., m. or blog., path without its last slash or .html, and the query; null without a host."""
+    name = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@|\.?(:[0-9]*)?$", ""), r"^(www|m|blog)\.", "")
+    return F.when(host != "", F.concat(name, F.regexp_replace(path, r"(/|\.html)$", ""), query))
 
 
 def rule_of(host: Column, path: Column, rules) -> Column:
@@ -59,39 +65,41 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
-def masks() -> list[Column]:
-    """One bit of each word, from the column _bits."""
-    return [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_bits, {6 * i}) & 63 as int))") for i in range(WORDS)]
+def masks(bits: str) -> list[Column]:
+    """One bit of each word, from the column ``bits``."""
+    return [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{bits}`, {6 * i}) & 63 as int))") for i in range(WORDS)]
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """block, w0 ... w7 of the distinct ``canon`` values; blocks without a URL have no row."""
     keyed = listed.select(F.pmod(F.xxhash64("canon"), F.lit(blocks)).alias("block"), F.xxhash64("canon", F.lit(1)).alias("_bits"))
-    keyed = keyed.select("block", *[mask.alias(f"w{i}") for i, mask in enumerate(masks())])
+    keyed = keyed.select("block", *[mask.alias(f"w{i}") for i, mask in enumerate(masks("_bits"))])
     return keyed.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=(), url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict. listed: a column of this name with the URLs to block."""
     made = ("host", "path", "rule", "verdict")
-    listed = cut(listed.select(canonical(host_of(F.col(url)), path_of(F.col(url))).alias("canon")).where("canon is not null").distinct())
+    of = lambda: canonical(host_of(F.col(url)), path_of(F.col(url)), query_of(F.col(url)))
+    listed = cut(listed.select(of().alias("canon")).where("canon is not null").distinct())
     count = listed.count()
     blocks = max(1, -(-count * BITS_PER_URL // (64 * WORDS)))
-    table_ = bloom(listed, blocks)
+    names = [c for c in pages.columns if c.lower() not in made]
+    canon, block, bits, hit, found, own, *words = fresh(pages, "canon", "block", "bits", "hit", "listed", "own", *[f"w{i}" for i in range(WORDS)])
+    table_ = bloom(listed, blocks).toDF(own, *words)
     small = blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES
-    rows = pages.drop(*made).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "_canon": canonical(F.col("host"), F.col("path"))})
-    rows = rows.withColumns({"_block": F.coalesce(F.pmod(F.xxhash64("_canon"), F.lit(blocks)), F.lit(-1)), "_bits": F.xxhash64("_canon", F.lit(1))})
-    keep = rows.columns
-    probe = rows.join(F.broadcast(table_) if small else table_, F.col("_block") == F.col("block"), "left")
-    hit = F.lit(True)
-    for i, mask in enumerate(masks()):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(mask) != 0)
-    probe = cut(probe.withColumn("_hit", F.coalesce(hit, F.lit(False))).select(*keep, "_hit"))
-    exact = salted_join(probe.where("_hit"), listed.select(F.col("canon").alias("_canon"), F.lit(True).alias("_listed")), ["_canon"], how="left")
-    both = exact.unionByName(probe.where("not _hit").withColumn("_listed", F.lit(None).cast("boolean")))
-    verdicts = F.coalesce(*[F.when(F.col("rule") == rule, F.lit(verdict)) for rule, verdict in rules], F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return both.withColumn("verdict", verdicts).drop("_canon", "_block", "_bits", "_hit", "_listed")
+    rows = pages.select(*[F.col(f"`{c}`") for c in names], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), of().alias(canon))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumns({block: F.coalesce(F.pmod(F.xxhash64(canon), F.lit(blocks)), F.lit(-1)), bits: F.xxhash64(canon, F.lit(1))})
+    probe = rows.join(F.broadcast(table_) if small else table_, F.col(block) == F.col(own), "left")
+    passed = F.lit(True)
+    for word, mask in zip(words, masks(bits), strict=True):
+        passed = passed & (F.col(word).bitwiseAND(mask) != 0)
+    probe = cut(probe.withColumn(hit, F.coalesce(passed, F.lit(False))).drop(own, *words, block, bits))
+    exact = salted_join(probe.where(F.col(hit)), listed.select(F.col("canon").alias(canon), F.lit(True).alias(found)), [canon], how="left")
+    both = exact.unionByName(probe.where(~F.col(hit)).withColumn(found, F.lit(None).cast("boolean")))
+    verdicts = F.coalesce(*[F.when(F.col("rule") == rule, F.lit(verdict)) for rule, verdict in rules], F.when(F.col(found), F.lit("block")).otherwise(F.lit("allow")))
+    return both.withColumn("verdict", verdicts).drop(canon, hit, found)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +119,11 @@ ORACLE_SQL = {
         WITH parts AS (
             SELECT page_id,
                    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\\?[^#]+)', 1), '') AS query
             FROM pages
         ), canon AS (
-            SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m|blog)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') END AS canon,
+            SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '(?s)^.*@|\\.?(:[0-9]*)?$', '', 'g'), '^(www|m|blog)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') || query END AS canon,
                    regexp_matches(host, '(^|\\.)(ads-track\\.example\\.com|spam-farm\\.example\\.org|casino-win\\.example\\.net|adult-x\\.example\\.com|cheap-pills\\.example\\.net|free-bets\\.example\\.net)$') AS on_list
             FROM parts
         ), rules(rule, name, start, verdict) AS (
