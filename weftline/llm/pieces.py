@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table
+from weftline.llm.common import slices, table
 
 SPACE = "▁".encode()
 UNKNOWN_SURFACE = " ⁇ ".encode()
@@ -259,7 +259,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text", prefix: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             found = list(codec.encode(texts))
             new = [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
@@ -276,7 +276,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "piece_ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             new = pa.array([None if x is None else codec.decode(x) for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), new], [*kept, out])
 
@@ -296,7 +296,7 @@ def digest_pieces(df: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = list(digests(codec, [x or "" for x in batch.column("text").to_pylist()]))
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])

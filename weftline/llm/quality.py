@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import hashed
-from weftline.llm.common import table
+from weftline.llm.common import slices, table
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
 #: Documents that the scorer is fitted on, at most; picked by a hash of their id.
@@ -140,7 +140,7 @@ def each(df: DataFrame, ident: str, text: str, extra: str, one: Callable[[str, n
     names = [x.split()[0] for x in extra.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for x in batch.column(text):
                 body = x.as_py() or ""
@@ -194,11 +194,12 @@ def keep_good(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
     """``df`` without the documents that the scorer rejects; all columns stay."""
     weights = df.sparkSession.sparkContext.broadcast(fit(df, ident, text).weights)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda x: bool(features((x or "").encode(), statistics(x or "")) @ weights.value >= 0)).astype(bool)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bodies = (x.as_py() or "" for x in batch.column(text))
+            yield batch.filter(pa.array([bool(features(x.encode(), statistics(x)) @ weights.value >= 0) for x in bodies], pa.bool_()))
 
-    return df.where(good(F.col(text)))
+    return df.mapInArrow(good, df.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

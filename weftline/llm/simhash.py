@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded, cut, star_components, table
+from weftline.llm.common import bounded, cut, slices, star_components, table
 
 SEED = 42
 #: Shingles whose bits are unpacked at a time.
@@ -35,8 +35,8 @@ MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 GOLDEN = 0x9E3779B97F4A7C15
 #: Documents from which common shingles are counted, about, and how many of these shingles are known at most.
 SAMPLE, HOT = 20_000, 1 << 16
-#: 64-bit words of a shingle set's mark.
-MARK = 16
+#: 64-bit words of a shingle set's mark, and members from which it has a tally.
+MARK, LONG = 16, 1024
 
 
 def shingle_hashes(data: bytes, size: int, distinct: bool) -> np.ndarray:
@@ -79,7 +79,7 @@ def with_fingerprints(df: DataFrame, specs: dict[str, tuple[int, bool, int]], id
     """``ident`` and an array of signed 64-bit words for each spec, name -> (words a shingle, shingles distinct, 64-bit words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {name: [] for name in specs}
             for x in batch.column(text):
                 data = (x.as_py() or "").encode()
@@ -159,7 +159,7 @@ def common_shingles(df: DataFrame, shingle: int, ident: str, text: str) -> np.nd
     share = max(1, df.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for x in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes((x.as_py() or "").encode(), shingle, True).view(np.int64))], ["h"])
 
@@ -172,7 +172,7 @@ def shingle_sets(df: DataFrame, shingle: int, ident: str, text: str) -> DataFram
     """``ident`` and the set of the text's shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_hashes((x.as_py() or "").encode(), shingle, True).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
@@ -184,7 +184,8 @@ def prefixes(df: DataFrame, similarity: Fraction, shingle: int, ident: str, text
     order of all shingles, common ones last.
 
     mark: for each value of the hashes' last bits, whether an odd number of shingles has it. Every shingle that only one
-    of two sets holds changes one bit, so marks differ in no more bits than sets in members.
+    of two sets holds changes one bit, so marks differ in no more bits than sets in members. tally: for sets of LONG members
+    or more, how many have each value; these differ by no more than the sets, too, and say more of large sets.
     """
     common = common_shingles(df, shingle, ident, text)
     places = np.argsort(common)
@@ -198,24 +199,26 @@ def prefixes(df: DataFrame, similarity: Fraction, shingle: int, ident: str, text
         return found[np.lexsort((found, np.where(known[at] == found, places[at] + 1, 0)))][:size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, sizes, marks, keys = [], [], [], []
+        for batch in slices(batches):
+            digests, sizes, marks, tallies, keys = [], [], [], [], []
             for x in batch.column(1):
                 found = np.sort(shingle_hashes((x.as_py() or "").encode(), shingle, True).view(np.int64))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
-                marks.append(np.packbits(np.bincount(found & (64 * MARK - 1), minlength=64 * MARK) & 1).view(np.int64))
+                counts = np.bincount(found & (64 * MARK - 1), minlength=64 * MARK)
+                marks.append(np.packbits(counts & 1).view(np.int64))
+                tallies.append(np.minimum(counts, 32767).astype(np.int16) if len(found) >= LONG else None)
                 keys.append(first(found))
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "digest", "n", "mark", "keys"])
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(tallies, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "digest", "n", "mark", "tally", "keys"])
 
-    return df.select(F.col(ident).alias("id"), text).mapInArrow(run, f"id {dict(df.dtypes)[ident]}, digest binary, n int, mark array<bigint>, keys array<bigint>")
+    return df.select(F.col(ident).alias("id"), text).mapInArrow(run, f"id {dict(df.dtypes)[ident]}, digest binary, n int, mark array<bigint>, tally array<smallint>, keys array<bigint>")
 
 
 def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
     """(node, root) of the nodes that link to others: those whose sets have at least the Jaccard similarity.
 
-    nodes: id, n, mark, keys (see ``prefixes``); sets: the table (id, shingles) of the ids in a table. Of two such sets, the
+    nodes: id, n, mark, tally, keys (see ``prefixes``); sets: the table (id, shingles) of the ids in a table. Of two such sets, the
     first common member in the order stands among the keys of both, so equal keys find every pair. From its places it
     also follows how many members can be common at most; the rest is counted.
     """
@@ -229,6 +232,14 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     apart = sum((F.bit_count(F.col("mark")[i].bitwiseXOR(F.col("other_mark")[i])) for i in range(MARK)), F.lit(0))
     near = apart * (num + den) <= (den - num) * (F.col("n") + F.col("other_n"))
 
+    def marked(pairs: DataFrame) -> DataFrame:
+        """Pairs whose marks may belong to near copies; few of the others are left, so few sets are read."""
+        marks = nodes.select("id", "n", "mark", "tally")
+        gap = F.aggregate(F.zip_with("tally", "other_tally", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+        tallied = F.when(F.col("tally").isNotNull() & F.col("other_tally").isNotNull(), gap * (num + den) <= (den - num) * (F.col("n") + F.col("other_n"))).otherwise(True)
+        first = cut(pairs.select("a", "b").distinct()).join(marks.withColumnRenamed("id", "a"), "a")
+        return first.join(marks.toDF("b", "other_n", "other_mark", "other_tally"), "b").where(near & tallied)
+
     def links(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select("a", "b").distinct())
         own = cut(sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
@@ -237,7 +248,7 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
         return cut(both.where(alike).select("a", "b"))
 
     met = shared.join(heads.drop("members"), "key").where((F.col("id") > F.col("head")) & may)
-    first = links(met.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    first = links(marked(met.select(F.col("id").alias("a"), F.col("head").alias("b"))))
     # Members of a bucket that the head left apart. Few buckets have such; only they take marks along.
     rest = cut(shared.join(bounded(cut(heads.where("members > 2").select("key", "head")), 24), "key").where("id > head").drop("head"))
     parts = rest.join(star_components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
@@ -245,7 +256,7 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     several = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
     parts = cut(parts.join(several, "key").join(nodes.select("id", "mark").dropDuplicates(["id"]), "id"))
     other = parts.select("key", F.col("id").alias("b"), F.col("ahead").alias("other_ahead"), F.col("n").alias("other_n"), F.col("part").alias("other"), F.col("mark").alias("other_mark"))
-    second = links(parts.join(other, "key").where((F.col("id") > F.col("b")) & (F.col("part") != F.col("other")) & may & near).select(F.col("id").alias("a"), "b"))
+    second = links(marked(parts.join(other, "key").where((F.col("id") > F.col("b")) & (F.col("part") != F.col("other")) & may & near).select(F.col("id").alias("a"), "b")))
     return star_components(first.unionAll(second))
 
 
@@ -261,7 +272,8 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     known = df.where(F.col(ident).isNotNull())
     prints = cut(prefixes(known, least, shingle, ident, text))
     groups = cut(prints.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.count_distinct("id").alias("ids")))
-    nodes = prints.join(groups.select("digest", "id"), ["digest", "id"], "left_semi")
+    same = prints.select("digest", "id").join(groups.select("digest", F.col("id").alias("least")), "digest").where("id > least").select("digest", "id")
+    nodes = prints.join(bounded(cut(same), 64), ["digest", "id"], "left_anti")
 
     def sets(ids: DataFrame) -> DataFrame:
         wanted = known.join(bounded(cut(ids.withColumnRenamed("id", ident)), 32), ident, "left_semi")
