@@ -5,12 +5,17 @@ tree(node, parent, length, tip): tip holds the genome of a leaf, null for inner
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.frames import once
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that is the same in any order: of their nine decimals."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
+
+
 def closure(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     """(anc, node, up): every node with each of its ancestors, itself included, and the distance between them.
 
@@ -35,7 +40,7 @@ def node_stats(tree: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """
     pairs = closure(tree) if pairs is None else pairs
     below = pairs.join(tree.select("node", "length", "tip"), "node")
-    sums = below.groupBy("anc").agg(F.sum(F.when(F.col("node") != F.col("anc"), F.col("length")).otherwise(0.0)).alias("desc_len"), F.count("tip").alias("n_tips"), F.max(F.when(F.col("tip").isNotNull(), F.col("up"))).alias("reach"))
+    sums = below.groupBy("anc").agg(exact_sum(F.when(F.col("node") != F.col("anc"), F.col("length")).otherwise(0.0)).alias("desc_len"), F.count("tip").alias("n_tips"), F.max(F.when(F.col("tip").isNotNull(), F.col("up"))).alias("reach"))
     depth = pairs.groupBy("node").agg((F.count("*") - 1).alias("depth"))
     # The longest path whose top is a node joins its two children of farthest reach; below it, another may be longer.
     arms = tree.where("parent is not null").join(sums.select(F.col("anc").alias("node"), "reach"), "node").select(F.col("parent").alias("anc"), (F.col("reach") + F.col("length")).alias("arm"))
@@ -65,7 +70,7 @@ def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFr
     rows = rows.join(top, "set_id").withColumn("full", F.col("c") == F.col("n_tips"))
     up = rows.select("set_id", F.col("node").alias("parent"), F.col("full").alias("parent_full"))
     largest = rows.where("full and node <> mrca").join(up, ["set_id", "parent"]).where("parent = mrca or not parent_full")
-    patch = largest.groupBy("set_id").agg(F.sum(F.when(F.col("tip").isNotNull(), F.col("length")).otherwise(F.col("desc_len"))).alias("tmd"))
+    patch = largest.groupBy("set_id").agg(exact_sum(F.when(F.col("tip").isNotNull(), F.col("length")).otherwise(F.col("desc_len"))).alias("tmd"))
     head = rows.where("node = mrca").select("set_id", "mrca", "full", "n_tips", "size", "desc_len", F.col("max_tip_dist").alias("mmd")).join(patch, "set_id", "left")
     tmd = F.when(F.col("size") > 1, F.coalesce("tmd", F.lit(0.0))).otherwise(0.0)
     return head.select("set_id", "mrca", tmd.alias("tmd"), "mmd", F.when(F.col("full"), 0.0).otherwise(1 - tmd / F.col("desc_len")).alias("pds"), (F.col("n_tips") - F.col("size")).alias("n_missing"))

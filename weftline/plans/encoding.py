@@ -111,7 +111,7 @@ nations AS (
 ), widest AS (
     SELECT c.anc AS node, max(d) AS max_tip_dist FROM closure c JOIN tip_dist t ON c.node = t.anc GROUP BY c.anc
 ), sums AS (
-    SELECT c.anc AS node, sum(CASE WHEN c.node <> c.anc THEN t.length ELSE 0 END) AS desc_len, count(t.tip) AS n_tips FROM closure c JOIN tree t ON c.node = t.node GROUP BY c.anc
+    SELECT c.anc AS node, sum((CASE WHEN c.node <> c.anc THEN t.length ELSE 0 END)::DECIMAL(28,9))::DOUBLE AS desc_len, count(t.tip) AS n_tips FROM closure c JOIN tree t ON c.node = t.node GROUP BY c.anc
 ), stats AS (
     SELECT t.*, s.desc_len, s.n_tips, (SELECT count(*) - 1 FROM closure c WHERE c.node = t.node) AS depth, coalesce(w.max_tip_dist, 0.0) AS max_tip_dist
     FROM tree t JOIN sums s ON t.node = s.node LEFT JOIN widest w ON t.node = w.node
@@ -125,7 +125,7 @@ sizes AS (SELECT set_id, count(*) AS size FROM members GROUP BY ALL),
 nodes AS (SELECT * FROM counts JOIN stats USING (node) JOIN sizes USING (set_id)),
 tops AS (SELECT set_id, max_by(node, depth) AS mrca FROM nodes WHERE c = size GROUP BY set_id),
 patches AS (
-    SELECT n.set_id, sum(CASE WHEN n.tip IS NOT NULL THEN n.length ELSE n.desc_len END) AS tmd
+    SELECT n.set_id, sum((CASE WHEN n.tip IS NOT NULL THEN n.length ELSE n.desc_len END)::DECIMAL(28,9))::DOUBLE AS tmd
     FROM nodes n JOIN tops t ON n.set_id = t.set_id JOIN nodes p ON p.set_id = n.set_id AND p.node = n.parent
     WHERE n.c = n.n_tips AND n.node <> t.mrca AND (p.node = t.mrca OR p.c < p.n_tips) GROUP BY n.set_id
 ), distances AS (

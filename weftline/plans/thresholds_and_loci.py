@@ -12,7 +12,7 @@ from weftline.plans import encoding as enc
 from weftline.plans.sets_and_trees import TOP, frequent, joined, on_tree, pairs_of, triples_of
 
 QUERIES, ORACLE_SQL = {}, {}
-SAMPLES, SEED = 2000, "null"
+SAMPLES, SEED = 10_000, "null"
 
 
 def query(sql: str | None = None):
@@ -95,7 +95,7 @@ SUPPORTED = """, all_sets AS (SELECT key, list_sort(list(ome)) AS omes FROM comb
     counts2 AS (SELECT set_id, c.anc AS node, count(*) AS c FROM members2 JOIN closure c ON members2.node = c.node GROUP BY ALL),
     nodes2 AS (SELECT * FROM counts2 JOIN stats USING (node)),
     tops2 AS (SELECT set_id, max_by(node, depth) AS mrca FROM nodes2 WHERE c = len(set_id) GROUP BY set_id),
-    tmd2 AS (SELECT t.set_id, coalesce(sum(CASE WHEN n.tip IS NOT NULL THEN n.length ELSE n.desc_len END), 0.0) AS tmd FROM tops2 t
+    tmd2 AS (SELECT t.set_id, coalesce(sum((CASE WHEN n.tip IS NOT NULL THEN n.length ELSE n.desc_len END)::DECIMAL(28,9))::DOUBLE, 0.0) AS tmd FROM tops2 t
              LEFT JOIN (SELECT n.*, p.node AS up, p.c < p.n_tips AS loose FROM nodes2 n JOIN nodes2 p ON p.set_id = n.set_id AND p.node = n.parent WHERE n.c = n.n_tips) n
              ON n.set_id = t.set_id AND n.node <> t.mrca AND (n.up = t.mrca OR n.loose) GROUP BY t.set_id),
     low AS (SELECT s.key, min(b.threshold) AS bar FROM (SELECT key, unnest(omes) AS ome FROM all_sets) s JOIN parts USING (ome) JOIN bars b USING (part) GROUP BY s.key)
