@@ -27,13 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, fresh, let, salted_join, slices, table
+from weftline.llm.common import BROADCAST_BYTES, cut, fresh, let, slices, table
 
 MIN_WORDS = 50
 #: Bytes of a 128-bit hash.
 WIDE = 16
-#: Bytes of the table of rewritten documents' ranges up to which it is broadcast, so that texts stay where they are.
-BROADCAST_BYTES = 32 << 20
 
 
 def line_hashes(text: str) -> tuple[bytes, list[int], list[int]]:
@@ -145,12 +143,13 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_
     places = lines.select("id", "mark", F.explode(F.arrays_zip("marks", "keys")).alias("m")).select("id", "mark", F.col("m.marks").alias("at"), F.col("m.keys").alias("key"))
     # A row of an id twice over holds no position twice.
     shared = places.groupBy("key").agg(F.min(F.struct("id", "mark", "at")).alias("x"), F.max(F.struct("id", "mark", "at")).alias("y")).where("x < y").select("key")
-    met = salted_join(places, shared, ["key"]).groupBy("id", "mark").agg(F.collect_set("at").alias("found"))
+    # Joins with written tables, so that AQE can split a key that many places share.
+    met = places.join(cut(shared), "key").groupBy("id", "mark").agg(F.collect_set("at").alias("found"))
     spans = met.join(lines.select("id", "mark", "digests", "counts"), ["id", "mark"]).mapInArrow(expand, f"{kind}, windows array<struct<start:int,end:int,key:binary>>")
     spans = cut(spans.select("id", "mark", F.explode("windows").alias("w")).select("id", "mark", "w.*"))
     first = spans.groupBy("key").agg(F.min(F.struct("id", "mark", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     apart = (F.col("id") != F.col("first.id")) | (F.col("mark") != F.col("first.mark")) | (F.col("start") >= F.col("first.end"))
-    later = salted_join(spans, first, ["key"]).where(apart)
+    later = spans.join(cut(first), "key").where(apart)
     # Sorted ends are enough to tell what the windows cover.
     covered = later.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     both = covered.join(lines.select("id", "mark", "counts", "places", "n"), ["id", "mark"])

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, fence, let, salted_join, table
+from weftline.llm.common import BROADCAST_BYTES, cut, fence, let, table
 
 WINDOW = 8
 LEAST = 5
@@ -36,8 +36,6 @@ LEAST = 5
 RUN = 6
 #: Tokens of a text in one row.
 SEGMENT = 4096
-#: Bytes of the benchmark's windows up to which their table is broadcast.
-BROADCAST_BYTES = 64 << 20
 #: Placeholders; a raw token of the kind holds its value behind the digit. A word has no digits.
 NUMBER, UNIT, NAME = "0", "1", "2"
 #: Stands before a word that may be a name.
@@ -235,8 +233,8 @@ def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str =
     distinct = found.groupBy("run").agg(F.first("size").alias("size"), F.first("raw").alias("raw"))
     partial = cut(run_matches(distinct, bench, test, (summary.bytes or 0) <= BROADCAST_BYTES))
     parts = partial.agg(F.sum(F.octet_length(F.to_json("slots")) + 128)).first()[0] or 0
-    held = found.select("id", "run", F.col("at").alias("first")).distinct()
-    met = held.join(F.broadcast(partial), "run") if parts <= BROADCAST_BYTES else salted_join(held, partial, ["run"], 64)
+    held = cut(found.select("id", "run", F.col("at").alias("first")).distinct())  # beside a written table: AQE splits a run that many hold
+    met = held.join(F.broadcast(partial) if parts <= BROADCAST_BYTES else partial, "run")
     lined = met.groupBy("id", "item_id", (F.col("first") + F.col("delta")).alias("delta"), "judge").agg(
         *[F.sum(c).alias(c) for c in ("windows", "plain")],
         *[F.max(c).alias(c) for c in ("total", "plain_total")],
