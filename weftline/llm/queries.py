@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import languages, lines, pieces, quality, secrets, shards, simhash, templates, topk, urls
+from weftline.llm import centroids, languages, lexical, lines, pieces, quality, records, secrets, shards, simhash, templates, topk, urls
 
-MODULES = (quality, shards, urls, pieces, templates, simhash, lines, languages, secrets, topk)
+MODULES = (quality, shards, urls, pieces, templates, simhash, lines, languages, secrets, topk, records, lexical, centroids)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
