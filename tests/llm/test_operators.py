@@ -430,6 +430,22 @@ def test_quality(spark):
     assert quality.score_quality(empty, quality.fit(empty)).count() == 0
 
 
+def test_accuracies_that_are_known(spark):
+    """Labellers who err at known rates: EM finds the rates and the share of good, and beats the majority."""
+    for share in (0.7, 0.5, 0.3):
+        rng = np.random.default_rng(int(10 * share))
+        good, right = rng.random(40_000) < share, np.linspace(0.7, 0.95, 9)
+        cast = np.where((rng.random((40_000, 9)) < right) == good[:, None], quality.GOOD, quality.BAD)
+        votes = np.where(rng.random((40_000, 9)) < 0.6, cast, quality.ABSTAIN)
+        patterns, at, counts = np.unique(votes @ 3 ** np.arange(9), return_inverse=True, return_counts=True)
+        post, chance, prior = quality.expectation_maximisation(patterns, counts.astype(float), np.array([[[0.4, 0.2, 0.4]] * 9, [[0.4, 0.4, 0.2]] * 9]))
+        assert abs(prior[0] - share) < 0.02
+        assert np.abs(quality.accuracies(chance, prior) - right[:, None]).max() < 0.02
+        ahead = (votes == quality.GOOD).sum(axis=1) - (votes == quality.BAD).sum(axis=1)
+        majority = np.where(ahead == 0, 0.5, (ahead > 0) == good).mean()
+        assert ((post[at] > 0.5) == good).mean() > majority + 0.005
+
+
 # Language
 
 
@@ -507,7 +523,13 @@ def test_top_k(spark):
     seen = sorted((x.query_id, x["rank"], x.id, x.score) for x in topk.top_k(twins, F.col("vec_id") == 20, k=3).collect())
     assert seen == sorted([(20, 1, 4, 65536 * 1_000_000), (20, 2, 3, 65536), (20, 3, 3, 65536), (20, 1, 3, 65536), (20, 2, 3, 65536), (20, 3, 4, 0)])
     with pytest.raises(ValueError, match="fit a long"):
-        topk.top_k(spark.createDataFrame([(0, [1e10] * 8), (1, [1.0] * 8)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+        topk.top_k(spark.createDataFrame([(0, [1e10] * 8), (1, [1e9] * 8)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    # One large row beside small ones, as a candidate and as a query.
+    for large in (1, 0):
+        rows = [(i, [5e9] * 8 if i == large else [float(i), 1.0] * 4) for i in range(4)]
+        seen = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+        want = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(rows[0][1], v)), i) for i, v in rows[1:])
+        assert [(-x.score, x.id) for x in sorted(seen, key=lambda x: x["rank"])] == want
     few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert sorted(x.id for x in few) == [1, 2]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0

@@ -1,8 +1,8 @@
 """Quality classifier from weak labels (operator 1).
 
 Heuristic labellers vote good, bad or abstain on every document. Their vote patterns are counted over the whole corpus
-(at most 3 to the number of labellers rows), and expectation-maximisation on the counts estimates each labeller's
-accuracy and each pattern's posterior. A linear scorer over hashed byte trigrams and binned text statistics is then
+(at most 3 to the number of labellers rows), and expectation-maximisation on the counts estimates the share of good
+texts, each labeller's accuracy and each pattern's posterior. A linear scorer over hashed byte trigrams and binned text statistics is then
 trained by logistic regression on the posteriors of a bounded sample of documents, and scores every document.
 
 Defined cases: null text counts as empty; a text without words gets only the short-text votes; repeated rows score alike;
@@ -67,6 +67,8 @@ LABELLERS = (
     ("words", None, None, (40, float("inf"))),
     ("variety", 0.45, None, None),
 )
+#: Labellers that look for repetition; the others look for noise.
+REPETITION = ("repeats", "lines", "variety")
 
 
 def votes(stats: np.ndarray) -> list[int]:
@@ -81,33 +83,56 @@ def pattern(stats: np.ndarray) -> int:
     return sum(v * 3**i for i, v in enumerate(votes(stats)))
 
 
-def unpacked(patterns: np.ndarray) -> np.ndarray:
-    return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+def unpacked(patterns: np.ndarray, labellers: int) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(labellers) % 3
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of good by pattern, P(vote | class) by labeller, prior of good), from pattern counts.
+def starts() -> np.ndarray:
+    """P(vote | class) by class and labeller, from which the rounds start: good text, noise, and repetition.
 
-    Only votes cast count as evidence: most labellers look for one fault, and that they don't find it says
-    little about the others. As their silence isn't counted, the prior isn't estimated along with the accuracies: it is the
-    share of documents in which no labeller found a fault.
+    Noise and repetition hardly meet in one text, and labellers of one see nothing in the other; a single class of bad texts
+    would settle on the larger kind. A labeller starts with half of its own kind's texts found, and few of the others.
     """
-    seen = unpacked(patterns)
-    post = np.where((seen == BAD).any(axis=1), 0.001, 0.999)  # where it starts: one bad vote makes a document bad
-    chance = np.zeros((len(LABELLERS), 2, 3))
-    prior = float(((post > 0.5) @ counts + 1) / (counts.sum() + 2))
+    out = np.zeros((3, len(LABELLERS), 3))
+    for i, (name, low, high, fine) in enumerate(LABELLERS):
+        own = 1 + (name in REPETITION)
+        for y in range(3):
+            bad = 0.01 if y == 0 or low is high is None else 0.5 if y == own else 0.05
+            good = (0.6 if y == 0 else 0.3) * (1 - bad) if fine else 0.001
+            out[y, i] = [1 - bad - good, bad, good]
+    return out
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of good by pattern, P(vote | class) by class and labeller, priors of the classes), from pattern counts.
+
+    Class 0 is good, the others are kinds of bad. Abstaining is a vote of its own in each class, since which texts a labeller
+    is silent on tells the classes apart; priors are estimated along with the votes' chances.
+    """
+    seen = unpacked(patterns, start.shape[1])
+    chance, prior = start, np.full(len(start), 1 / len(start))
+    post = np.zeros((len(patterns), len(start)))
     for _ in range(rounds):
-        weight = np.stack([(1 - post) * counts, post * counts])
-        for i in range(len(LABELLERS)):
-            for y in range(2):
-                sums = np.bincount(seen[:, i], weights=weight[y], minlength=3) + np.array([1.0, 1.0, 1.0])
-                chance[i, y] = sums / sums.sum()
-        logs = np.log(np.array([1 - prior, prior]))[None, :] + sum((seen[:, i] != ABSTAIN)[:, None] * np.log(chance[i, :, seen[:, i]]) for i in range(len(LABELLERS)))
-        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
-        if np.abs(new - post).max(initial=0) < 1e-9:
+        logs = np.log(prior) + sum(np.log(chance[:, i, seen[:, i]]).T for i in range(start.shape[1]))
+        post = np.exp(logs - logs.max(axis=1, keepdims=True, initial=-np.inf))
+        post /= post.sum(axis=1, keepdims=True)
+        weight = post.T * counts
+        prior = (weight.sum(axis=1) + 1) / (counts.sum() + len(start))
+        new = np.empty_like(chance)
+        for y in range(len(start)):
+            for i in range(start.shape[1]):
+                sums = np.bincount(seen[:, i], weights=weight[y], minlength=3) + 1.0
+                new[y, i] = sums / sums.sum()
+        change, chance = np.abs(new - chance).max(), new
+        if change < 1e-9:
             break
-        post = new
-    return post, chance, prior
+    return post[:, 0], chance, prior
+
+
+def accuracies(chance: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """P(the vote is right | a vote is cast) of each labeller, on good and on bad texts."""
+    bad = np.tensordot(prior[1:] / prior[1:].sum(), chance[1:], axes=1)
+    return np.stack([chance[0, :, GOOD] / (chance[0, :, BAD] + chance[0, :, GOOD]), bad[:, BAD] / (bad[:, BAD] + bad[:, GOOD])], axis=1)
 
 
 def features(data: bytes, stats: np.ndarray) -> np.ndarray:
@@ -153,14 +178,14 @@ def each(df: DataFrame, ident: str, text: str, extra: str, one: Callable[[str, n
 class Scorer:
     """What the fit gives: labeller parameters, posteriors by pattern and the scorer's weights."""
 
-    def __init__(self, posts: dict[int, float], chance: np.ndarray, prior: float, weights: np.ndarray):
+    def __init__(self, posts: dict[int, float], chance: np.ndarray, prior: np.ndarray, weights: np.ndarray):
         self.posts, self.chance, self.prior, self.weights = posts, chance, prior, weights
 
 
 def fit(df: DataFrame, ident: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> Scorer:
     seen = each(df, ident, text, "pattern bigint", lambda body, stats: (pattern(stats),))
     found = seen.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()  # at most 3**9 rows
-    post, chance, prior = expectation_maximisation(found.pattern.to_numpy(np.int64), found.n.to_numpy(float))
+    post, chance, prior = expectation_maximisation(found.pattern.to_numpy(np.int64), found.n.to_numpy(float), starts())
     posts = dict(zip(found.pattern.tolist(), post.tolist(), strict=True))
     total = int(found.n.sum())
     # Every document is sampled if they fit; else each with the same chance, a twentieth below the bound.

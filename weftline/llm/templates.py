@@ -4,7 +4,8 @@ A text becomes a template: numbers, units (words after a number, or signs) and n
 sentence) are replaced by typed placeholders, other words are lower-cased. Windows of ``WINDOW`` template tokens are
 hash-joined with those of the benchmark, so a question whose numbers or names were exchanged still meets its source. Matches of one
 document and item that lie at one offset form an alignment; it is a leak if it has enough windows and its slots agree:
-each value of the item stands for one value of the document throughout, and different names for different names.
+each name or unit of the item stands for one of the document throughout, and different names for different names. A number
+is changed slot by slot: that two of an item's numbers are equal may be chance, and a new version need not keep it.
 
 DataFrame functions only. Two Bloom filters of bounded size, of the benchmark's token pairs and of its windows, keep places that
 can't match from going on; a window of the benchmark passes both, and the join itself is exact. Texts are cut into
@@ -13,8 +14,9 @@ tokens than a window match as a whole. Windows with fewer than half plain words,
 tokens, match only with equal values, as tables of numbers would share their templates.
 
 A capitalised word that opens a sentence, line or text may be a name, and a spelled number a number: windows with such
-words have a second form, in which they are placeholders, and match by either. Alignments are judged by first forms
-alone and by both.
+words have a second form, in which they are placeholders. Names are told by capitals, which a copy may have lost or gained, so
+windows with names have a third form, in which all words are words. Windows match by any of their forms. Alignments are judged
+by first forms alone, by the first two, and by all.
 
 Defined cases: null and empty texts and items have no windows; repeated rows of a document give one result, repeated
 items each their own; rows without id take no part; empty tables give an empty result; other columns aren't read.
@@ -91,7 +93,16 @@ def free(t: Column, before: Column) -> Column:
     return F.when(t < WORDS_FROM, kind).when(t.isin(SPELLED), NUMBER).when(unit, UNIT).otherwise(t)
 
 
-FORMS = (plain, free)
+def blind(t: Column, before: Column) -> Column:
+    """Third form: names are words, too, so that letter case tells nothing."""
+    word = value(t)
+    return F.when(word.isin(UNITS) & is_mark(before, NUMBER), UNIT).when(t >= NAME, word).otherwise(F.substring(t, 1, 1))
+
+
+FORMS = (plain, free, blind)
+LAST = len(FORMS) - 1
+#: Columns: an item's windows, by form, that may have other values.
+PLAIN = [f"plain{f}" for f in range(len(FORMS))]
 
 
 def formed(raw: Column, at: Column, size: Column, form: Callable[[Column, Column], Column]) -> Column:
@@ -142,15 +153,15 @@ def benchmark_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     rows = rows.select("item_id", "raw", "n", "size", "at", F.explode(forms).alias("w")).select("item_id", "raw", "n", "size", "at", "w.*")
     rows = rows.withColumn("exact", heavy(F.col("toks")) | (F.col("n") < LEAST)).withColumn("theirs", F.transform(F.slice("raw", F.col("at") + 1, F.col("size")), value))
     rows = cut(rows.withColumn("h", F.xxhash64("toks")).withColumn("key", match_key(F.col("h"), F.col("exact"), F.col("theirs"))))
-    totals = rows.groupBy("item_id", "raw").agg(*[F.count_distinct(F.when((F.col("form") == f) & ~F.col("exact"), F.col("at"))).alias(f"plain{f}") for f in (0, 1)])
+    totals = rows.groupBy("item_id", "raw").agg(*[F.count_distinct(F.when((F.col("form") == f) & ~F.col("exact"), F.col("at"))).alias(c) for f, c in enumerate(PLAIN)])
     # A word may stand at a sentence's start, or for a number or unit, in the document.
     others = lambda t: F.array_distinct(F.array(t, F.lit(NAME), F.when(t.isin(SPELLED), NUMBER).otherwise(t), F.when(t.isin(UNITS), UNIT).otherwise(t)))
     both = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x, y))))
     pairs = F.array_distinct(F.flatten(F.zip_with(F.slice("toks", F.lit(1), F.col("size") - 1), F.slice("toks", F.lit(2), F.col("size") - 1), lambda a, b: both(others(a), others(b)))))
-    # A second form that is the first isn't kept twice.
+    # A later form that is the first isn't kept twice.
     differs = (F.col("form") == 0) | (F.col("toks") != formed(F.col("raw"), F.col("at"), F.col("size"), plain))
     rows = rows.where(differs).join(totals, ["item_id", "raw"])
-    return rows.select("item_id", "at", "size", "h", "form", "exact", "key", "toks", "theirs", pairs.alias("pairs"), (F.col("n") - F.col("size") + 1).alias("total"), "plain0", "plain1")
+    return rows.select("item_id", "at", "size", "h", "form", "exact", "key", "toks", "theirs", pairs.alias("pairs"), (F.col("n") - F.col("size") + 1).alias("total"), *PLAIN)
 
 
 def segments(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -168,6 +179,7 @@ def document_runs(docs: DataFrame, sizes: list[int], pair_test: Callable[[Column
     raw tokens, with the one before; run: a digest of these."""
     rows = fence(segments(docs, ident, text))
     rows = fence(rows.withColumn("free", F.transform("raw", lambda t, i: free(t, F.get("raw", i - 1)))))
+    # The second form has every placeholder that any form has; where it has a name, the item may have any word.
     rows = fence(rows.withColumn("marks", F.transform("free", lambda t, i: pair_test(F.xxhash64(t, F.get("free", i + 1))))))
 
     def places(size: int) -> Column:
@@ -177,9 +189,10 @@ def document_runs(docs: DataFrame, sizes: list[int], pair_test: Callable[[Column
         return F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), may)).otherwise(F.array().cast("array<int>"))
 
     def windows(size: int) -> Column:
-        """Those whose window may be the benchmark's, in either form."""
-        either = lambda i: let(F.xxhash64(F.slice("free", i + 1, size)), test) | let(F.xxhash64(formed(F.col("raw"), i, F.lit(size), plain)), test)
-        return F.filter(f"p{size}", either)
+        """Those whose window may be the benchmark's, in any form."""
+        named = lambda i: F.exists(F.slice("raw", i + 1, size), lambda t: is_mark(t, NAME))
+        first = lambda i: let(F.xxhash64(F.slice("free", i + 1, size)), test) | let(F.xxhash64(formed(F.col("raw"), i, F.lit(size), plain)), test)
+        return F.filter(f"p{size}", lambda i: first(i) | (named(i) & let(F.xxhash64(formed(F.col("raw"), i, F.lit(size), blind)), test)))
 
     def runs(size: int) -> Column:
         here = F.col(f"p{size}")
@@ -204,17 +217,17 @@ def run_matches(runs: DataFrame, bench: DataFrame, test: Callable[[Column], Colu
     rows = fence(rows.withColumn("h", F.xxhash64("own_toks"))).where(test(F.col("h")))
     # Which key a window goes by depends on its tokens and, for short items, on its size.
     hits = rows.withColumn("key", match_key(F.col("h"), heavy(F.col("own_toks")) | (F.col("size") < LEAST), F.col("own"))).drop("h")
-    theirs = bench.select("key", "size", "item_id", F.col("at").alias("item_at"), "form", "exact", "toks", "theirs", "total", "plain0", "plain1")
+    theirs = bench.select("key", "size", "item_id", F.col("at").alias("item_at"), "form", "exact", "toks", "theirs", "total", *PLAIN)
     met = hits.join(F.broadcast(theirs) if broadcast else theirs, ["key", "size"]).where("own_toks = toks and (not exact or own = theirs)")
     slots = F.filter(F.arrays_zip(F.col("toks").alias("t"), F.col("theirs").alias("item"), F.col("own").alias("doc")), lambda p: p["t"].isin(NUMBER, NAME, UNIT))
-    met = met.select("run", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", "plain0", "plain1", slots.alias("slots")).alias("m"))
+    met = met.select("run", "item_id", (F.col("at") - F.col("item_at")).alias("delta"), "at", F.struct(F.greatest("form", "own_form").alias("form"), "exact", "size", "total", *PLAIN, slots.alias("slots")).alias("m"))
     # Of the forms by which a window matches, the first.
     met = met.groupBy("run", "item_id", "delta", "at").agg(F.min("m").alias("m")).select("run", "item_id", "delta", "at", "m.*")
-    return met.withColumn("judge", F.explode(F.sequence("form", F.lit(1)))).groupBy("run", "item_id", "delta", "judge").agg(
+    return met.withColumn("judge", F.explode(F.sequence("form", F.lit(LAST)))).groupBy("run", "item_id", "delta", "judge").agg(
         F.count("*").alias("windows"),
         F.count_if(~F.col("exact")).alias("plain"),
         F.max("total").alias("total"),
-        F.when(F.col("judge") == 0, F.max("plain0")).otherwise(F.max("plain1")).alias("plain_total"),
+        F.get(F.array(*[F.max(c) for c in PLAIN]), F.col("judge")).alias("plain_total"),
         F.min("at").alias("start"),
         F.max(F.col("at") + F.col("size")).alias("stop"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
@@ -242,8 +255,9 @@ def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", item: str =
         F.max(F.col("first") + F.col("stop")).alias("stop"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    kinds = lambda side, only=None: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["t"] == only) if only else F.col("slots"), lambda p: F.struct(p["t"], p[side]))))
-    agree = (kinds("item") == F.size("slots")) & (kinds("doc", NAME) == F.size(F.filter("slots", lambda p: p["t"] == NAME)))
+    kinds = lambda side, only: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["t"] == only), lambda p: p[side])))
+    of = lambda only: F.size(F.filter("slots", lambda p: p["t"] == only))
+    agree = (kinds("item", NAME) == of(NAME)) & (kinds("doc", NAME) == of(NAME)) & (kinds("item", UNIT) == of(UNIT))
     changed = F.size(F.filter("slots", lambda p: p["item"] != p["doc"]))
     # All of its windows, or all of those that may have other values.
     enough = (F.col("windows") >= F.least(F.lit(RUN), F.col("total"))) | ((F.col("plain") > 0) & (F.col("plain") >= F.least(F.lit(RUN), F.col("plain_total"))))

@@ -11,8 +11,8 @@ recomputes scores instead of storing rows x queries of them.
 Defined cases: vectors that are null, hold null or non-finite components, or whose length differs from the most
 common one take no part, nor do rows without an id; rows are told apart as rows, so a repeated row is a candidate like
 any other, also for its twin, and each query row has its own result under its id; a query with fewer than k candidates
-gets them all; an empty table gives an empty result. Components so large that a score might not fit a long raise a
-ValueError before anything is scored.
+gets them all; an empty table gives an empty result. If the largest norm of a query times the largest norm of another row doesn't
+fit a long, a ValueError is raised before anything is scored.
 """
 
 from __future__ import annotations
@@ -33,18 +33,18 @@ TILE = 1 << 22
 
 
 def integers(df: DataFrame, ident: str, vector: str, scale: float, is_query: Column) -> DataFrame:
-    """row, id, v, q: vectors whose components are all there and finite, as whole numbers floor(scale * x), and the largest of them."""
+    """row, id, v, norm, q: vectors whose components are all there and finite, as whole numbers floor(scale * x), and what their norm can't exceed."""
     values = F.transform(vector, lambda x: x.cast("double"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     fit = F.col(ident).isNotNull() & F.col(vector).isNotNull() & F.forall(values, sound)
     whole = F.transform(values, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    most = F.array_max(F.transform(values, lambda x: F.abs(x * F.lit(float(scale))))) + 1
-    rows = df.where(fit & (F.size(vector) > 0)).select(F.col(ident).cast("long").alias("id"), whole.alias("v"), most.alias("most"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (F.abs(x * F.lit(float(scale))) + 1) * (F.abs(x * F.lit(float(scale))) + 1))) * (1 + 1e-9)
+    rows = df.where(fit & (F.size(vector) > 0)).select(F.col(ident).cast("long").alias("id"), whole.alias("v"), norm.alias("norm"), F.coalesce(is_query, F.lit(False)).alias("q"))
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
-    """Rows of doubles: whole numbers whose products and sums stay exact, as ``exact_in_doubles`` has shown."""
+    """Rows of doubles: whole numbers whose products and sums stay exact, as the norms have shown."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
@@ -60,26 +60,33 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", ve
     """query_id, rank, id, score: the ``k`` highest scores of each query row, ties to the smaller id."""
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
     rows = cut(integers(df, ident, vector, scale, is_query))
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.max("most").alias("bound"))
+    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"))
     common = lengths.orderBy(F.desc("rows"), "n").first()
     if common is None:
         return empty
-    size, bound = common["n"], common["bound"]
-    if bound * bound * size >= 1 << 62:
-        raise ValueError(f"components up to {bound:g} in {size} dimensions: scores might not fit a long")
-    bound = int(bound)
+    size = common["n"]
     rows = rows.where(F.size("v") == size)
-    exact = bound * bound * size < 1 << 53
+    longest = rows.where("q").orderBy(F.desc("norm"), "row").select("row", "norm").first()
+    if longest is None:
+        return empty
+    # No score exceeds it: another query's norm is at most that of the longest row besides this one, or this one's own.
+    other = rows.where(F.col("row") != longest["row"]).agg(F.max("norm")).first()[0] or 0.0
+    most = longest["norm"] * other
+    if most >= 1 << 62:
+        raise ValueError(f"norms up to {longest['norm']:g} and {other:g}: scores might not fit a long")
+    exact, most = most < 1 << 53, max(int(most), 1)
     wanted = cut(rows.where("q").select("row", "id", "v"))
     blocks = max(1, -(-wanted.count() // block))
     out = empty
     for part in range(blocks):
-        found = _select(rows, wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == part), k, size, bound, exact)
-        out = out if found is None else out.unionAll(found)
+        found = _select(rows, wanted.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == part), k, size, most, exact)
+        if blocks == 1:
+            return empty if found is None else found
+        out = out if found is None else out.unionAll(cut(found))  # written, so that a block's queries needn't stay broadcast
     return out
 
 
-def _select(rows: DataFrame, block: DataFrame, k: int, size: int, bound: int, exact: bool) -> DataFrame | None:
+def _select(rows: DataFrame, block: DataFrame, k: int, size: int, most: int, exact: bool) -> DataFrame | None:
     spark = rows.sparkSession
     got = block.select("row", "id", "v").toArrow()
     if not got.num_rows:
@@ -87,7 +94,6 @@ def _select(rows: DataFrame, block: DataFrame, k: int, size: int, bound: int, ex
     names = got.column("row").to_numpy()
     queries = got.column("v").combine_chunks()
     queries = spark.sparkContext.broadcast((names, got.column("id").to_numpy(), np.asarray(queries.flatten().to_numpy()).reshape(-1, size)))
-    most = bound * bound * size
     width = 1
     while width * BINS <= 2 * most:
         width *= BINS
