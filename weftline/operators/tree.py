@@ -1,15 +1,27 @@
-"""Distances of genome sets on a rooted tree, as joins with its closure.
+"""Distances of genome sets on a rooted tree.
 
 tree(node, parent, length, tip): tip holds the genome of a leaf, null for inner nodes; no inner node has one child.
+
+Tips are numbered in preorder, so that a clade is an interval of numbers and a set of genomes a few runs of them. A tree of up to
+``BROADCAST_NODES`` nodes is broadcast as a table of intervals, and each distinct set is worked through where it lies; a
+larger tree is met by joins with its closure. Lengths count with nine decimals: a branch below 1e-9 counts as none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.frames import once
 
+#: Nodes of a tree that is broadcast (some 60 bytes each), and genomes of sets that a task works through at a time.
+BROADCAST_NODES, PIECE = 1 << 18, 1 << 20
+NANO = 10**9
 
 def exact_sum(value: Column) -> Column:
     """A sum of doubles that is the same in any order: of their nine decimals."""
@@ -58,6 +70,94 @@ def set_nodes(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
     return counts.withColumnRenamed("anc", "node").join(stats, "node").join(sizes, "set_id")
 
 
+class Intervals:
+    """A tree's nodes in preorder: the interval of tips below each, lengths as whole numbers of 1e-9."""
+
+    def __init__(self, rows: list, tip_type: pa.DataType):
+        below: dict = {}
+        for r in rows:
+            below.setdefault(r.parent, []).append(r)
+        order, above, stack = [], [], [(r, -1) for r in reversed(below[None])]
+        while stack:
+            r, up = stack.pop()
+            stack += [(x, len(order)) for x in reversed(below.get(r.node, []))]
+            order.append(r)
+            above.append(up)
+        tip = np.array([r.tip is not None for r in order], bool)
+        self.node = pa.array([r.node for r in order], pa.int64())
+        self.tips = pa.array([r.tip for r in order if r.tip is not None], tip_type)
+        self.parent, self.leaf = np.array(above, np.int64), np.flatnonzero(tip)
+        self.low = np.cumsum(tip) - tip  # tips before a node
+        self.high = self.low + np.array([r.n_tips for r in order], np.int64) - 1
+        self.own = np.array([int((r.short if r.tip is not None else r.below) * NANO) for r in order], np.int64)
+        self.desc_len, self.across = (np.array([r[c] for r in order], float) for c in ("desc_len", "max_tip_dist"))
+
+    def places(self, omes: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tip) of the members of each list that the tree has, in order and without repeats."""
+        rows = np.repeat(np.arange(len(omes)), pc.list_value_length(omes).fill_null(0).to_numpy())
+        at = pc.index_in(omes.flatten(), value_set=self.tips).fill_null(-1).to_numpy().astype(np.int64)
+        keys = np.unique(rows[at >= 0] * len(self.tips) + at[at >= 0])
+        return keys // len(self.tips), keys % len(self.tips)
+
+    def tops(self, rows: np.ndarray, tips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row that has members: its number, how many they are, and the place of their common ancestor."""
+        found, first, sizes = np.unique(rows, return_index=True, return_counts=True)
+        top, last = self.leaf[tips[first]], tips[first + sizes - 1]
+        while (up := self.high[top] < last).any():
+            top[up] = self.parent[top[up]]
+        return found, sizes, top
+
+    def covered(self, rows: np.ndarray, tips: np.ndarray, found: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Summed lengths of the largest clades below the ancestor whose tips are all members."""
+        sums = np.zeros(len(found), np.int64)
+        if not len(rows):
+            return sums
+        starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (tips[1:] != tips[:-1] + 1)]))
+        stops = np.append(starts[1:], len(rows)) - 1
+        run = np.repeat(np.arange(len(starts)), stops - starts + 1)
+        least, most = tips[starts][run], tips[stops][run]
+        row = np.searchsorted(found, rows)
+        # From its first tip a clade climbs while its parent holds nothing but the run's tips; a tip inside a larger one drops out.
+        clade, head, open_ = self.leaf[tips], np.ones(len(tips), bool), np.arange(len(tips))
+        while len(open_):
+            up = self.parent[clade[open_]]
+            whole = (up >= 0) & (up != top[row[open_]]) & (self.low[up] >= least[open_]) & (self.high[up] <= most[open_])
+            open_, up = open_[whole], up[whole]
+            first = self.low[up] == tips[open_]
+            head[open_[~first]] = False
+            open_ = open_[first]
+            clade[open_] = up[first]
+        np.add.at(sums, row[head], self.own[clade[head]])
+        return sums
+
+
+def pieces(batch: pa.RecordBatch, column: str, room: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose lists have about ``room`` members in all."""
+    ends = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def by_intervals(sets: DataFrame, stats: DataFrame, each: Callable[[Intervals, pa.RecordBatch], pa.RecordBatch], fields: str) -> DataFrame | None:
+    """``each`` of the tree and of pieces of (set_id, omes), as rows of ``fields``; None for a tree that is too large to be broadcast."""
+    if stats.count() > BROADCAST_NODES:
+        return None
+    nano = "decimal(28,9)"
+    rows = stats.select("node", "parent", "tip", "n_tips", "desc_len", "max_tip_dist", F.col("length").cast(nano).alias("short"), F.col("desc_len").cast(nano).alias("below")).collect()
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    shared = sets.sparkSession.sparkContext.broadcast(Intervals(rows, kinds.get(dict(sets.dtypes)["omes"][6:-1], pa.int64())) if rows else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "omes", PIECE):
+                yield each(shared.value, piece)
+
+    return sets.select("set_id", "omes").where(F.lit(bool(rows))).mapInArrow(run, fields)
+
+
 def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """set_id, mrca, tmd, mmd, pds, n_missing of genome sets (set_id, omes).
 
@@ -65,6 +165,24 @@ def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFr
     branch, or what lies strictly below an inner node). pds: the share of the ancestor's clade that these leave out.
     Genomes that the tree lacks don't count; a set without any has no row.
     """
+
+    def each(tree: Intervals, piece: pa.RecordBatch) -> pa.RecordBatch:
+        rows, tips = tree.places(piece.column("omes"))
+        found, sizes, top = tree.tops(rows, tips)
+        tmd = np.where(sizes > 1, tree.covered(rows, tips, found, top) / NANO, 0.0)
+        below = tree.high[top] - tree.low[top] + 1
+        whole = below == sizes
+        pds = np.where(whole, 0.0, 1 - tmd / np.where(whole, 1.0, tree.desc_len[top]))
+        columns = [piece.column("set_id").take(pa.array(found)), tree.node.take(pa.array(top)), *map(pa.array, (tmd, tree.across[top], pds, below - sizes))]
+        return pa.RecordBatch.from_arrays(columns, ["set_id", "mrca", "tmd", "mmd", "pds", "n_missing"])
+
+    fields = f"set_id {dict(sets.dtypes)['set_id']}, mrca long, tmd double, mmd double, pds double, n_missing long"
+    found = by_intervals(sets, stats, each, fields)
+    return distances_by_joins(sets, stats, pairs) if found is None else found
+
+
+def distances_by_joins(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for a tree of any size: members meet their ancestors, and ancestors their parents."""
     rows = once(set_nodes(sets, stats, pairs))
     top = rows.where("c = size").groupBy("set_id").agg(F.max_by("node", "depth").alias("mrca"))
     rows = rows.join(top, "set_id").withColumn("full", F.col("c") == F.col("n_tips"))
@@ -78,6 +196,22 @@ def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFr
 
 def missing_tips(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set_id, tip): genomes below a set's common ancestor that it lacks."""
+
+    def each(tree: Intervals, piece: pa.RecordBatch) -> pa.RecordBatch:
+        rows, tips = tree.places(piece.column("omes"))
+        found, _, top = tree.tops(rows, tips)
+        low, n = tree.low[top], tree.high[top] - tree.low[top] + 1
+        row = np.repeat(np.arange(len(found)), n)
+        below = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+        lacks = ~np.isin(found[row] * len(tree.tips) + below, rows * len(tree.tips) + tips)
+        return pa.RecordBatch.from_arrays([piece.column("set_id").take(pa.array(found[row[lacks]])), tree.tips.take(pa.array(below[lacks]))], ["set_id", "tip"])
+
+    found = by_intervals(sets, stats, each, f"set_id {dict(sets.dtypes)['set_id']}, tip {dict(stats.dtypes)['tip']}")
+    return missing_by_joins(sets, stats, pairs) if found is None else found
+
+
+def missing_by_joins(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for a tree of any size."""
     top = set_nodes(sets, stats, pairs).where("c = size").groupBy("set_id").agg(F.max_by("node", "depth").alias("mrca"))
     tips = stats.where("tip is not null").select("node", "tip")
     below = top.join(pairs.select(F.col("anc").alias("mrca"), "node"), "mrca").join(tips, "node").select("set_id", "tip")
