@@ -49,7 +49,20 @@ def test_checksums():
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab Z9 \n\n\t\r.'!\x1c\x85\xa0 é猫_-\U0001f600́"), max_size=40))
 def test_ids_are_the_librarys(words, library, text):
-    assert np.frombuffer(words.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = [text, "", text.strip(), " ".join(text.split())]
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_stretches_of_long_texts(words, library, monkeypatch):
+    monkeypatch.setattr(records, "LONG", 7)
+    for text in ("one two  three\tfour\n\nfive six", "a" * 50, " lead and trail ", "x y z " * 9):
+        assert np.frombuffer(words.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_memo(words, library, monkeypatch):
+    monkeypatch.setattr(records, "MEMO_WORDS", 2)
+    for text in ("one two three", "four five\nsix", "one seven"):
+        assert np.frombuffer(words.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_whole_texts_where_words_cannot_be_told(library, words):
@@ -60,7 +73,7 @@ def test_whole_texts_where_words_cannot_be_told(library, words):
     about["pre_tokenizer"]["add_prefix_space"] = True
     other = records.Words(json.dumps(about))
     assert not other.by_words and words.by_words
-    assert np.frombuffer(other.encode("one two"), "<u2").tolist() == library.encode(" one two", add_special_tokens=False).ids
+    assert np.frombuffer(other.encode(["one two"])[0], "<u2").tolist() == library.encode(" one two", add_special_tokens=False).ids
 
 
 ROWS = [

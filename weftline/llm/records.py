@@ -10,9 +10,9 @@ the document id) and the token ids. A file's name is new for each attempt of a t
 own committer writes as Parquet beside the files, names only files of attempts that counted, so what lost or
 repeated tasks leave is never read. The index holds a row for each record, and serves reads in shuffled order.
 
-The library encodes each distinct word of a worker's texts once: for byte-level models without normaliser, a single
-space or line end between two characters that are no white space always starts a token of the pre-tokeniser, so a text's
-ids are those of its words, one after another. Other models encode whole texts.
+The library encodes a word once for many texts: for byte-level models without normaliser, a single space or line end between
+two characters that are no white space always starts a token of the pre-tokeniser, so a text's ids are those of its words,
+one after another. Other models encode whole texts.
 
 Defined cases: null text counts as empty, and has the end id alone; rows without an id come first; equal ids stand
 in the order of a hash of their texts, equal rows are each written; an empty table gives an index without rows; long texts are
@@ -41,11 +41,13 @@ END = 2
 #: Bytes of text in a file, about; smaller tables still give each core some files.
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 #: Words that a worker remembers, and their characters.
-MEMO_WORDS, MEMO_CHARS = 500_000, 8 << 20
-#: Bytes of payloads that a batch holds, about.
+MEMO_WORDS, MEMO_CHARS = 800_000, 16 << 20
+#: Characters of texts, or bytes of payloads, that are worked through at a time, about.
 BATCH_BYTES = 1 << 20
-#: A place at which a text may be cut, and what makes these harder to find than by splitting at spaces and line ends.
-CUT, ODD = re.compile(r"(?<=\S)(?=[ \n]\S)"), re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: A place at which a text may be cut; characters of a stretch of a long text.
+CUT, LONG = re.compile(r"(?<=\S)(?=[ \n]\S)"), 1 << 20
+#: A byte-level vocabulary's signs for a space and a line end.
+SPACE, LINE = "Ġ", "Ċ"
 #: Format and bytes of what stands before the ids.
 HEADER, HEADER_BYTES = "<BBq", 10
 #: Fixed values of the framing: the reflected Castagnoli polynomial, and what a mask adds.
@@ -127,36 +129,77 @@ class Words:
 
         self.model = Tokenizer.from_str(blob)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        about = json.loads(blob)
+        about, vocabulary = json.loads(blob), self.model.get_vocab()
         before = about.get("pre_tokenizer") or {}
-        self.by_words = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not any(about.get(k) for k in ("normalizer", "truncation", "padding"))
+        self.by_words = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not any(about.get(k) for k in ("normalizer", "truncation", "padding")) and LINE in vocabulary
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _learn(self, memo: dict[str, bytes], new: set[str], ahead: str) -> None:
-        if not new:
-            return
-        kind = f"<u{self.width}"
-        words = list(new)
-        memo.update(zip(words, (np.array(e.ids, kind).tobytes() for e in self.model.encode_batch_fast([ahead + w for w in words], add_special_tokens=False)), strict=True))
+        self.kind = f"<u{self.width}"
+        # By id: whether a token opens a word behind a space, or is a line end.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.ends = np.zeros_like(self.opens)
+        self.ends[vocabulary.get(LINE, 0)] = True
+        self.line = self._plain([chr(10)])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.bare, self.spaced, self.parts, self.chars = {"": b""}, {}, {}, 0
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, memo: dict[str, bytes], words: set[str], ahead: str, first: np.ndarray, skip: int) -> None:
+        """Encodes words that the memo lacks, each behind ``ahead``, as one text, and parts it at the tokens that are ``first``."""
+        words = [w for w in words if w not in memo]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.model.encode_batch_fast([ahead + ahead.join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = (np.append(np.flatnonzero(first[ids]), len(ids)) * self.width).tolist()
+            data = ids.tobytes()
+            memo.update(zip(some, (data[i + skip : j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
         self.chars += sum(map(len, words))
 
-    def encode(self, text: str) -> bytes:
+    def _joined(self, text: str, words: list[str]) -> bytes:
+        """Ids of a text whose words are parted by single spaces and line ends."""
+        at, found = 0, []
+        for line in text.split("\n"):
+            end = at + line.count(" ") + 1
+            found.append(self.bare[words[at]] + b"".join(map(self.spaced.__getitem__, words[at + 1 : end])))
+            at = end
+        return self.line.join(found)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        if len(self.bare) + len(self.spaced) > MEMO_WORDS or self.chars > MEMO_CHARS:
-            self.bare, self.spaced, self.chars = {}, {}, 0
-        if ODD.search(text):
-            parts = CUT.split(text)
-            self._learn(self.bare, set(parts) - self.bare.keys(), "")
-            return b"".join(map(self.bare.__getitem__, parts))
-        lines = [line.split(" ") for line in text.split("\n")]
-        self._learn(self.bare, ({words[0] for words in lines} | {"\n"}) - self.bare.keys(), "")
-        self._learn(self.spaced, set().union(*(words[1:] for words in lines)) - self.spaced.keys(), " ")
-        found = (self.bare[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:])) for words in lines)
-        return self.bare["\n"].join(found)
+            return self._plain(texts)
+        if len(self.bare) + len(self.spaced) + len(self.parts) > MEMO_WORDS or self.chars > MEMO_CHARS:
+            self._forget()
+        split: list[list[str] | None] = []
+        heads, tails = set(), set()
+        for text in texts:
+            words = text.split() or [""]
+            if len(text) > LONG or text.count(" ") + text.count("\n") != len(words) - 1 or sum(map(len, words)) + len(words) - 1 != len(text):
+                split.append(None)
+                continue
+            split.append(words)
+            heads.update(line.partition(" ")[0] for line in text.split("\n"))
+            tails.update(words)
+        self._learn(self.bare, heads, "\n", self.ends, self.width)
+        self._learn(self.spaced, tails - {""}, " ", self.opens, 0)
+        return [self._rest(text) if words is None else self._joined(text, words) for text, words in zip(texts, split, strict=True)]
+
+    def _rest(self, text: str) -> bytes:
+        """Ids of a text with other white space, or of a long one, a stretch at a time."""
+        found, at = [], 0
+        while at < len(text) or not found:
+            cut = CUT.search(text, at + LONG)
+            end = cut.start() if cut else len(text)
+            parts = CUT.split(text[at:end])
+            new = list({p for p in parts if p not in self.parts})
+            self.parts.update(zip(new, self._plain(new), strict=True))
+            self.chars += sum(map(len, new))
+            found.append(b"".join(map(self.parts.__getitem__, parts)))
+            at = end
+        return b"".join(found)
 
 
 #: Of a worker: the model's text and its words.
@@ -228,17 +271,22 @@ def write_records(df: DataFrame, folder: str, tokenizer_path: str, end: int | No
 
 
 def packed(rows: Iterator[tuple[int | None, pa.Scalar]], codec: Words, last: bytes) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """Ids and payloads, about ``BATCH_BYTES`` at a time."""
-    ids, payloads, room = [], [], 0
+    """Ids and payloads of texts, about ``BATCH_BYTES`` of these at a time."""
+
+    def done() -> tuple[list[int | None], list[bytes]]:
+        heads = (struct.pack(HEADER, codec.width, i is not None, i or 0) for i in ids)
+        return ids, [h + x + last for h, x in zip(heads, codec.encode(texts), strict=True)]
+
+    ids, texts, room = [], [], 0
     for ident, text in rows:
-        payloads.append(struct.pack(HEADER, codec.width, ident is not None, ident or 0) + codec.encode(text.as_py()) + last)
         ids.append(ident)
-        room += len(payloads[-1])
+        texts.append(text.as_py())
+        room += len(texts[-1])
         if room >= BATCH_BYTES:
-            yield ids, payloads
-            ids, payloads, room = [], [], 0
+            yield done()
+            ids, texts, room = [], [], 0
     if ids:
-        yield ids, payloads
+        yield done()
 
 
 def unframed(stream: pa.NativeFile, name: str, at: int, size: int, upto: int | None = None) -> Iterator[list[bytes]]:
