@@ -1,9 +1,11 @@
-"""Loci: greedy de-overlap, extension, and the two rounds that turn loci into families."""
+"""Loci: shares of overlapping candidates, what becomes of the rests, extension, and the two rounds that turn loci into families."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.frames import once
@@ -12,85 +14,209 @@ from weftline.operators.positional import merge_neighbours
 from weftline.operators.similarity import locus_similarity
 
 
-def without_overlaps(candidates: DataFrame, least: int = 3) -> DataFrame:
-    """clan, ome, scaffold, first, last, score: disjoint loci.
+PLACE = ("clan", "ome", "scaffold")
+
+
+def shares(candidates: DataFrame) -> DataFrame:
+    """clan, ome, scaffold, first, last, set_id, score: disjoint shares of candidates with the same columns.
 
-    candidates: (clan, ome, scaffold, first, last, score). By falling score (then first, last), a locus takes its
-    places; what later ones lose is cut out, and their contiguous rests go on as candidates of their own. Rests of
-    ``least`` places or more are loci, those of two become loci where nothing else stands, single places join an
-    adjacent locus of the same clan. The order decides, so each clan's scaffold is worked through in one task.
+    By falling score (then first, last, set_id), a candidate takes its places; what later ones lose is cut out, and each
+    contiguous rest is a share of its own. The order decides, so each clan's scaffold is worked through in one task.
     """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[int, int] = {}
-        found: list[list] = []
-        small: list[tuple] = []
-        queue = sorted(zip(-pdf.score, pdf["first"], pdf["last"], strict=True))
-        for score, first, last in queue:
+        taken: set[int] = set()
+        found: list[tuple] = []
+        for score, first, last, set_id in sorted(zip(-pdf.score, pdf["first"], pdf["last"], pdf.set_id, strict=True)):
             run: list[int] = []
             for p in [*range(first, last + 1), None]:
                 if p is not None and p not in taken:
                     run.append(p)
-                    continue
-                if len(run) >= least:
-                    taken |= dict.fromkeys(run, len(found))
-                    found.append([run[0], run[-1], -score])
                 elif run:
-                    small.append((score, run[0], run[-1]))
-                run = []
-        for score, first, last in sorted(small):
-            if first != last and not any(p in taken for p in range(first, last + 1)):
-                taken |= dict.fromkeys(range(first, last + 1), len(found))
-                found.append([first, last, -score])
-        singles = sorted({p for _, first, last in small for p in range(first, last + 1)} - set(taken))
-        for p in [*singles, *reversed(singles)]:
-            near = [taken[q] for q in (p - 1, p + 1) if q in taken]
-            if p not in taken and near:
-                at = max(near, key=lambda i: (found[i][2], -i))
-                found[at] = [min(found[at][0], p), max(found[at][1], p), found[at][2]]
-                taken[p] = at
+                    found.append((run[0], run[-1], set_id, -score))
+                    run = []
+            taken.update(range(first, last + 1))
         head = pdf.iloc[0]
-        return pd.DataFrame([[head.clan, head.ome, head.scaffold, *f] for f in found], columns=["clan", "ome", "scaffold", "first", "last", "score"])
+        return pd.DataFrame([[head.clan, head.ome, head.scaffold, *f] for f in found], columns=[*PLACE, "first", "last", "set_id", "score"])
 
+    columns = [*PLACE, "first", "last", "set_id", "score"]
     kinds = dict(candidates.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("clan", "ome", "scaffold", "first", "last", "score"))
-    return candidates.select("clan", "ome", "scaffold", "first", "last", "score").groupBy("clan", "ome", "scaffold").applyInPandas(settle, schema)
+    return candidates.select(*columns).groupBy(*PLACE).applyInPandas(settle, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def places(loci: DataFrame, *more: str) -> DataFrame:
+    """clan, ome, scaffold, pos (and others) of what the loci hold."""
+    return loci.select(*PLACE, *more, F.explode(F.sequence("first", "last")).alias("pos"))
+
 
+def islands(singles: DataFrame, least: int = 1) -> DataFrame:
+    """clan, ome, scaffold, first, last of runs of ``least`` or more neighbouring places."""
+    at = Window.partitionBy(*PLACE).orderBy("pos")
+    marked = singles.select(*PLACE, "pos").distinct().withColumn("_island", F.col("pos") - F.row_number().over(at))
+    return marked.groupBy(*PLACE, "_island").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where(F.col("last") - F.col("first") + 1 >= least).drop("_island")
 
-def extended(loci: DataFrame, genes: DataFrame, families: DataFrame, reach: int = 50) -> DataFrame:
+
+def rematched(runs: DataFrame, known: DataFrame, longest: int, by: tuple[str, ...] = PLACE, least: int = 3) -> DataFrame:
+    """Known loci (by, first, last and others) that lie within runs (by, run_first, run_last), with rank in the run: by falling
+    score, then the longer, then the first.
+
+    A run's stretches of ``least`` to ``longest`` places index it: they are met by equality, not by ranges.
+    """
+    sizes = F.sequence(F.lit(least), F.least(F.lit(longest), F.col("run_last") - F.col("run_first") + 1))
+    stretches = runs.where(F.col("run_last") - F.col("run_first") + 1 >= least).withColumn("_size", F.explode(sizes))
+    stretches = stretches.withColumn("first", F.explode(F.sequence("run_first", F.col("run_last") - F.col("_size") + 1)))
+    stretches = stretches.withColumn("last", F.col("first") + F.col("_size") - 1).drop("_size")
+    order = Window.partitionBy(*by, "run_first").orderBy(F.desc("score"), F.desc(F.col("last") - F.col("first")), "first")
+    return stretches.join(known, [*by, "first", "last"]).withColumn("rank", F.row_number().over(order))
+
+
+def attached(singles: DataFrame, loci: DataFrame, similarity: Callable[[DataFrame], DataFrame], least: float = 0.25) -> DataFrame:
+    """Singles (clan, ome, scaffold, pos, set_id) with the locus that each joins, null if none.
+
+    loci: clan, ome, scaffold, locus, first, last, set_id; similarity: of pairs of sets (a, b), with a column similarity. In rounds,
+    every single beside a locus, or beside a single that has joined one, joins the one of the two sides whose set is more
+    similar to its own, if it is so by more than ``least``; of equal ones, the smaller locus. Within a run of singles only
+    the loci at its two ends can be joined, each by an unbroken row of similar singles from its end on, and each place in
+    the round that its distance from the end tells. So the rounds needn't be run: a single joins the side that reaches it first.
+    """
+    at = Window.partitionBy(*PLACE).orderBy("pos")
+    rows = singles.dropDuplicates([*PLACE, "pos"]).withColumn("_island", F.col("pos") - F.row_number().over(at))
+    run = Window.partitionBy(*PLACE, "_island")
+    rows = rows.withColumns({"_from_left": F.col("pos") - F.min("pos").over(run) + 1, "_from_right": F.max("pos").over(run) - F.col("pos") + 1})
+    beside = loci.select(*PLACE, "locus", F.col("set_id").alias("other"), "first", "last")
+    for side, end, step in (("left", "last", 1), ("right", "first", -1)):
+        edge = F.col("pos") - step * (F.col(f"_from_{side}") - 1)  # the run's first place on this side
+        near = beside.select(*PLACE, (F.col(end) + step).alias("_edge"), F.col("locus").alias(f"_{side}"), F.col("other").alias(f"_{side}_set"))
+        rows = rows.withColumn("_edge", edge).join(near, [*PLACE, "_edge"], "left").drop("_edge")
+    rows = once(rows)
+    asked = rows.select("set_id", F.explode(F.array("_left_set", "_right_set")).alias("b")).where("b is not null").select(F.col("set_id").alias("a"), "b").distinct()
+    known = once(similarity(asked).select("a", "b", "similarity"))
+    for side in ("left", "right"):
+        rows = rows.join(known.toDF("set_id", f"_{side}_set", f"_{side}_similarity"), ["set_id", f"_{side}_set"], "left")
+        up_to = run.orderBy(f"_from_{side}").rowsBetween(Window.unboundedPreceding, 0)
+        unbroken = F.min(F.coalesce(f"_{side}_similarity", F.lit(-1.0))).over(up_to) > least
+        rows = rows.withColumn(f"_{side}_round", F.when(unbroken, F.col(f"_from_{side}")))
+    choice = lambda side: F.when(F.col(f"_{side}_round").isNotNull(), F.struct(F.col(f"_{side}_round").alias("round"), (-F.col(f"_{side}_similarity")).alias("far"), F.col(f"_{side}").alias("locus")))
+    return rows.withColumn("locus", F.least(choice("left"), choice("right"))["locus"]).select(*singles.columns, "locus")
+
+
+def chained(singles: DataFrame, similarity: Callable[[DataFrame], DataFrame], least: float = 0.25) -> DataFrame:
+    """clan, ome, scaffold, first, last, set_ids of runs of two or more neighbouring singles, each similar to the next by more than ``least``."""
+    at = Window.partitionBy(*PLACE).orderBy("pos")
+    rows = once(singles.dropDuplicates([*PLACE, "pos"]).withColumns({"_before": F.lag("pos").over(at), "_set": F.lag("set_id").over(at)}))
+    known = similarity(rows.where("_before = pos - 1").select(F.col("_set").alias("a"), F.col("set_id").alias("b")).distinct())
+    rows = rows.join(known.select(F.col("a").alias("_set"), F.col("b").alias("set_id"), "similarity"), ["_set", "set_id"], "left")
+    joins = (F.col("_before") == F.col("pos") - 1) & (F.col("similarity") > least)
+    rows = rows.withColumn("_island", F.sum(F.when(joins, 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.groupBy(*PLACE, "_island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.array_sort(F.collect_set("set_id")).alias("set_ids"))
+    return found.where("last > first").drop("_island")
+
+
+def clan_loci(candidates: DataFrame, similarity: Callable[[DataFrame], DataFrame], longest: int, least_similarity: float = 0.25, least: int = 3) -> DataFrame:
+    """clan, ome, scaffold, first, last, set_ids: disjoint loci.
+
+    candidates: (clan, ome, scaffold, first, last, set_id, score), of ``longest`` places at most. Shares of ``least`` places or
+    more are loci. Runs of the remaining places that hold known loci give these another try, until none does. Shares of two
+    places are loci where none of the two was taken. Single places join loci beside them by the similarity of their sets;
+    what is left forms loci of its own where neighbours are similar.
+    """
+    columns = [*PLACE, "first", "last", "set_id", "score"]
+    size = F.col("last") - F.col("first") + 1
+    candidates = once(candidates.select(*columns).distinct())
+    cut = once(shares(candidates))
+    known = candidates.groupBy(*PLACE, "first", "last").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("set_id"), F.max("score").alias("score"))
+    placed, rest = cut.where(size >= least), cut.where(size < least)
+    open_ = places(rest)
+    while True:
+        runs = islands(open_, least).withColumnsRenamed({"first": "run_first", "last": "run_last"})
+        again = once(shares(rematched(runs, known, longest).select(*columns)))
+        if again.isEmpty():
+            break
+        placed, open_ = placed.unionAll(again.where(size >= least)), places(again.where(size < least))
+    taken = once(places(placed).distinct())
+    pairs = rest.where(size == 2)
+    free = places(pairs, "first", "last").join(taken, [*PLACE, "pos"], "left_anti").groupBy(*PLACE, "first", "last").agg(F.count("*").alias("n")).where("n = 2")
+    placed = placed.unionAll(pairs.join(free.drop("n"), [*PLACE, "first", "last"], "left_semi").select(*columns))
+    placed = once(placed.withColumn("locus", F.struct(*PLACE, "first")))
+    single = places(rest, "set_id", "score").join(places(placed), [*PLACE, "pos"], "left_anti").drop("score")
+    joined = once(attached(single.select(*PLACE, "pos", "set_id"), placed, similarity, least_similarity))
+    grown = joined.where("locus is not null").groupBy("locus").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    wide = placed.join(grown, "locus", "left").select(*PLACE, F.least("first", "low").alias("first"), F.greatest("last", "high").alias("last"), F.array("set_id").alias("set_ids"))
+    return wide.unionByName(chained(joined.where("locus is null").drop("locus"), similarity, least_similarity))
+
+
+def extended(loci: DataFrame, genes: DataFrame, families: DataFrame) -> DataFrame:
     """Loci (family, ome, scaffold, first, last) with new_first, new_last.
 
-    families: (family, hgs), the groups of a family. Both ends move outwards by turns while the next gene's group is one
-    that the family has and the locus still lacks, and no locus has taken the gene. A locus needs the order of its
-    genome's other loci, so a genome is worked through in one task, with the genes within ``reach`` of its loci.
+    families: (family, hgs), the groups of a family. In each step both ends move outwards by a gene whose group the family has
+    and the locus lacked when the step began, and which no locus holds; an end stops at its first gene that isn't such. A
+    step takes a missing group at least, so only as many genes as groups are missing are read on either side.
+    """
+    loci = once(loci.select("family", "ome", "scaffold", "first", "last").distinct())
+    key = ["family", "ome", "scaffold", "first", "last"]
+    inside = loci.withColumn("pos", F.explode(F.sequence("first", "last"))).join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"])
+    held = inside.groupBy(*key).agg(F.collect_set("hg").alias("held"))
+    rows = once(loci.join(held, key, "left").join(families, "family").select(*key, F.array_except(F.array_distinct("hgs"), F.coalesce("held", F.array().cast(dict(families.dtypes)["hgs"]))).alias("missing")))
+    used = loci.select("ome", "scaffold", F.explode(F.sequence("first", "last")).alias("pos")).distinct().withColumn("used", F.lit(True))
+    away = F.explode(F.sequence(F.lit(1), F.size("missing"))).alias("away")
+    sides = rows.where("size(missing) > 0").select(*key, "missing", away).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    sides = sides.withColumn("pos", F.when(F.col("side") < 0, F.col("first") - F.col("away")).otherwise(F.col("last") + F.col("away")))
+    met = sides.join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"]).join(used, ["ome", "scaffold", "pos"], "left")
+    # Of each side, the unbroken row of free genes of missing groups.
+    fit = met.where("used is null and array_contains(missing, hg)").withColumn("n", F.row_number().over(Window.partitionBy(*key, "side").orderBy("away"))).where("n = away")
+    tracks = fit.groupBy(*key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("away", "hg")))), lambda x: x["hg"]).alias(name) for side, name in ((-1, "down"), (1, "up"))])
+    none = F.array().cast(dict(families.dtypes)["hgs"])
+
+    def step(state, i):
+        """One gene further at each end that is still open."""
+        goes = {side: state[f"{side}_open"] & (i <= F.size(side)) & ~F.coalesce(F.array_contains(state["taken"], F.get(side, i - 1)), F.lit(False)) for side in ("down", "up")}
+        new = F.concat(*[F.when(goes[side], F.array(F.get(side, i - 1))).otherwise(none) for side in goes])
+        return F.struct(*[x for side in goes for x in ((state[side] + goes[side].cast("int")).alias(side), goes[side].alias(f"{side}_open"))], F.concat(state["taken"], new).alias("taken"))
+
+    start = F.struct(*[x for side in ("down", "up") for x in (F.lit(0).alias(side), F.lit(True).alias(f"{side}_open"))], none.alias("taken"))
+    steps = F.sequence(F.lit(1), F.greatest(F.size("down"), F.size("up"), F.lit(1)))
+    grown = tracks.select(*key, F.aggregate(steps, start, step).alias("g"))
+    moved = lambda side: F.coalesce(F.col(f"g.{side}"), F.lit(0))
+    return rows.join(grown, key, "left").select(*key, (F.col("first") - moved("down")).alias("new_first"), (F.col("last") + moved("up")).alias("new_last"))
+
+
+def edge_claims(grown: DataFrame, genes: DataFrame, families: DataFrame, least: int = 2) -> DataFrame:
+    """family, ome, scaffold, first, last of scaffold ends that families claim for loci cut off by a scaffold's end.
+
+    grown: what ``extended`` returns. A locus that began or ended its scaffold before it was extended, and still lacks ``least``
+    groups or more, looks at the genome's other scaffolds in their order: the first of which an end, its first or last ``least`` genes,
+    is free of loci and holds so many of the missing groups is claimed, or both ends, if both do and differ. Claims are
+    settled in the order of family, scaffold and first; one whose genes another locus or claim holds by then falls.
+    An end is claimed or free as a whole, and only the two ends of a scaffold can share genes, so its first claim wins, and the
+    first on the other end if the two are apart.
     """
-    near = loci.select("ome", "scaffold", F.explode(F.sequence(F.greatest(F.col("first") - reach, F.lit(0)), F.col("last") + reach)).alias("pos")).distinct()
-    track = near.join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"])
-    rows = loci.join(families, "family").select("ome", "scaffold", "family", "first", "last", "hgs")
-
-    def grow(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        group = {(s, p): h for s, p, h in zip(right.g_scaffold, right.g_pos, right.g_hg, strict=True)}
-        used = {(r.scaffold, p) for r in left.itertuples() for p in range(r.first, r.last + 1)}
-        out = []
-        for r in left.sort_values(["scaffold", "first", "last", "family"]).itertuples():
-            ends, open_ = [r.first, r.last], [True, True]
-            missing = set(r.hgs) - {group.get((r.scaffold, p)) for p in range(r.first, r.last + 1)}
-            while missing and any(open_):
-                for side, step in ((0, -1), (1, 1)):
-                    at = (r.scaffold, ends[side] + step)
-                    if open_[side] and group.get(at) in missing and at not in used:
-                        ends[side] += step
-                        used.add(at)
-                        missing.discard(group[at])
-                    else:
-                        open_[side] = False
-            out.append([r.ome, r.scaffold, r.family, r.first, r.last, *ends])
-        return pd.DataFrame(out, columns=["ome", "scaffold", "family", "first", "last", "new_first", "new_last"])
-
-    kinds = dict(rows.dtypes)
-    schema = f"ome {kinds['ome']}, scaffold {kinds['scaffold']}, family {kinds['family']}, first {kinds['first']}, last {kinds['last']}, new_first {kinds['first']}, new_last {kinds['first']}"
-    # Both frames may come from the same genes: new names keep their columns apart.
-    return rows.groupBy("ome").cogroup(track.toDF("g_ome", "g_scaffold", "g_pos", "g_hg").groupBy("g_ome")).applyInPandas(grow, schema)
+    key = ["family", "ome", "scaffold", "first", "last"]
+    at = Window.partitionBy("ome", "scaffold")
+    placed = genes.select("ome", "scaffold", "pos", "hg", F.max("pos").over(at).alias("end"))
+    ends = placed.where((F.col("pos") < least) | (F.col("pos") > F.col("end") - least)).where(F.col("end") >= least - 1)
+    ends = ends.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.when(F.col("side") == 0, F.col("pos") < least).otherwise(F.col("pos") > F.col("end") - least))
+    ends = ends.groupBy("ome", "scaffold", "end", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hg", F.lit(-1)).alias("hg")))), lambda x: x["hg"]).alias("hgs"))
+    ends = ends.select("ome", "scaffold", "side", "hgs", F.when(F.col("side") == 0, 0).otherwise(F.col("end") - least + 1).cast("int").alias("first"), F.when(F.col("side") == 0, least - 1).otherwise(F.col("end")).cast("int").alias("last"), (F.col("end") >= 2 * least - 1).alias("apart"))
+    known = lambda first, last: once(grown.select("ome", "scaffold", F.explode(F.sequence(first, last)).alias("pos")).distinct())
+    hit = lambda df, used: df.withColumn("pos", F.explode(F.sequence("first", "last"))).join(used, ["ome", "scaffold", "pos"], "left_semi").select("ome", "scaffold", "side").distinct()
+    free = once(ends.join(hit(ends, known("first", "last")), ["ome", "scaffold", "side"], "left_anti"))
+    lengths = genes.groupBy("ome", "scaffold").agg(F.max("pos").alias("end"))
+    cut_off = grown.join(lengths, ["ome", "scaffold"]).where((F.col("first") == 0) | (F.col("last") == F.col("end"))).drop("end")
+    inside = cut_off.withColumn("pos", F.explode(F.sequence("new_first", "new_last"))).join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"])
+    held = inside.groupBy(*key).agg(F.collect_set("hg").alias("held"))
+    lack = cut_off.join(held, key, "left").join(families, "family").withColumn("missing", F.array_except(F.array_distinct("hgs"), F.coalesce("held", F.array().cast(dict(families.dtypes)["hgs"])))).where(F.size("missing") >= least)
+    # Ends meet loci by their first group, which must be missing like all others.
+    asked = lack.select(*key, "missing", F.explode("missing").alias("hg"))
+    other = free.select("ome", F.col("scaffold").alias("other"), "side", "hgs", F.col("first").alias("a"), F.col("last").alias("b"), "apart", F.element_at("hgs", 1).alias("hg"))
+    met = asked.join(other, ["ome", "hg"]).where("other <> scaffold").where((F.size(F.array_distinct("hgs")) == least) & (F.size(F.array_except("hgs", "missing")) == 0))
+    near = met.withColumn("r", F.dense_rank().over(Window.partitionBy(*key).orderBy("other"))).where("r = 1")
+    same = F.lag("hgs").over(Window.partitionBy(*key).orderBy("side"))
+    near = near.withColumn("same", same).where("same is null or same <> hgs")
+    claims = near.select(F.struct(*key).alias("order"), "family", "ome", F.col("other").alias("scaffold"), "side", F.col("a").alias("first"), F.col("b").alias("last"), "apart")
+    claims = once(claims.join(hit(claims, known("new_first", "new_last")), ["ome", "scaffold", "side"], "left_anti"))
+    by_end = claims.withColumn("r", F.row_number().over(Window.partitionBy("ome", "scaffold", "side").orderBy("order"))).where("r = 1")
+    won = by_end.withColumn("r", F.row_number().over(at.orderBy("order", "side"))).where("r = 1 or apart")
+    return won.select("family", "ome", "scaffold", "first", "last")
 
 
 def modules(members: DataFrame, loci: DataFrame, locus_genes: DataFrame, least_genomes: int = 3) -> DataFrame:
@@ -120,4 +246,4 @@ def two_rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, c
     return modules(second, placed, locus_genes, least_genomes)
 
 
-__all__ = ["extended", "merge_neighbours", "modules", "two_rounds", "without_overlaps"]
+__all__ = ["attached", "chained", "clan_loci", "edge_claims", "extended", "islands", "merge_neighbours", "modules", "rematched", "shares", "two_rounds"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.frames import once
+
 FAMILY = ("hlg", "hg")
 
 
@@ -69,3 +71,50 @@ def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_
     fit = groups.join(evidence, "hlg").where(F.col("judged") >= F.lit(least_evidence) * F.col("groups")).select("hlg")
     lost = done.where("kind = 'out'").select("hlg", F.col("s_ome").alias("ome")).join(missing, ["hlg", "ome"], "left_semi")
     return fit.join(lost.groupBy("hlg").agg(F.array_sort(F.collect_set("ome")).alias("lost")), "hlg", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<bigint>")))
+
+
+def failing(algn: DataFrame, members: DataFrame) -> DataFrame:
+    """hlg, hg, gene of members that have alignments, but none with a member of another genome or with a genome outside of the
+    family, and of all members of groups with one genome."""
+    omes = members.groupBy(*FAMILY).agg(F.count_distinct("ome").alias("n"))
+    lone = members.join(omes.where("n = 1"), [*FAMILY], "left_semi").select(*FAMILY, "gene")
+    rows = algn.where("q <> s").select("hg", "q", "s", "s_ome").join(members.select(*FAMILY, F.col("gene").alias("q"), F.col("ome").alias("q_ome")), ["hg", "q"])
+    rows = rows.join(members.select(*FAMILY, F.col("gene").alias("s"), F.lit(True).alias("member")), [*FAMILY, "s"], "left")
+    rows = rows.join(members.select(*FAMILY, F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct(), [*FAMILY, "s_ome"], "left")
+    counts = (F.col("member").isNotNull() & (F.col("s_ome") != F.col("q_ome"))) | F.col("inside").isNull()
+    bare = rows.groupBy(*FAMILY, "q").agg(F.max(counts).alias("counts")).where("not counts").select(*FAMILY, F.col("q").alias("gene"))
+    return lone.unionAll(bare).distinct()
+
+
+def pruned(algn: DataFrame, members: DataFrame, loci: DataFrame, least_genomes: int = 3, through: bool = False) -> DataFrame:
+    """hlg, locus, genes, failed, stays of all loci: what is left when genes, then loci, then families without support are gone.
+
+    members: (hlg, hg, gene, ome); loci: (hlg, locus, gene, ome), with all of a locus's genes. Groups of one gene are not
+    judged. Genes that fail leave their groups, and groups that lost one are judged again, they alone, until none fails. A locus
+    goes with all of its genes but one, a family with fewer than ``least_genomes`` genomes in its loci. ``through``: genes that go
+    with their locus or family count as failed in their groups, and all starts again from these.
+    """
+    several = members.groupBy(*FAMILY).agg(F.count_distinct("gene").alias("n")).where("n > 1")
+    now = once(members.select(*FAMILY, "gene", "ome").distinct().join(several, [*FAMILY], "left_semi"))
+    loci = once(loci.select("hlg", "locus", "gene", "ome").distinct())
+    failed, touched = None, now.select(*FAMILY).distinct()
+    while True:
+        bad = once(failing(algn, now.join(touched, [*FAMILY], "left_semi")))
+        while not bad.isEmpty():
+            failed = bad if failed is None else once(failed.unionAll(bad))
+            now, touched = once(now.join(bad, [*FAMILY, "gene"], "left_anti")), bad.select(*FAMILY).distinct()
+            bad = once(failing(algn, now.join(touched, [*FAMILY], "left_semi")))
+        gone = failed.select("hlg", "gene", F.lit(1).alias("gone")).distinct() if failed is not None else loci.select("hlg", "gene", F.lit(1).alias("gone")).limit(0)
+        judged = loci.join(gone, ["hlg", "gene"], "left").groupBy("hlg", "locus").agg(F.count("*").alias("genes"), F.count("gone").alias("failed"))
+        judged = judged.withColumn("whole", (F.col("failed") == 0) | (F.col("failed") < F.col("genes") - 1))
+        large = loci.join(judged.where("whole"), ["hlg", "locus"], "left_semi").groupBy("hlg").agg(F.count_distinct("ome").alias("n")).where(F.col("n") >= least_genomes)
+        out = once(judged.join(large.select("hlg", F.lit(True).alias("large")), "hlg", "left").select("hlg", "locus", "genes", "failed", (F.col("whole") & F.col("large").isNotNull()).alias("stays")))
+        if not through:
+            return out
+        # A gene stays in its groups as long as one of its loci stays.
+        kept = loci.join(out.where("stays"), ["hlg", "locus"], "left_semi").select("hlg", "gene")
+        fallen = once(now.join(kept, ["hlg", "gene"], "left_anti"))
+        if fallen.isEmpty():
+            return out
+        failed = once((fallen if failed is None else failed.unionAll(fallen.select(*FAMILY, "gene"))).select(*FAMILY, "gene"))
+        now, touched = once(now.join(fallen, [*FAMILY, "gene"], "left_anti")), fallen.select(*FAMILY).distinct()

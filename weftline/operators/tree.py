@@ -226,6 +226,17 @@ def branch_similarity(pairs_of_sets: DataFrame, stats: DataFrame, pairs: DataFra
     return found.select("pair_id", F.when(F.col("u") == 0, 0.0).otherwise(F.col("i") / F.col("u")).alias("similarity"))
 
 
+def similarity_of(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives pairs of sets (a, b) their branch similarity. sets: set_id, omes."""
+
+    def similarity(asked: DataFrame) -> DataFrame:
+        named = asked.join(sets.select(F.col("set_id").alias("a"), F.col("omes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("omes").alias("y")), "b")
+        found = branch_similarity(named.select(F.struct("a", "b").alias("pair_id"), F.col("x").alias("a"), F.col("y").alias("b")), stats, pairs)
+        return found.select("pair_id.a", "pair_id.b", "similarity")
+
+    return similarity
+
+
 def unseen(sets: DataFrame, memo: DataFrame, column: str = "omes") -> DataFrame:
     """Distinct genome sets that a table of known distances lacks."""
     return sets.select(column).distinct().join(memo.select(column), column, "left_anti")

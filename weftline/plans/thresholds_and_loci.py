@@ -201,25 +201,6 @@ def two_round_hlgs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("cluster", "block", "n_loci", F.size("omes").cast("long").alias("n_omes"), joined("hgs").alias("hgs"))
 
 
-@query()
-def dereplicated_loci(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of frequent itemsets, one clan, scored by their support."""
-    genes = once(enc.genes(spark, sf))
-    sets = once(frequent(triples_of(spark, sf)).select(joined("items").alias("set_id"), "items", F.col("n_omes").cast("double").alias("score")))
-    found = positional.spans(genes, sets).join(sets.select("set_id", "score"), "set_id")
-    return loci.without_overlaps(found.select(F.lit(0).alias("clan"), "ome", "scaffold", "first", "last", "score").distinct())
-
-
-@query()
-def extended_loci(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of groups below 100 grow by groups of the family of their first gene's."""
-    genes = once(enc.genes(spark, sf))
-    runs = positional.runs(genes, F.col("hg") < 100)
-    heads = runs.join(genes.select("ome", "scaffold", F.col("pos").alias("first"), (F.col("hg") % 5).alias("family")), ["ome", "scaffold", "first"])
-    families = genes.where("hg is not null").select("hg").distinct().groupBy((F.col("hg") % 5).alias("family")).agg(F.collect_set("hg").alias("hgs"))
-    return loci.extended(heads.select("family", "ome", "scaffold", "first", "last"), genes, families)
-
-
 MEMBERS = "members AS (SELECT label % 3 AS hlg, label AS hg, vec_id AS gene, vec_id % 12 AS ome FROM embeddings WHERE vec_id % 12 IN (0, 3, 6, 9))"
 HITS = f"""{enc.ALIGNMENTS}, {MEMBERS}, sized AS (SELECT hlg, hg, count(DISTINCT ome) AS n FROM members GROUP BY ALL),
     typed AS (SELECT z.hlg, a.hg, a.q, a.q_ome, a.s, a.s_ome, a.pident, a.ppos, z.n,
