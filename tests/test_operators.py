@@ -102,17 +102,6 @@ def test_upper_tail(spark):
     assert got == [pytest.approx(by_hand(*c), rel=1e-7, abs=1e-12) for c in cases]
 
 
-def test_loci_are_disjoint(spark):
-    r = random.Random(4)
-    rows = [(0, 1, s, a, a + r.randint(0, 6), float(r.randint(1, 9))) for s in (1, 2) for a in (r.randint(0, 60) for _ in range(40))]
-    df = spark.createDataFrame(rows, "clan int, ome int, scaffold int, first int, last int, score double")
-    for s in (1, 2):
-        places = [p for x in loci.without_overlaps(df).where(f"scaffold = {s}").collect() for p in range(x["first"], x["last"] + 1)]
-        assert len(places) == len(set(places)) and places
-    one = spark.createDataFrame([(0, 1, 1, 0, 4, 9.0), (0, 1, 1, 3, 9, 5.0)], df.schema)
-    assert sorted((x["first"], x["last"]) for x in loci.without_overlaps(one).collect()) == [(0, 4), (5, 9)]
-
-
 def test_extension(spark):
     g = genes(spark, [5, 1, 2, 3, 4, 9, 4])
     rows = spark.createDataFrame([(1, 1, 1, 2, 3)], "family int, ome long, scaffold int, first int, last int")
