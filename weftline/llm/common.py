@@ -38,7 +38,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
 
 
 #: Bytes up to which a counted table is broadcast.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
