@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,20 @@ def once(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: read again where it is used again, also after executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written ``path`` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """``write`` to a new folder beside ``path``, which takes its place when all is written: readers see the old or the new whole."""
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    write(new)
+    old_, new_ = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    files = old_.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old_, True)
+    if not files.rename(new_, old_):
+        raise OSError(f"{new} could not be renamed to {path}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import substitution_bias
@@ -48,3 +48,15 @@ def satisfied(tunes: DataFrame, families: DataFrame) -> DataFrame:
     fits = (F.size(F.array_except("hgs", "h")) == 0) & (F.size(F.array_except("omes", "o")) == 0) & (F.size(F.array_intersect("false_omes", "o")) == 0)
     found = rows.where(fits).select("name").distinct().withColumn("satisfied", F.lit(True))
     return tunes.select("name").join(found, "name", "left").select("name", F.coalesce("satisfied", F.lit(False)).alias("satisfied"))
+
+
+def populous_taxa(genomes: DataFrame, rank: str, least: int = 1) -> DataFrame:
+    """ome, taxon of genomes whose taxon has more than ``least`` genomes."""
+    known = genomes.where(F.col(rank).isNotNull()).select("ome", F.col(rank).alias("taxon"))
+    return known.join(known.groupBy("taxon").agg(F.count_distinct("ome").alias("n")).where(F.col("n") > least).select("taxon"), "taxon", "left_semi")
+
+
+def taxa_by_size(genomes: DataFrame, rank: str) -> DataFrame:
+    """taxon, n_omes, place: taxa in the order of their genomes' number, then of their names. A row for each taxon goes through one task."""
+    sizes = genomes.where(F.col(rank).isNotNull()).groupBy(F.col(rank).alias("taxon")).agg(F.count_distinct("ome").alias("n_omes"))
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy("n_omes", "taxon")) - 1)

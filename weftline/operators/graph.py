@@ -119,20 +119,43 @@ def _markov_joins(edges: DataFrame, inflation: float, rounds: int, prune: float)
     return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """node, triangles of an undirected graph (a < b): each triangle is found once, at its vertex of least degree."""
+def wedges_closed(edges: DataFrame) -> DataFrame:
+    """u, v, w, weight: the triangles of an undirected graph (a < b, weight), each once, found at its vertex of least degree;
+    weight: the product of its three."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("d"))
-    ranked = edges.select("a", "b").join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
+    ranked = edges.select("a", "b", "weight").join(degree.withColumnsRenamed({"d": "da"}), "a").join(degree.withColumnsRenamed({"a": "b", "d": "db"}), "b")
     pair = lambda d, n: F.struct(F.col(d).alias("d"), F.col(n).alias("n"))
     first = pair("da", "a") < pair("db", "b")
-    out = once(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")))
-    wedges = out.join(out.withColumnRenamed("v", "w"), "u").where("v < w")
-    closing = edges.select(F.col("a").alias("v"), F.col("b").alias("w"))
-    met = wedges.join(closing, ["v", "w"])
+    out = once(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), "weight"))
+    wedges = out.withColumnRenamed("weight", "x").join(out.withColumnsRenamed({"v": "w", "weight": "y"}), "u").where("v < w")
+    closing = edges.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("weight").alias("z"))
+    return wedges.join(closing, ["v", "w"]).select("u", "v", "w", (F.col("x") * F.col("y") * F.col("z")).alias("weight"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """node, triangles of an undirected graph (a < b)."""
+    met = wedges_closed(edges.select("a", "b", F.lit(1).alias("weight")))
     return met.select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
 
 
+def weighted_transitivity(edges: DataFrame) -> DataFrame:
+    """One row: transitivity, spread of an undirected graph (a < b, w).
+
+    Closed triplets over all, each counting by the product of its edges' weights (a triplet by that of its two). spread: the root of
+    the summed squares of what the transitivity changes by when one vertex's triplets are left out, from sums by vertex.
+    """
+    weighted = edges.select("a", "b", F.col("w").cast("double").alias("weight"))
+    closed = wedges_closed(weighted).select(F.explode(F.array("u", "v", "w")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("closed"))
+    ends = weighted.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(((F.sum("weight") * F.sum("weight") - F.sum(F.col("weight") * F.col("weight"))) / 2).alias("open"))
+    nodes = once(ends.join(closed, "node", "left").withColumn("closed", F.coalesce("closed", F.lit(0.0))))
+    total = nodes.agg(F.sum("closed").alias("c"), F.sum("open").alias("o"))
+    share = lambda c, o: F.when(o > 0, c / o).otherwise(0.0)
+    whole = share(F.col("c"), F.col("o"))
+    gap = whole - share(F.col("c") - F.col("closed"), F.col("o") - F.col("open"))
+    return nodes.join(F.broadcast(total)).agg(F.max(whole).alias("transitivity"), F.sqrt(F.sum(gap * gap)).alias("spread"))
+
+
 def local_clustering(edges: DataFrame) -> DataFrame:
     """node, degree, triangles, clustering (0 below two neighbours)."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -165,7 +188,8 @@ def scaled_weights(edges: DataFrame, low: float = 1.0, high: float = 10.0) -> Da
 
 
 def capped_edges(edges: DataFrame, most: int) -> DataFrame:
-    """The heaviest edges, ``most`` at most: those above the smallest weight that leaves no more. Ties go together.
+    """The heaviest edges, ``most`` at most: those above the smallest weight that leaves no more. Ties go together, so
+    there are none if more than ``most`` share the heaviest weight.
 
     Weights are counted first, so the ranking sees a row for each weight.
     """

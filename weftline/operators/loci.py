@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.frames import once
+from weftline.operators.filters import satisfied
 from weftline.operators.graph import markov_clusters
 from weftline.operators.positional import merge_neighbours
 from weftline.operators.similarity import locus_similarity
@@ -231,19 +232,63 @@ def modules(members: DataFrame, loci: DataFrame, locus_genes: DataFrame, least_g
     return kept.join(common.groupBy("cluster").agg(F.array_sort(F.collect_set("hg")).alias("hgs")), "cluster", "left")
 
 
-def two_rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, coefficient: str = "sorensen", least_identity: float = 30.0, least_weight: float = 0.0, inflations: tuple[float, float] = (1.1, 1.3), least_genomes: int = 3) -> DataFrame:
-    """Families of loci: blocks of similar loci by overlap and a coarse clustering, then, within these, a finer one.
+def tuned(weights: DataFrame, loci: DataFrame, locus_genes: DataFrame, tunes: DataFrame, inflations: list[float], least_genomes: int = 3) -> tuple[float, DataFrame, DataFrame]:
+    """(inflation, members, families) of the first inflation at which all known clusters (name, hgs, omes, false_omes) are found.
 
-    loci: (block, locus, ome, scaffold, first, last); locus_genes: (block, locus, hg, gene).
+    weights: the similarities of loci (i, j, weight), which are written once and clustered for each inflation. A ValueError names
+    the clusters that the last one missed.
+    """
+    edges = once(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")))
+    missed: list[str] = []
+    for inflation in inflations:
+        members = once(markov_clusters(edges, inflation))
+        families = once(modules(members, loci, locus_genes, least_genomes))
+        missed = [r.name for r in satisfied(tunes, families.select("hgs", "omes")).where("not satisfied").orderBy("name").limit(20).collect()]
+        if not missed:
+            return inflation, members, families
+    raise ValueError(f"no inflation finds {', '.join(missed)}")
+
+
+def merged_loci(placed: DataFrame, genes: DataFrame, max_between: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(block, locus, ome, scaffold, first, last) of loci of one block that stand next to each other on a scaffold, as one, and their
+    genes (block, locus, hg, gene). A merged locus has the number of its first."""
+    order = Window.partitionBy("block", "ome", "scaffold").orderBy("first", "last")
+    gap = F.col("first") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1
+    marked = placed.withColumn("_new", F.when(gap <= max_between, 0).otherwise(1))
+    numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = numbered.groupBy("block", "ome", "scaffold", "_island").agg(F.min_by("locus", F.struct("first", "last", "locus")).alias("locus"), F.min("first").alias("first"), F.max("last").alias("last"))
+    wide = once(wide.select("block", "locus", "ome", "scaffold", "first", "last"))
+    inside = wide.withColumn("pos", F.explode(F.sequence("first", "last"))).join(genes.select("ome", "scaffold", "pos", "hg", "gene"), ["ome", "scaffold", "pos"])
+    return wide, once(inside.select("block", "locus", "hg", "gene"))
+
+
+def rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, genes: DataFrame | None = None, tunes: DataFrame | None = None, coefficient: str = "sorensen", least_identity: float = 30.0, least_weight: float = 0.0, inflations: tuple[float, float] = (1.1, 1.3), least_genomes: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(families, members, loci, locus_genes) of two rounds: blocks of similar loci by overlap and a coarse clustering, then, within
+    these, a finer one, over the loci as the second round saw them.
+
+    loci: (block, locus, ome, scaffold, first, last); locus_genes: (block, locus, hg, gene). With all ``genes``, neighbouring loci of
+    a block are merged between the rounds; with ``tunes``, the second round's inflation is the first from 1.2 to 3 that finds these.
     """
     weights = locus_similarity(locus_genes, identities, "overlap", least_identity, 1, least_weight)
     first = once(markov_clusters(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")), inflations[0]))
     domains = modules(first, loci, locus_genes, least_genomes).select("cluster")
-    placed = loci.join(first.withColumnRenamed("node", "locus"), "locus").join(domains, "cluster").select(F.col("cluster").alias("block"), "locus", "ome")
-    again = locus_genes.drop("block").join(placed.select("locus", "block"), "locus")
+    placed = loci.drop("block").join(first.withColumnRenamed("node", "locus"), "locus").join(domains, "cluster").withColumnRenamed("cluster", "block")
+    if genes is None:
+        again = locus_genes.drop("block").join(placed.select("locus", "block"), "locus")
+    else:
+        placed, again = merged_loci(placed, genes)
     weights = locus_similarity(again, identities, coefficient, least_identity, 1, least_weight)
-    second = once(markov_clusters(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")), inflations[1]))
-    return modules(second, placed, locus_genes, least_genomes)
+    if tunes is not None:
+        _, second, families = tuned(weights, placed, again, tunes, [i / 10 for i in range(12, 31)], least_genomes)
+    else:
+        second = once(markov_clusters(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")), inflations[1]))
+        families = modules(second, placed, again, least_genomes)
+    return families, second, placed, again
+
+
+def two_rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, **settings) -> DataFrame:
+    """The families of ``rounds``."""
+    return rounds(loci, locus_genes, identities, **settings)[0]
 
 
-__all__ = ["attached", "chained", "clan_loci", "edge_claims", "extended", "islands", "merge_neighbours", "modules", "rematched", "shares", "two_rounds"]
+__all__ = ["attached", "chained", "clan_loci", "edge_claims", "extended", "islands", "merge_neighbours", "merged_loci", "modules", "rematched", "rounds", "shares", "tuned", "two_rounds"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once
+from weftline.functions.frames import once, written
 from weftline.functions.scalars import percentile_index
 
 
@@ -44,6 +46,45 @@ def thresholds(values: DataFrame, share: float) -> DataFrame:
     return ranked.where(F.col("at") == F.least(F.col("n") - 1, percentile_index(share, F.col("n")))).select("part", F.col("value").alias("threshold"))
 
 
+def tallied_thresholds(tallies: DataFrame, share: float) -> DataFrame:
+    """size, part, threshold of counted values (size, part, value, n): the same order statistic, from a row for each value.
+
+    Tallies of several runs add up, so draws can be made in parts.
+    """
+    sums = tallies.groupBy("size", "part", "value").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("size", "part")
+    ranked = sums.withColumns({"upto": F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(group)})
+    at = F.least(F.col("total") - 1, percentile_index(share, F.col("total")))
+    return ranked.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("size", "part", F.col("value").alias("threshold"))
+
+
+def carried(bars: DataFrame) -> DataFrame:
+    """Bars (size, part, threshold) in which a zero holds for all larger sizes of its part as well: where sets of one size pass
+    without support, larger ones do."""
+    before = Window.partitionBy("part").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    return bars.withColumn("threshold", F.when(F.min("threshold").over(before) > 0, F.col("threshold")).otherwise(0.0))
+
+
+def stored_tallies(spark: SparkSession, folder: str, sizes: list[int], parts: list[int], make: Callable[[int, list[int]], DataFrame]) -> DataFrame:
+    """size, part, value, n of null distributions kept under ``folder``, by size and part.
+
+    ``make(size, parts)`` gives (part, value) of the draws of parts; it is asked only for those of which no whole tally is
+    there yet, so a run that was stopped goes on where it stopped.
+    """
+    place = lambda size, part: f"{folder}/size={size}/part={part}"
+    for size in sizes:
+        lacking = [part for part in parts if not written(spark, place(size, part))]
+        if lacking:
+            tally = once(make(size, lacking).groupBy("part", "value").agg(F.count("*").alias("n")))
+            for part in lacking:
+                tally.where(F.col("part") == part).select("value", "n").write.mode("overwrite").parquet(place(size, part))
+    frames = [spark.read.parquet(place(size, part)).select(F.lit(size).alias("size"), F.lit(part).alias("part"), "value", "n") for size in sizes for part in parts]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionAll(f)
+    return out
+
+
 def supported(sets: DataFrame, parts: DataFrame, bars: DataFrame, strict: bool, strict_partition: bool = False) -> DataFrame:
     """Sets (key, omes, score) that reach the smallest threshold of the parts they occur in; ``strict``: pass it.
 

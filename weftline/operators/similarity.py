@@ -30,19 +30,33 @@ def set_similarity(pairs: DataFrame, coefficient: str) -> DataFrame:
     return pairs.withColumn("similarity", COEFFICIENTS[coefficient](F.col("shared"), F.col("size_i"), F.col("size_j")))
 
 
+def best_identities(identities: DataFrame) -> DataFrame:
+    """lo, hi, pident: the best identity of each pair of genes, in either direction."""
+    pairs = identities.where("q <> s").select(F.least("q", "s").alias("lo"), F.greatest("q", "s").alias("hi"), "pident")
+    return pairs.groupBy("lo", "hi").agg(F.max("pident").alias("pident"))
+
+
+def alignment_store(identities: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Best identities (lo, hi, pident) as a table ``name`` at ``path``, bucketed and sorted by the pair of genes: rounds that
+    meet it by pairs shuffle their own side only."""
+    best = best_identities(identities)
+    best.write.mode("overwrite").option("path", path).bucketBy(buckets, "lo", "hi").sortBy("lo", "hi").saveAsTable(name)
+    return identities.sparkSession.table(name)
+
+
 def locus_similarity(locus_genes: DataFrame, identities: DataFrame, coefficient: str = "sorensen", least_identity: float = 30.0, least_shared: int = 2, least_weight: float = 0.0, ignore_missing: bool = False) -> DataFrame:
     """block, i, j, weight: the mean, over common groups, of the best identity of their genes, times the coefficient.
 
-    locus_genes: (block, locus, hg, gene); identities: (q, s, pident). A pair of genes takes the better of its two
-    directions; a group without an alignment counts as 0, or not at all with ``ignore_missing``.
+    locus_genes: (block, locus, hg, gene); identities: (q, s, pident), or the best of each pair, (lo, hi, pident), as an alignment
+    store holds them. A pair of genes takes the better of its two directions; a group without an alignment counts as 0, or
+    not at all with ``ignore_missing``.
     """
     pairs = shared_groups(locus_genes, least_shared)
     genes = locus_genes.where("hg is not null")
     left = genes.select("block", F.col("locus").alias("i"), "hg", F.col("gene").alias("g"))
     right = genes.select("block", F.col("locus").alias("j"), "hg", F.col("gene").alias("h"))
     met = pairs.join(left, ["block", "i"]).join(right, ["block", "j", "hg"])
-    good = identities.where((F.col("q") != F.col("s")) & (F.col("pident") >= least_identity))
-    best = good.groupBy(F.least("q", "s").alias("lo"), F.greatest("q", "s").alias("hi")).agg(F.max("pident").alias("pident"))
+    best = (identities if "lo" in identities.columns else best_identities(identities)).where(F.col("pident") >= least_identity)
     met = met.withColumns({"lo": F.least("g", "h"), "hi": F.greatest("g", "h")}).join(best, ["lo", "hi"], "left")
     by_group = met.groupBy("block", "i", "j", "shared", "size_i", "size_j", "hg").agg((F.max("pident") / 100).alias("id"))
     value = F.col("id") if ignore_missing else F.coalesce("id", F.lit(0.0))

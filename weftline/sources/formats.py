@@ -222,3 +222,53 @@ def seed_pairs(spark: SparkSession, path: str) -> DataFrame:
     """hg0, hg1 of a pair table."""
     rows = spark.read.option("sep", "\t").option("comment", "#").schema("hg0 int, hg1 int, n_omes long, score double").csv(path)
     return rows.select("hg0", "hg1")
+
+
+#: Columns of result tables and their types; a table has those that its version knew.
+RESULT = {"hgs": "array<int>", "hlg": "long", "hlc": "long", "nrm_log_tmd": "double", "pds": "double", "gcl": "double", "mmi": "double", "mmp": "double", "csb": "double", "apds": "double", "omes": "array<string>"}
+
+
+def families(spark: SparkSession, *paths: str) -> DataFrame:
+    """Result tables of families, of any version: columns are taken by name, those that a table lacks are null.
+
+    csb is read as the share that it was before it was written as a percentage.
+    """
+    out = None
+    for path in paths:
+        rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+        one = lambda c: F.when(F.col(c) != "na", F.col(c))
+        typed = [(F.when(F.col(c) == "", F.array()).otherwise(F.split(one(c), ",")) if kind.startswith("array") else one(c)).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in RESULT.items()]
+        rows = rows.select(*typed).withColumn("csb", F.col("csb") / 100)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def loci(spark: SparkSession, path: str) -> DataFrame:
+    """ome, name, hgs (null for genes of no group), genes, families of loci written in a folder for each genome."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    listed = lambda c: F.split(F.coalesce(c, F.lit("")), ",")
+    hgs = F.transform(listed("hgs"), lambda h: F.when(h != "", h.cast("int")))
+    return rows.select("ome", "name", hgs.alias("hgs"), listed("genes").alias("genes"), F.transform(F.filter(listed("families"), lambda x: x != ""), lambda x: x.cast("long")).alias("families"))
+
+
+def edges(spark: SparkSession, path: str, loci_: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """i, j, weight of a table of locus similarities, of at least that weight and between given loci (locus)."""
+    rows = spark.read.option("sep", "\t").schema("i long, j long, weight double").csv(path).where(F.col("weight") >= least)
+    for end in ("i", "j") if loci_ is not None else ():
+        rows = rows.join(loci_.select(F.col("locus").alias(end)), end, "left_semi")
+    return rows
+
+
+def sequence_counts(spark: SparkSession, path: str) -> DataFrame:
+    """ome, n: records of FASTA files, named for their genomes."""
+    return fasta_by_file(spark, path).groupBy("ome").agg(F.count("*").alias("n"))
+
+
+def fasta_by_file(spark: SparkSession, path: str) -> DataFrame:
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?(\.gz)?$", 1)
+    return spark.read.option("lineSep", "\n>").text(path).select("value", name.alias("ome")).where("trim(value) <> '' and trim(value) <> '>'")
+
+
+def transcript_counts(features: DataFrame) -> DataFrame:
+    """ome, n: distinct genes that coding features name."""
+    return gene_order(features).groupBy("ome").agg(F.count_distinct("gene").alias("n"))

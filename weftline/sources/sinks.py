@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.frames import replaced
 from weftline.functions.scalars import substitution_bias
+from weftline.operators.filters import log_scaled
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -24,6 +26,28 @@ def pairs(df: DataFrame, path: str) -> None:
     table(df.select("hg0", "hg1", "n_omes", "score"), path, F.col("score").asc())
 
 
+def itemsets(df: DataFrame, path: str) -> None:
+    """items, nrm_log_score, omes of itemsets (items, omes, score), by falling score."""
+    scaled = log_scaled(df, "score", "nrm_log_score")
+    table(scaled.select("items", "nrm_log_score", "omes"), path, F.col("nrm_log_score").desc_nulls_last())
+
+
+def family_store(df: DataFrame, path: str) -> None:
+    """Families as Parquet, sorted by their score over all files: a threshold reads only the row groups that can pass."""
+    replaced(df.sparkSession, path, lambda to: df.orderBy(F.col("nrm_log_tmd").desc_nulls_last()).write.parquet(to))
+
+
+def group_fasta(records: DataFrame, path: str) -> None:
+    """One file of FASTA records (hg, name, sequence), sorted by name, for each group: hg=<group>/part-....txt.
+
+    A group's records are written by one task, as they make one file; they are sorted on disk, not held. All files take their
+    place at once, when the last is written.
+    """
+    line = F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("value")
+    sorted_ = records.repartition("hg").sortWithinPartitions("hg", "name").select("hg", line)
+    replaced(records.sparkSession, path, lambda to: sorted_.write.partitionBy("hg").text(to))
+
+
 def families(df: DataFrame, path: str, positives: bool = True) -> None:
     """hgs, hlg, hlc, scores and genomes; csb as a percentage, only with positives."""
     shown = [c for c in ("hgs", "hlg", "hlc", "nrm_log_tmd", "pds", "gcl", "mmi") if c in df.columns]
