@@ -212,6 +212,13 @@ def test_run(spark, tmp_path):
     run = Run(g, genomes, t, same, str(tmp_path), s)
     found = run.clusters().collect()
     assert any(set(x.hgs) >= {1, 2, 3, 4} and len(x.omes) == 6 for x in found) and any(set(x.hgs) >= {11, 12, 13} for x in found)
+    assert all(x.mmi == 60 and x.pds == 0 for x in found)
+    run.outputs(f"{tmp_path}/results")
+    again = {r.hlg: r for r in formats.families(spark, f"{tmp_path}/results/hlgs", f"{tmp_path}/results/gcfs").collect()}
+    assert {(tuple(r.hgs), tuple(r.omes)) for r in again.values()} == {(tuple(x.hgs), tuple(map(str, x.omes))) for x in run.scores().collect()}
+    held = formats.loci(spark, f"{tmp_path}/results/loci").collect()
+    assert {r.ome for r in held} == set(range(6)) and all(len(r.hgs) == len(r.genes) >= 2 for r in held)
+    assert {tuple(h for h in r.hgs if h in (1, 2, 3, 4)) for r in held if 1 in r.hgs} == {(1, 2, 3, 4)}
     assert stage_key(s, "families") == stage_key(Settings(**{**s.__dict__, "tmd": 0.5}), "families") != stage_key(Settings(**{**s.__dict__, "coefficient": "jaccard"}), "families")
     with pytest.raises(ValueError):
         Settings(max_distance=True, unique_species=True)

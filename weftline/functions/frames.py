@@ -35,6 +35,13 @@ def written(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def finished(spark: SparkSession, folder: str) -> list[str]:
+    """Folders directly under ``folder`` that Spark has written to their ends."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """``write`` to a new folder beside ``path``, which takes its place when all is written: readers see the old or the new whole."""
     new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"

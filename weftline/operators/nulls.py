@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once, written
+from weftline.functions.frames import finished, once
 from weftline.functions.scalars import percentile_index
 
 
@@ -65,24 +67,26 @@ def carried(bars: DataFrame) -> DataFrame:
     return bars.withColumn("threshold", F.when(F.min("threshold").over(before) > 0, F.col("threshold")).otherwise(0.0))
 
 
-def stored_tallies(spark: SparkSession, folder: str, sizes: list[int], parts: list[int], make: Callable[[int, list[int]], DataFrame]) -> DataFrame:
-    """size, part, value, n of null distributions kept under ``folder``, by size and part.
+def stored_tallies(spark: SparkSession, folder: str, sizes: list[int], parts: list[int], make: Callable[[int, list[int]], DataFrame], group: int = 64) -> DataFrame:
+    """size, part, value, n of null distributions kept under ``folder``.
 
-    ``make(size, parts)`` gives (part, value) of the draws of parts; it is asked only for those of which no whole tally is
-    there yet, so a run that was stopped goes on where it stopped.
+    ``make(size, parts)`` gives (part, value) of the draws of parts; it is asked for some parts at a time, and only for those of
+    which no whole tally is there yet, so a run that was stopped goes on where it stopped. A part without draws is kept, too.
     """
-    place = lambda size, part: f"{folder}/size={size}/part={part}"
+    wanted = spark.createDataFrame([(p,) for p in parts], "part long")
+    frames = []
     for size in sizes:
-        lacking = [part for part in parts if not written(spark, place(size, part))]
-        if lacking:
-            tally = once(make(size, lacking).groupBy("part", "value").agg(F.count("*").alias("n")))
-            for part in lacking:
-                tally.where(F.col("part") == part).select("value", "n").write.mode("overwrite").parquet(place(size, part))
-    frames = [spark.read.parquet(place(size, part)).select(F.lit(size).alias("size"), F.lit(part).alias("part"), "value", "n") for size in sizes for part in parts]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+        kept = finished(spark, f"{folder}/size={size}")
+        there = {r.part for r in spark.read.parquet(*kept).select("part").distinct().collect()} if kept else set()
+        lacking = [p for p in parts if p not in there]
+        for at in range(0, len(lacking), group):
+            some = lacking[at : at + group]
+            tally = make(size, some).groupBy(F.col("part").cast("long").alias("part"), "value").agg(F.count("*").alias("n"))
+            marks = wanted.where(F.col("part").isin(some)).select("part", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+            kept.append(f"{folder}/size={size}/{uuid.uuid4().hex}")
+            tally.unionByName(marks).write.parquet(kept[-1])
+        frames.append(spark.read.parquet(*kept).where("value is not null").join(wanted, "part", "left_semi").select(F.lit(size).alias("size"), "part", "value", "n"))
+    return reduce(DataFrame.unionAll, frames)
 
 
 def supported(sets: DataFrame, parts: DataFrame, bars: DataFrame, strict: bool, strict_partition: bool = False) -> DataFrame:

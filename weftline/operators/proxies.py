@@ -59,7 +59,7 @@ def family_scores(best: DataFrame) -> DataFrame:
     return rolled.select("hlg", "gcl", "mmi", F.when(F.col("bare") == 0, F.col("mmp")).alias("mmp"))
 
 
-def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_evidence: float = 0.5) -> DataFrame:
+def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_evidence: float = 0.5, kind: str = "array<bigint>") -> DataFrame:
     """hlg, lost: missing genomes of which a gene stands before a member's hits are complete, by identity, in any group.
 
     missing: (hlg, ome). Only scans that complete are evidence, and a family needs it for ``least_evidence`` of its groups.
@@ -70,7 +70,7 @@ def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_
     groups = members.groupBy("hlg").agg(F.count_distinct("hg").alias("groups"))
     fit = groups.join(evidence, "hlg").where(F.col("judged") >= F.lit(least_evidence) * F.col("groups")).select("hlg")
     lost = done.where("kind = 'out'").select("hlg", F.col("s_ome").alias("ome")).join(missing, ["hlg", "ome"], "left_semi")
-    return fit.join(lost.groupBy("hlg").agg(F.array_sort(F.collect_set("ome")).alias("lost")), "hlg", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<bigint>")))
+    return fit.join(lost.groupBy("hlg").agg(F.array_sort(F.collect_set("ome")).alias("lost")), "hlg", "left").withColumn("lost", F.coalesce("lost", F.array().cast(kind)))
 
 
 def failing(algn: DataFrame, members: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import families, sets_and_trees, statistics_and_networks, thresholds_and_loci
+from weftline.plans import families, sets_and_trees, statistics_and_networks, stores, thresholds_and_loci
 
-MODULES = (sets_and_trees, thresholds_and_loci, families, statistics_and_networks)
+MODULES = (sets_and_trees, thresholds_and_loci, families, stores, statistics_and_networks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
