@@ -47,7 +47,7 @@ def test_checksums():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab Z9 \n\n\t\r.'!\x1c\x85\xa0 é猫_-\U0001f600́"), max_size=40))
+@given(st.text(st.sampled_from("ab Z9 ,é\n\n\t\r.'!\x1c\x85\xa0 é猫_-\U0001f600́"), max_size=40))
 def test_ids_are_the_librarys(words, library, text):
     texts = [text, "", text.strip(), " ".join(text.split())]
     assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]

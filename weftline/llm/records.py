@@ -40,12 +40,14 @@ from weftline.llm.common import bounded, shared_folder, slices, table
 END = 2
 #: Bytes of text in a file, about; smaller tables still give each core some files.
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
-#: Words that a worker remembers, and their characters.
-MEMO_WORDS, MEMO_CHARS = 800_000, 16 << 20
+#: Words in a worker's memo, and their characters; the memo before it is kept, too.
+MEMO_WORDS, MEMO_CHARS = 400_000, 8 << 20
 #: Characters of texts, or bytes of payloads, that are worked through at a time, about.
 BATCH_BYTES = 1 << 20
 #: A place at which a text may be cut; characters of a stretch of a long text.
 CUT, LONG = re.compile(r"(?<=\S)(?=[ \n]\S)"), 1 << 20
+#: Marks that end words, and the first character from which on letters aren't told apart from marks here.
+MARKS, LATIN = ".,;:!?", "\u0250"
 #: A byte-level vocabulary's signs for a space and a line end.
 SPACE, LINE = "Ġ", "Ċ"
 #: Format and bytes of what stands before the ids.
@@ -139,25 +141,44 @@ class Words:
         self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.ends = np.zeros_like(self.opens)
         self.ends[vocabulary.get(LINE, 0)] = True
-        self.line = self._plain([chr(10)])[0]
+        self.line = self._plain(["\n"])[0]
+        self.marks = dict(zip(MARKS, self._plain(list(MARKS)), strict=True))
+        self.bare, self.spaced = {}, {}
         self._forget()
 
     def _forget(self) -> None:
+        """Starts new memos; words that are met again are taken over from the last ones."""
+        self.old = {" ": self.spaced, "\n": self.bare}
         self.bare, self.spaced, self.parts, self.chars = {"": b""}, {}, {}, 0
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, memo: dict[str, bytes], words: set[str], ahead: str, first: np.ndarray, skip: int) -> None:
-        """Encodes words that the memo lacks, each behind ``ahead``, as one text, and parts it at the tokens that are ``first``."""
-        words = [w for w in words if w not in memo]
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
+        """Encodes words that the memo lacks, each behind ``ahead``, as one text, and parts it at the tokens that are ``first``.
+
+        A mark behind a letter is a token of its own, so a word that ends with one is taken as two.
+        """
+        old, new, marked = self.old[ahead], set(), []
+        for w in words:
+            if w in memo:
+                continue
+            if w in old:
+                memo[w] = old[w]
+            elif w[-1] in self.marks and len(w) > 1 and w[-2] < LATIN and w[-2].isalpha():
+                marked.append(w)
+                new.add(w[:-1])
+            else:
+                new.add(w)
+        rest = [w for w in new if w not in memo]
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
             ids = np.array(self.model.encode_batch_fast([ahead + ahead.join(some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = (np.append(np.flatnonzero(first[ids]), len(ids)) * self.width).tolist()
             data = ids.tobytes()
             memo.update(zip(some, (data[i + skip : j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
-        self.chars += sum(map(len, words))
+        memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        self.chars += sum(map(len, rest)) + sum(map(len, marked))
 
     def _joined(self, text: str, words: list[str]) -> bytes:
         """Ids of a text whose words are parted by single spaces and line ends."""
