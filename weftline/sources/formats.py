@@ -237,7 +237,7 @@ def families(spark: SparkSession, *paths: str) -> DataFrame:
     for path in paths:
         rows = spark.read.option("sep", "\t").option("header", True).csv(path)
         one = lambda c: F.when(F.col(c) != "na", F.col(c))
-        typed = [(F.when(F.col(c) == "", F.array()).otherwise(F.split(one(c), ",")) if kind.startswith("array") else one(c)).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in RESULT.items()]
+        typed = [(F.when(F.coalesce(c, F.lit("")) == "", F.array()).otherwise(F.split(one(c), ",")) if kind.startswith("array") else one(c)).cast(kind).alias(c) if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in RESULT.items()]
         rows = rows.select(*typed).withColumn("csb", F.col("csb") / 100)
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -256,7 +256,7 @@ def edges(spark: SparkSession, path: str, loci_: DataFrame | None = None, least:
     rows = spark.read.option("sep", "\t").schema("i long, j long, weight double").csv(path).where(F.col("weight") >= least)
     for end in ("i", "j") if loci_ is not None else ():
         rows = rows.join(loci_.select(F.col("locus").alias(end)), end, "left_semi")
-    return rows
+    return rows.select("i", "j", "weight")
 
 
 def sequence_counts(spark: SparkSession, path: str) -> DataFrame:
