@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BROADCAST_BYTES, cut, fresh, let, slices, table
+from weftline.llm.common import cut, fresh, let, slices, table
 
 MIN_WORDS = 50
 #: Bytes of a 128-bit hash.
@@ -165,8 +165,7 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, ident: str = "doc_id"
     df = df.drop("removed_lines", "removed_words")
     ident_, mark, gone, stay, words, new = fresh(df, "ident", "mark", "gone", "stay", "words", "new")
     found = cut(repeated_lines(df, min_words, ident, text)).select(F.col("id").alias(ident_), F.col("mark").alias(mark), F.size("gone").alias(gone), F.col("stay").alias(stay), F.col("words").alias(words))
-    room = found.agg(F.sum(8 * F.size(stay) + 64)).first()[0] or 0
-    joined = df.join(F.broadcast(found) if room <= BROADCAST_BYTES else found, (F.col(ident) == F.col(ident_)) & (F.xxhash64(text) == F.col(mark)), "left")
+    joined = df.join(found, (F.col(ident) == F.col(ident_)) & (F.xxhash64(text) == F.col(mark)), "left")
     kept = let(F.split(F.col(text), "\n", -1), lambda parts: F.array_join(F.flatten(F.transform(stay, lambda r: F.slice(parts, r["start"] + 1, r["size"]))), "\n"))
     joined = joined.withColumn(new, F.when(F.col(mark).isNotNull(), kept))
     changed = F.col(new).isNotNull()
