@@ -9,6 +9,7 @@ from weftline.functions.frames import once
 from weftline.operators import graph, loci, positional, proxies, similarity, tree
 from weftline.plans import encoding as enc
 from weftline.plans.sets_and_trees import TOP, frequent, joined, on_tree, triples_of
+from weftline.plans.thresholds_and_loci import loci_by_kind, members_of
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -158,16 +159,7 @@ def _pruning() -> str:
     return f"WITH {', '.join(parts)} SELECT hlg, locus, genes, failed, (failed = 0 OR failed < genes - 1) AND hlg IN (SELECT hlg FROM large) AS stays FROM judged"
 
 
-def loci_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    """hlg, locus, gene, ome, hg: five embeddings in a row are a locus of the family of its commonest label."""
-    placed = enc.read(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"), (F.col("vec_id") / 5).cast("long").alias("locus"), F.col("label").alias("hg"), (F.col("vec_id") % 12).alias("ome"))
-    kinds = placed.groupBy("locus", "hg").agg(F.count("*").alias("n")).groupBy("locus").agg(F.min_by("hg", F.struct(-F.col("n"), "hg")).alias("hlg"))
-    return once(placed.join(kinds, "locus").select("hlg", "locus", "gene", "ome", "hg"))
-
-
 @query(_pruning())
 def post_gcl_pruning(spark: SparkSession, sf: str) -> DataFrame:
-    placed = loci_by_kind(spark, sf)
-    common = placed.groupBy("hlg", "hg").agg(F.count_distinct("locus").alias("n")).where("n > 1").select("hlg", "hg")
     algn = once(enc.alignments(spark, sf).where(F.col("pident") >= LEAST_IDENTITY))
-    return proxies.pruned(algn, placed.join(common, ["hlg", "hg"]).select("hlg", "hg", "gene", "ome"), placed)
+    return proxies.pruned(algn, members_of(spark, sf), loci_by_kind(spark, sf))

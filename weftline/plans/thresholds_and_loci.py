@@ -201,21 +201,31 @@ def two_round_hlgs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("cluster", "block", "n_loci", F.size("omes").cast("long").alias("n_omes"), joined("hgs").alias("hgs"))
 
 
-MEMBERS = "members AS (SELECT label % 3 AS hlg, label AS hg, vec_id AS gene, vec_id % 12 AS ome FROM embeddings WHERE vec_id % 12 IN (0, 3, 6, 9))"
+MEMBERS = """placed AS (SELECT vec_id AS gene, vec_id // 5 AS locus, label AS hg, vec_id % 12 AS ome FROM embeddings),
+    kinds AS (SELECT locus, hg AS hlg FROM (SELECT locus, hg, count(*) AS n FROM placed GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY locus ORDER BY n DESC, hg) = 1),
+    common AS (SELECT hlg, hg FROM placed JOIN kinds USING (locus) GROUP BY ALL HAVING count(DISTINCT locus) > 1),
+    members AS (SELECT k.hlg, p.hg, p.gene, p.ome FROM placed p JOIN kinds k USING (locus) JOIN common c ON c.hlg = k.hlg AND c.hg = p.hg)"""
 HITS = f"""{enc.ALIGNMENTS}, {MEMBERS}, sized AS (SELECT hlg, hg, count(DISTINCT ome) AS n FROM members GROUP BY ALL),
-    typed AS (SELECT z.hlg, a.hg, a.q, a.q_ome, a.s, a.s_ome, a.pident, a.ppos, z.n,
-              CASE WHEN EXISTS (SELECT 1 FROM members x WHERE x.hg = a.hg AND x.gene = a.s) AND a.s_ome <> a.q_ome THEN 'in'
-                   WHEN a.s_ome NOT IN (SELECT x.ome FROM members x WHERE x.hg = a.hg) THEN 'out' END AS kind
-              FROM algn a JOIN members m ON m.hg = a.hg AND m.gene = a.q JOIN sized z ON z.hg = a.hg AND z.n > 1),
-    marked AS (SELECT *, (kind = 'in' AND row_number() OVER (PARTITION BY hg, q, kind, s_ome ORDER BY SCORE DESC, s) = 1)::INTEGER AS fresh FROM typed WHERE kind IS NOT NULL),
-    ranked AS (SELECT *, row_number() OVER w AS rank, sum(fresh) OVER (PARTITION BY hg, q ORDER BY SCORE DESC, s ROWS UNBOUNDED PRECEDING) AS seen FROM marked WINDOW w AS (PARTITION BY hg, q ORDER BY SCORE DESC, s)),
+    typed AS (SELECT z.hlg, a.hg, a.q, a.q_ome, a.s, a.s_ome, a.pident, a.ppos, z.n, CASE WHEN x.gene IS NOT NULL AND a.s_ome <> a.q_ome THEN 'in' WHEN o.ome IS NULL THEN 'out' END AS kind
+              FROM algn a JOIN members m ON m.hg = a.hg AND m.gene = a.q JOIN sized z ON z.hlg = m.hlg AND z.hg = m.hg AND z.n > 1
+              LEFT JOIN members x ON x.hlg = m.hlg AND x.hg = m.hg AND x.gene = a.s LEFT JOIN (SELECT DISTINCT hlg, hg, ome FROM members) o ON o.hlg = m.hlg AND o.hg = m.hg AND o.ome = a.s_ome),
+    marked AS (SELECT *, (kind = 'in' AND row_number() OVER (PARTITION BY hlg, hg, q, kind, s_ome ORDER BY SCORE DESC, s) = 1)::INTEGER AS fresh FROM typed WHERE kind IS NOT NULL),
+    ranked AS (SELECT *, row_number() OVER w AS rank, sum(fresh) OVER (PARTITION BY hlg, hg, q ORDER BY SCORE DESC, s ROWS UNBOUNDED PRECEDING) AS seen FROM marked WINDOW w AS (PARTITION BY hlg, hg, q ORDER BY SCORE DESC, s)),
     hits AS (SELECT * FROM ranked WHERE seen - fresh < n - 1)"""
 
 
+def loci_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """hlg, locus, gene, ome, hg: five embeddings in a row are a locus of the family of its commonest label."""
+    placed = enc.read(spark, sf, "embeddings").select(F.col("vec_id").alias("gene"), (F.col("vec_id") / 5).cast("long").alias("locus"), F.col("label").alias("hg"), (F.col("vec_id") % 12).alias("ome"))
+    kinds = placed.groupBy("locus", "hg").agg(F.count("*").alias("n")).groupBy("locus").agg(F.min_by("hg", F.struct(-F.col("n"), "hg")).alias("hlg"))
+    return once(placed.join(kinds, "locus").select("hlg", "locus", "gene", "ome", "hg"))
+
+
 def members_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Families of three: embeddings of four genomes, by label."""
-    e = enc.read(spark, sf, "embeddings").select(F.col("label").alias("hg"), F.col("vec_id").alias("gene"), (F.col("vec_id") % 12).alias("ome"))
-    return e.where(F.col("ome").isin(0, 3, 6, 9)).select((F.col("hg") % 3).alias("hlg"), "hg", "gene", "ome")
+    """hlg, hg, gene, ome: genes of a family's loci whose group two or more of its loci have."""
+    placed = loci_by_kind(spark, sf)
+    common = placed.groupBy("hlg", "hg").agg(F.count_distinct("locus").alias("n")).where("n > 1").select("hlg", "hg")
+    return once(placed.join(common, ["hlg", "hg"]).select("hlg", "hg", "gene", "ome"))
 
 
 @query("WITH " + HITS.replace("SCORE", "ppos") + " SELECT hlg, hg, q, s, s_ome, kind, rank, seen::BIGINT AS seen FROM hits")
@@ -237,15 +247,19 @@ def gcl_mmi_mmp(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("hlg", F.round("gcl", 6).alias("gcl"), F.round("mmi", 6).alias("mmi"), F.round("mmp", 6).alias("mmp"))
 
 
-MISSING = "missing AS (SELECT DISTINCT hlg, o AS ome FROM members, (VALUES (1), (2), (4), (5), (7), (8)) v(o))"
-LOST = f"""{MISSING}, done AS (SELECT *, max(seen) OVER (PARTITION BY hg, q) >= n - 1 AS whole FROM hits),
+MISSING = """missing AS (SELECT f.hlg, o.ome FROM (SELECT DISTINCT hlg FROM members) f, (SELECT DISTINCT vec_id % 12 AS ome FROM embeddings) o
+    WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.hlg = f.hlg AND m.ome = o.ome))"""
+LOST = f"""{MISSING}, done AS (SELECT *, max(seen) OVER (PARTITION BY hlg, hg, q) >= n - 1 AS whole FROM hits),
     fit AS (SELECT m.hlg FROM (SELECT hlg, count(DISTINCT hg) AS g FROM members GROUP BY hlg) m JOIN (SELECT hlg, count(DISTINCT hg) AS j FROM done WHERE whole GROUP BY hlg) d USING (hlg) WHERE j >= 0.5 * g),
-    lost AS (SELECT f.hlg, list_sort(list(DISTINCT d.s_ome) FILTER (d.s_ome IN (SELECT ome FROM missing))) AS lost FROM fit f LEFT JOIN done d ON d.hlg = f.hlg AND d.whole AND d.kind = 'out' GROUP BY f.hlg)"""
+    lost AS (SELECT f.hlg, coalesce(list_sort(list(DISTINCT d.s_ome) FILTER (d.s_ome IS NOT NULL)), []) AS lost
+             FROM fit f LEFT JOIN (SELECT d.hlg, d.s_ome FROM done d JOIN missing x ON x.hlg = d.hlg AND x.ome = d.s_ome WHERE d.whole AND d.kind = 'out') d ON d.hlg = f.hlg GROUP BY f.hlg)"""
 
 
 def lost_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each family, which genomes of the embeddings that it lacks have lost its groups."""
     members = members_of(spark, sf)
-    missing = members.select("hlg").distinct().withColumn("ome", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 2, 4, 5, 7, 8)])))
+    omes = enc.read(spark, sf, "embeddings").select((F.col("vec_id") % 12).alias("ome")).distinct()  # at most twelve
+    missing = members.select("hlg").distinct().join(F.broadcast(omes)).join(members.select("hlg", "ome"), ["hlg", "ome"], "left_anti")
     return proxies.lost_genomes(enc.alignments(spark, sf), members, missing)
 
 
@@ -259,7 +273,7 @@ def hlg_loss_genomes(spark: SparkSession, sf: str) -> DataFrame:
     + HITS.replace("SCORE", "pident").replace("sized AS", "fam_sized AS").replace("JOIN sized", "JOIN fam_sized").replace("members", "fam")
     + ", "
     + LOST.replace("members", "fam")
-    + f""", {enc.TREE.replace("sums AS", "sums_ AS").replace("JOIN sums ", "JOIN sums_ ")}, sets AS (SELECT hlg AS set_id, list_sort(list_distinct(list_concat(coalesce(lost, []), [0, 3, 6, 9]))) AS omes FROM lost), {enc.DISTANCES}
+    + f""", {enc.TREE.replace("sums AS", "sums_ AS").replace("JOIN sums ", "JOIN sums_ ")}, sets AS (SELECT hlg AS set_id, list_sort(list_distinct(list_concat(lost, own))) AS omes FROM lost JOIN (SELECT hlg, list(DISTINCT ome) AS own FROM fam GROUP BY hlg) USING (hlg)), {enc.DISTANCES}
     SELECT set_id AS hlg, round(pds, 6) AS apds FROM distances"""
 )
 def apds(spark: SparkSession, sf: str) -> DataFrame:
