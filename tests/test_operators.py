@@ -161,6 +161,8 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in formats.rules(spark, w("rules", "(A|B);C\tX\n")).orderBy("clause", "term").collect()] == [("X", 0, "A"), ("X", 0, "B"), ("X", 1, "C")]
     tune = formats.tunes(spark, w("tune", 'k\t"3,1 3"\ta b\n')).first()
     assert (tune.hgs, tune.omes, tune.false_omes) == ([1, 3], ["a", "b"], [])
+    named = formats.tunes(spark, w("named", "k\t3,g1,g2,g9\ta\n"), spark.createDataFrame([("g1", 7), ("g2", 5), ("g9", None)], "gene string, hg int")).first()
+    assert named.hgs == [3, 5, 7]
     with pytest.raises(Exception, match="fewer than 5"):
         formats.genomes(spark, w("meta", "only\ttwo\n")).collect()
 

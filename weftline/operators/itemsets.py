@@ -39,13 +39,14 @@ def roll_up(shared: DataFrame) -> DataFrame:
 
 def closed(sets: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """Itemsets (items, omes) with no proper superset of the same genomes. Each larger set names its subsets of the
-    smaller sizes, which an anti-join on (items, omes) removes."""
+    smaller sizes, which an anti-join removes. A superset's genomes are among those of its subset, so equal numbers are equal
+    genomes, and only numbers are compared."""
+    counted = sets.withColumn("_n", F.size("omes"))
     small = []
     for size in sizes:
         for k in (k for k in sizes if k < size):
             subsets = F.array(*[F.array(*[F.get("items", F.lit(i)) for i in c]) for c in combinations(range(size), k)])
-            small.append(sets.where(F.size("items") == size).select(F.explode(subsets).alias("items"), "omes"))
-    out = sets
+            small.append(counted.where(F.size("items") == size).select(F.explode(subsets).alias("items"), "_n"))
     for s in small:
-        out = out.join(s.distinct(), ["items", "omes"], "left_anti")
-    return out
+        counted = counted.join(s.distinct(), ["items", "_n"], "left_anti")
+    return counted.select(*sets.columns)

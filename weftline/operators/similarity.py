@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.frames import once
 from weftline.functions.scalars import COEFFICIENTS
 
 
@@ -15,6 +16,13 @@ def overlapping_sets(annotated: DataFrame, least: int = 1) -> DataFrame:
     return met.groupBy("ome", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).groupBy("a", "b").agg(F.array_sort(F.collect_set("ome")).alias("omes"))
 
 
+def gene_links(annotated: DataFrame) -> DataFrame:
+    """a, b: each set that annotates a gene with the gene's smallest set. The links have the components of all pairs that meet at
+    a gene, without making these. annotated: (ome, gene, set_id)."""
+    least = annotated.groupBy("ome", "gene").agg(F.min("set_id").alias("b"))
+    return annotated.join(once(least), ["ome", "gene"]).where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+
+
 def shared_groups(locus_hg: DataFrame, least: int = 2) -> DataFrame:
     """block, i, j, shared, size_i, size_j: loci of a block that share ``least`` or more groups. locus_hg: (block, locus, hg)."""
     distinct = locus_hg.where("hg is not null").select("block", "locus", "hg").distinct()

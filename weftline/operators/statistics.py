@@ -114,11 +114,43 @@ def rule_labels(terms: DataFrame, rules: DataFrame, locus: str) -> DataFrame:
     terms: (locus, term); rules: (label, clause, term), terms of a clause being alternatives.
     """
     clauses = rules.groupBy("label").agg(F.count_distinct("clause").alias("needed"))
-    met = terms.select(locus, "term").distinct().join(F.broadcast(rules), "term").groupBy(locus, "label").agg(F.count_distinct("clause").alias("n"))
-    whole = met.join(F.broadcast(clauses), "label").where("n = needed")
+    met = terms.select(locus, "term").distinct().join(rules, "term").groupBy(locus, "label").agg(F.count_distinct("clause").alias("n"))
+    whole = met.join(clauses, "label").where("n = needed")
     return whole.groupBy(locus).agg(F.array_join(F.array_sort(F.collect_set("label")), "$").alias("labels"))
 
 
+def renamed_terms(terms: DataFrame, rules: DataFrame) -> DataFrame:
+    """Terms (locus, term and others) with name: the label of a rule that knows the term (of several, the first), or the term itself."""
+    known = rules.groupBy("term").agg(F.min("label").alias("_label"))
+    return terms.join(known, "term", "left").withColumn("name", F.coalesce("_label", "term")).drop("_label")
+
+
+def labelled(loci: DataFrame, labels: DataFrame, locus: str, name: str = "name", extract: bool = False) -> DataFrame:
+    """Loci with their labels behind their names, after a _; ``extract``: those with labels only. labels: what ``rule_labels`` returns."""
+    met = loci.join(labels, locus, "inner" if extract else "left")
+    return met.withColumn(name, F.concat_ws("_", name, "labels")).drop("labels")
+
+
+def contrasts(rows: DataFrame, terms: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """taxon, contrast, term, clusters, k_background, k, p, significant of terms in clustered genes against all genes (total) and
+    against those of families (family), each against the other as well (family against total).
+
+    rows: (taxon, gene, family, cluster), a row a gene, null for none; terms: (gene, term). clusters: distinct clusters with the term,
+    beside the number of genes, on which the test is made.
+    """
+    named = once(rows.join(terms.distinct(), "gene"))
+    kinds = {"cluster_total": (F.lit(True), F.col("cluster").isNotNull(), "cluster"), "cluster_family": (F.col("family").isNotNull(), F.col("cluster").isNotNull(), "cluster"), "family_total": (F.lit(True), F.col("family").isNotNull(), "family")}
+    out = None
+    for contrast, (background, foreground, group) in kinds.items():
+        sizes = rows.where(background).groupBy("taxon").agg(F.count_distinct("gene").alias("n_background"), F.count_distinct(F.when(foreground, F.col("gene"))).alias("n"))
+        counts = named.where(background).groupBy("taxon", "term").agg(F.count_distinct("gene").alias("k_background"), F.count_distinct(F.when(foreground, F.col("gene"))).alias("k"), F.count_distinct(F.when(foreground, F.col(group))).alias("clusters"))
+        tests = counts.groupBy("taxon").agg(F.count("*").alias("tests"))
+        met = counts.join(sizes, "taxon").join(tests, "taxon").withColumn("p", upper_tail(F.col("k"), F.col("n_background"), F.col("k_background"), F.col("n")))
+        found = met.select("taxon", F.lit(contrast).alias("contrast"), "term", "clusters", "k_background", "k", "p", (F.col("p") <= F.lit(alpha) / F.col("tests")).alias("significant"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """(term, ancestor) of an is-a relation (child, parent), a term not being its own; cycles end by themselves."""
     edges = once(edges.where("child is not null and parent is not null").distinct())

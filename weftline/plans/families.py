@@ -30,7 +30,7 @@ def candidates_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sets = once(frequent(triples_of(spark, sf)).select(joined("items").alias("set_id"), "items", "omes", F.col("n_omes").cast("double").alias("score")))
     spans = once(positional.spans(genes, sets.select("set_id", "items")).drop("pos").distinct())
     notes = positional.genes_between(genes, spans).select("ome", "gene", "set_id").distinct()
-    clans = graph.clans(sets.select("set_id"), similarity.overlapping_sets(notes).select("a", "b"))
+    clans = graph.clans(sets.select("set_id"), similarity.gene_links(notes))
     rows = spans.join(clans, "set_id").join(sets.select("set_id", "score"), "set_id")
     return once(rows.select("clan", "ome", "scaffold", "first", "last", "set_id", "score")), sets.select("set_id", "omes")
 

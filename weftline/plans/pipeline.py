@@ -167,7 +167,7 @@ class Run:
 
         def make() -> DataFrame:
             notes = positional.genes_between(self.genes, self.spans().drop("pos")).select("ome", "gene", "set_id").distinct()
-            return graph.clans(self.sets().select(F.col("hgx_id").alias("set_id")), similarity.overlapping_sets(notes).select("a", "b"))
+            return graph.clans(self.sets().select(F.col("hgx_id").alias("set_id")), similarity.gene_links(notes))
 
         return self.stage("clans", make)
 
@@ -194,7 +194,10 @@ class Run:
         def make() -> DataFrame:
             s = self.settings
             places = self.loci().select(F.col("clan").alias("block"), "locus", "ome", "scaffold", "first", "last")
-            known = formats.tunes(self.spark, s.tune) if s.tune else None
+            known = None
+            if s.tune:
+                own = f"array<{dict(self.genes.dtypes)['ome']}>"
+                known = formats.tunes(self.spark, s.tune, self.genes).withColumns({c: F.col(c).cast(own) for c in ("omes", "false_omes")})
             families, members, placed, _ = loci.rounds(
                 places, self.members().drop("ome"), self.algn.select("q", "s", "pident"), self.genes, known, s.coefficient, s.least_identity, s.least_locus_weight, (s.domain_inflation, s.family_inflation), s.least_genomes
             )

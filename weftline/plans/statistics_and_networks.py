@@ -143,6 +143,38 @@ def annotation_rules(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.rule_labels(terms, rules, "locus")
 
 
+@query(
+    f"""WITH rules(label, clause, term) AS (VALUES {", ".join(f"('{a}', {b}, '{c}')" for a, b, c in RULES)}), met AS (
+        SELECT l_orderkey AS locus, label, count(DISTINCT clause) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN rules ON term = p_type GROUP BY ALL
+    ) SELECT locus, concat_ws('_', 'o' || locus, array_to_string(list_sort(list(label)), '$')) AS name FROM met WHERE n = 2 GROUP BY locus"""
+)
+def annotation_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders that a rule labels, named for it."""
+    loci = enc.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("locus")).distinct().withColumn("name", F.concat(F.lit("o"), F.col("locus").cast("string")))
+    return statistics.labelled(loci, annotation_rules(spark, sf), "locus", extract=True)
+
+
+GENE = "concat_ws('_', l_suppkey, l_orderkey, l_linenumber, l_partkey)"
+SIDES = (("cluster_total", "true", "l_returnflag = 'R'", "cluster"), ("cluster_family", "l_returnflag <> 'N'", "l_returnflag = 'R'", "cluster"), ("family_total", "true", "l_returnflag <> 'N'", "family"))
+
+
+@query(
+    f"""WITH {TAXA}, named AS (
+        SELECT taxon, {GENE} AS gene, l_returnflag, CASE WHEN l_returnflag = 'R' THEN l_orderkey END AS cluster, CASE WHEN l_returnflag <> 'N' THEN p_brand END AS family, unnest([p_type, p_brand]) AS term
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN taxa ON ome = l_suppkey
+    ) """
+    + " UNION ALL ".join(f"SELECT taxon, '{name}' AS contrast, term, count(DISTINCT {group}) FILTER ({fore}) AS clusters, count(DISTINCT gene) AS k_background, count(DISTINCT gene) FILTER ({fore}) AS k FROM named WHERE {back} GROUP BY ALL" for name, back, fore, group in SIDES)
+)
+def go_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of returned lines against those of families and of all: two terms a gene, with distinct clusters; their tests are those of the enrichments."""
+    rows = lines(spark, sf, "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag").withColumnRenamed("l_suppkey", "ome").join(taxa(spark, sf), "ome")
+    rows = once(rows.withColumn("gene", F.concat_ws("_", "ome", "l_orderkey", "l_linenumber", "l_partkey")))
+    flag = F.col("l_returnflag")
+    genes = rows.select("taxon", "gene", F.when(flag != "N", F.col("p_brand")).alias("family"), F.when(flag == "R", F.col("l_orderkey")).alias("cluster"))
+    found = statistics.contrasts(genes, rows.select("gene", F.explode(F.array("p_type", "p_brand")).alias("term")))
+    return found.select("taxon", "contrast", "term", "clusters", "k_background", "k")
+
+
 ISA = """isa AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION SELECT 'c' || c_custkey, 'm' || c_mktsegment FROM customer
     UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'root' FROM region UNION SELECT 'm' || c_mktsegment, 'root' FROM customer)"""
 

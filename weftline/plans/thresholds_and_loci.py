@@ -139,7 +139,7 @@ def hgx_overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 )
 def clans(spark: SparkSession, sf: str) -> DataFrame:
     sets, notes = noted(spark, sf)
-    return graph.clans(sets.select("set_id"), similarity.overlapping_sets(notes).select("a", "b"))
+    return graph.clans(sets.select("set_id"), similarity.gene_links(notes))
 
 
 LOCUS_HG = f"""{enc.GENES}, locus_hg AS (SELECT DISTINCT o_custkey AS block, o_orderkey AS locus, hg FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN hgs ON p_partkey = l_partkey),

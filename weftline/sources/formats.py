@@ -197,11 +197,17 @@ def partition_file(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("lineage"), F.explode(names).alias("ome")).where("ome <> ''")
 
 
-def tunes(spark: SparkSession, path: str) -> DataFrame:
-    """name, hgs, omes, false_omes of known clusters."""
+def tunes(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
+    """name, hgs, omes, false_omes of known clusters. With ``genes`` (gene, hg), genes' names stand for their groups."""
     rows = spark.read.schema("name string, hgs string, omes string, false_omes string").option("sep", "\t").option("comment", "#").csv(path)
     clean = lambda c: F.array_sort(F.array_distinct(items(F.coalesce(c, F.lit("")))))
-    return rows.select("name", clean("hgs").cast("array<int>").alias("hgs"), clean("omes").alias("omes"), clean("false_omes").alias("false_omes"))
+    rows = rows.select("name", clean("hgs").alias("hgs"), clean("omes").alias("omes"), clean("false_omes").alias("false_omes"))
+    if genes is not None:
+        named = rows.select("name", F.explode("hgs").alias("gene")).join(genes.where("hg is not null").select("gene", "hg").distinct(), "gene")
+        groups = named.groupBy("name").agg(F.collect_set(F.col("hg").cast("string")).alias("_found"))
+        numbers = F.filter("hgs", lambda x: x.rlike(r"^\d+$"))
+        rows = rows.join(groups, "name", "left").withColumn("hgs", F.array_union(numbers, F.coalesce("_found", F.array().cast("array<string>")))).drop("_found")
+    return rows.withColumn("hgs", F.array_sort(F.col("hgs").cast("array<int>"))).select("name", "hgs", "omes", "false_omes")
 
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
