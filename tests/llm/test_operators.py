@@ -586,3 +586,22 @@ def test_pipeline(spark, corpus):
     assert 146 in kept and 146 not in seen["benchmark decontamination"] and set(range(120)) <= set(seen["benchmark decontamination"])
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} == set(seen["benchmark decontamination"])
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, corpus, tmp_path):
+    """Null ids and texts, empty texts, repeated rows, empty tables, and columns named like those that the operators use."""
+    import corpus_pipeline
+
+    folder, texts = corpus
+    odd = [(200, None), (201, ""), (202, " \n "), (None, texts[1]), (None, None), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in [*enumerate(texts[:60]), *odd]], DOCS)
+    clash = ("id", "mark", "gone", "stay", "words", "new", "ident", "_ident", "key", "digest", "shingles", "pattern", "item_id", "slots", "kind", "h", "raw", "score", "good", "root")
+    docs = docs.withColumns({c: F.lit(f"clash {c}") for c in clash}).select(*DOCS.replace(" long", "").replace(" string", "").split(", "), *clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"clash {c}" for r in rows for c in clash), name
+        assert {r.doc_id for r in rows} <= {*range(60), 200, 201, 202, None} and sum(r.doc_id is None for r in rows) >= (name != "quality classifier"), name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
