@@ -12,6 +12,7 @@ an empty table gives an empty result; other columns pass through in ``keep_good`
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -193,11 +194,13 @@ def fit(df: DataFrame, ident: str = "doc_id", text: str = "text", fit_rows: int
     picked = df.where(F.pmod(F.xxhash64(ident, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def sampled(body: str, stats: np.ndarray) -> tuple:
-        return pattern(stats), features(body.encode(), stats).astype(np.float32).tobytes()
+        return pattern(stats), zlib.compress(features(body.encode(), stats).astype(np.float32).tobytes(), 1)  # mostly zeros
 
     sample = each(picked, ident, text, "pattern bigint, x binary", sampled).limit(fit_rows).drop(ident).toArrow()
     width = (1 << BITS) + len(LABELLERS) * BINS + 1
-    rows = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(-1, width)
+    rows = np.empty((sample.num_rows, width), np.float32)
+    for i, x in enumerate(sample.column("x")):
+        rows[i] = np.frombuffer(zlib.decompress(x.as_py()), np.float32)
     target = np.array([posts[p] for p in sample.column("pattern").to_pylist()])
     return Scorer(posts, chance, prior, logistic(rows, target))
 
