@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once
+from weftline.functions.frames import known, once
 
 FAMILY = ("hlg", "hg")
 
@@ -17,13 +17,24 @@ def hits_until_complete(algn: DataFrame, members: DataFrame, score: str = "ppos"
     members: (hlg, hg, gene, ome). algn: (hg, q, s, q_ome, s_ome, pident, ppos). Subjects of a family genome that are no
     members are left out. seen: family genomes hit up to this row; n: genomes of the family.
     """
-    sizes = members.groupBy(*FAMILY).agg(F.count_distinct("ome").alias("n"))
-    rows = algn.join(members.select("hlg", "hg", F.col("gene").alias("q")), ["hg", "q"]).join(sizes.where("n > 1"), [*FAMILY])
-    rows = rows.join(members.select("hlg", "hg", F.col("gene").alias("s"), F.lit(True).alias("member")), [*FAMILY, "s"], "left")
-    family_omes = members.select("hlg", "hg", F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct()
-    rows = rows.join(family_omes, [*FAMILY, "s_ome"], "left")
+    members = once(members.select(*FAMILY, "gene", "ome"))
+    sizes = members.groupBy(*FAMILY).agg(F.count_distinct("ome").alias("n")).where("n > 1")
+    queries = known(members.select(*FAMILY, F.col("gene").alias("q")).join(sizes, [*FAMILY]))
+    subjects = known(members.select(*FAMILY, F.col("gene").alias("s"), F.lit(True).alias("member")))
+    family_omes = known(members.select(*FAMILY, F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct())
     kind = F.when(F.col("member") & (F.col("s_ome") != F.col("q_ome")), "in").when(F.col("inside").isNull(), "out")
-    rows = rows.withColumn("kind", kind).where("kind is not null").drop("member", "inside")
+
+    def met(asked: DataFrame) -> DataFrame:
+        found = algn.join(asked, ["hg", "q"])
+        if "bar" in asked.columns:
+            found = found.where(F.col("bar").isNull() | (F.col(score) >= F.col("bar"))).drop("bar")
+        found = found.join(subjects, [*FAMILY, "s"], "left").join(family_omes, [*FAMILY, "s_ome"], "left")
+        return found.withColumn("kind", kind).where("kind is not null").drop("member", "inside")
+
+    # A scan ends at the worst of its genomes' best scores; what lies below needn't be sorted. Alignments are read twice for this.
+    best = met(queries).where("kind = 'in'").groupBy(*FAMILY, "q", "n", "s_ome").agg(F.max(score).alias("best"))
+    ends = best.groupBy(*FAMILY, "q", "n").agg(F.min("best").alias("bar"), F.count("best").alias("k")).where("k >= n - 1").select(*FAMILY, "q", "bar")
+    rows = met(known(queries.join(ends, [*FAMILY, "q"], "left"))).repartition(*FAMILY, "q")
     order = Window.partitionBy(*FAMILY, "q").orderBy(F.desc(score), "s")
     first = F.row_number().over(Window.partitionBy(*FAMILY, "q", "kind", "s_ome").orderBy(F.desc(score), "s")) == 1
     rows = rows.withColumn("new", ((F.col("kind") == "in") & first).cast("int"))
@@ -65,7 +76,7 @@ def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_
     missing: (hlg, ome). Only scans that complete are evidence, and a family needs it for ``least_evidence`` of its groups.
     """
     hits = hits_until_complete(algn, members, "pident")
-    done = hits.withColumn("whole", F.max("seen").over(Window.partitionBy(*FAMILY, "q")) >= F.col("n") - 1).where("whole")
+    done = once(hits.withColumn("whole", F.max("seen").over(Window.partitionBy(*FAMILY, "q")) >= F.col("n") - 1).where("whole"))
     evidence = done.groupBy("hlg").agg(F.count_distinct("hg").alias("judged"))
     groups = members.groupBy("hlg").agg(F.count_distinct("hg").alias("groups"))
     fit = groups.join(evidence, "hlg").where(F.col("judged") >= F.lit(least_evidence) * F.col("groups")).select("hlg")
@@ -78,9 +89,10 @@ def failing(algn: DataFrame, members: DataFrame) -> DataFrame:
     family, and of all members of groups with one genome."""
     omes = members.groupBy(*FAMILY).agg(F.count_distinct("ome").alias("n"))
     lone = members.join(omes.where("n = 1"), [*FAMILY], "left_semi").select(*FAMILY, "gene")
-    rows = algn.where("q <> s").select("hg", "q", "s", "s_ome").join(members.select(*FAMILY, F.col("gene").alias("q"), F.col("ome").alias("q_ome")), ["hg", "q"])
-    rows = rows.join(members.select(*FAMILY, F.col("gene").alias("s"), F.lit(True).alias("member")), [*FAMILY, "s"], "left")
-    rows = rows.join(members.select(*FAMILY, F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct(), [*FAMILY, "s_ome"], "left")
+    members = once(members.select(*FAMILY, "gene", "ome"))
+    rows = algn.where("q <> s").select("hg", "q", "s", "s_ome").join(known(members.select(*FAMILY, F.col("gene").alias("q"), F.col("ome").alias("q_ome"))), ["hg", "q"])
+    rows = rows.join(known(members.select(*FAMILY, F.col("gene").alias("s"), F.lit(True).alias("member"))), [*FAMILY, "s"], "left")
+    rows = rows.join(known(members.select(*FAMILY, F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct()), [*FAMILY, "s_ome"], "left")
     counts = (F.col("member").isNotNull() & (F.col("s_ome") != F.col("q_ome"))) | F.col("inside").isNull()
     bare = rows.groupBy(*FAMILY, "q").agg(F.max(counts).alias("counts")).where("not counts").select(*FAMILY, F.col("q").alias("gene"))
     return lone.unionAll(bare).distinct()
