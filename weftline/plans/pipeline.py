@@ -146,8 +146,9 @@ class Run:
         pass without support, larger ones do."""
 
         def make() -> DataFrame:
-            shared = itemsets.shared_sets(positional.seeded_windows(self.genes, self.pair_scores(), self.settings.window))
-            found = itemsets.roll_up(shared).select("items", "omes")
+            seeded = positional.seeded_windows(self.genes, self.pair_scores(), self.settings.window)
+            # Counts take 2 ** (2 w - 1) sets a window, so very wide ones are met in pairs.
+            found = (itemsets.rolled_shared(seeded) if self.settings.window <= 4 else itemsets.roll_up(itemsets.shared_sets(seeded))).select("items", "omes")
             scored = once(found.join(self.distances(found), "omes"))
             sizes = list(range(3, 2 * self.settings.window + 2))
             bars, out = once(self.bars(sizes)), None
