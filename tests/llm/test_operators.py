@@ -282,6 +282,25 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints(spark):
+    from fractions import Fraction
+
+    base = prose(400, 77).split(" ")
+    texts = [" ".join(base)] + [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (0, 150, 399)] + [prose(400, 80 + i) for i in range(4)]
+    known = frame(spark, texts)
+    prints = simhash.prefixes(known, Fraction(4, 5), 5, "doc_id", "text").collect()
+    for x in prints:
+        hashes = simhash.shingle_hashes(texts[x.id].encode(), 5, True)
+        assert x.fp % 2**64 == sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in hashes) * 2 > len(hashes))
+    close = {x.id for x in prints if x.id < 4 and ((x.fp ^ prints[0].fp) % 2**64).bit_count() <= 3}
+    assert len(close) > 1
+    # Without a single key of the exact search, fingerprints alone find them.
+    nodes = simhash.prefixes(known, Fraction(4, 5), 5, "doc_id", "text").withColumn("keys", F.slice("keys", 1, 0))
+    sets = lambda ids: simhash.shingle_sets(known.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), 5, "doc_id", "text")
+    found = {(x.node, x.root) for x in simhash.jaccard_components(nodes, sets, Fraction(4, 5)).collect()}
+    assert {(i, 0) for i in close} <= found and all(i < 4 for i, _ in found)
+
+
 def copies(seed, cut_off):
     """Texts, and copies with foreign text appended or with the tail cut off, at similarities of 0.7 to 0.95."""
     r, texts = random.Random(seed), []

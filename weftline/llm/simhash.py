@@ -7,7 +7,8 @@ documents, so copies cost one row. Within a bucket everything is first held agai
 only what that leaves in different components is compared pairwise, so a large group of near copies doesn't
 give all its pairs.
 
-The pipeline's stage (``distinct_documents``) is held to a Jaccard similarity, which it computes: see there.
+The pipeline's stage (``distinct_documents``) links by these fingerprints first. It is held to a Jaccard similarity, so it counts this for the
+links, and looks exactly for what fingerprints leave apart: see there.
 
 Defined cases: null text counts as empty; without words a fingerprint is zero and links like any other; repeated
 rows share a component; a row without doc_id takes its group's component (null if no member has an id); an empty
@@ -134,18 +135,23 @@ def near_components(nodes: DataFrame, width: int, most: int) -> DataFrame:
     return star_components(first.select("a", "b").unionAll(second.select("a", "b")))
 
 
-def simhash_components(df: DataFrame, shingle: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked at 3 or fewer differing bits.
+def fingerprint_components(found: DataFrame, ident: str) -> DataFrame:
+    """fp, component_id: each fingerprint of (ident, fp) once, with the smallest ``ident`` that links of 3 or fewer differing bits reach.
 
     Two segments of 32 bits: of 3 differing bits, one segment has at most one.
     """
-    found = cut(with_fingerprints(df, {"words": (shingle, False, 1)}, ident, text).select(ident, F.col("words")[0].alias("fp")))
     distinct = cut(found.groupBy("fp").agg(F.min(ident).alias("least")))
     nodes = distinct.select(F.col("fp").alias("id"), F.array("fp").alias("w")).select("id", segments("w", 1, 32, 2).alias("keys"), F.col("id").alias("mark"))
     linked = near_components(nodes, 32, 3)  # the mark is the whole fingerprint: its distance needs no other check
     roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = cut(roots)
-    ids = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+
+
+def simhash_components(df: DataFrame, shingle: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """ident, fingerprint (16 hex digits), component_id: 64-bit fingerprints linked at 3 or fewer differing bits."""
+    found = cut(with_fingerprints(df, {"words": (shingle, False, 1)}, ident, text).select(ident, F.col("words")[0].alias("fp")))
+    ids = fingerprint_components(found, ident)
     # Both sides are written tables: AQE splits a fingerprint that holds a large part of the documents.
     named = found.join(cut(ids), "fp")
     return named.select(ident, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -180,7 +186,7 @@ def shingle_sets(df: DataFrame, shingle: int, ident: str, text: str) -> DataFram
 
 
 def prefixes(df: DataFrame, similarity: Fraction, shingle: int, ident: str, text: str) -> DataFrame:
-    """id, digest of the shingle set, its size n, mark, and keys: the first n - ceil(similarity * n) + 1 shingles in one
+    """id, SimHash fingerprint fp and digest of the shingle set, its size n, mark, and keys: the first n - ceil(similarity * n) + 1 shingles in one
     order of all shingles, common ones last.
 
     mark: for each value of the hashes' last bits, whether an odd number of shingles has it. Every shingle that only one
@@ -200,27 +206,30 @@ def prefixes(df: DataFrame, similarity: Fraction, shingle: int, ident: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digests, sizes, marks, tallies, keys = [], [], [], [], []
+            digests, fps, sizes, marks, tallies, keys = [], [], [], [], [], []
             for x in batch.column(1):
                 found = np.sort(shingle_hashes((x.as_py() or "").encode(), shingle, True).view(np.int64))
                 digests.append(xxhash.xxh128_digest(found.tobytes()))
+                fps.append(int(majority(found.view(np.uint64)).view(np.int64)[0]))
                 sizes.append(len(found))
                 counts = np.bincount(found & (64 * MARK - 1), minlength=64 * MARK)
                 marks.append(np.packbits(counts & 1).view(np.int64))
                 tallies.append(np.minimum(counts, 32767).astype(np.int16) if len(found) >= LONG else None)
                 keys.append(first(found))
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(tallies, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "digest", "n", "mark", "tally", "keys"])
+            columns = [pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(tallies, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "digest", "fp", "n", "mark", "tally", "keys"])
 
-    return df.select(F.col(ident).alias("id"), text).mapInArrow(run, f"id {dict(df.dtypes)[ident]}, digest binary, n int, mark array<bigint>, tally array<smallint>, keys array<bigint>")
+    return df.select(F.col(ident).alias("id"), text).mapInArrow(run, f"id {dict(df.dtypes)[ident]}, digest binary, fp bigint, n int, mark array<bigint>, tally array<smallint>, keys array<bigint>")
 
 
 def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: Fraction) -> DataFrame:
     """(node, root) of the nodes that link to others: those whose sets have at least the Jaccard similarity.
 
-    nodes: id, n, mark, tally, keys (see ``prefixes``); sets: the table (id, shingles) of the ids in a table. Of two such sets, the
-    first common member in the order stands among the keys of both, so equal keys find every pair. From its places it
-    also follows how many members can be common at most; the rest is counted.
+    nodes: id, fp, n, mark, tally, keys (see ``prefixes``); sets: the table (id, shingles) of the ids in a table. Each node is held against the
+    smallest of those that its fingerprint reaches; where the count confirms it, they are linked. The exact search after it
+    takes only pairs that this leaves apart: of two such sets, the first common member in the order stands among the keys
+    of both, so equal keys find every pair. From its places it also follows how many members can be common at most; the
+    rest is counted.
     """
     num, den = similarity.as_integer_ratio()
     entries = nodes.select("id", "n", F.posexplode("keys").alias("at", "key")).select("key", "id", (F.col("n") - F.col("at")).alias("ahead"), "n")
@@ -247,8 +256,13 @@ def jaccard_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
         alike = F.size(F.array_intersect("sa", "sb")) * (num + den) >= num * (F.size("sa") + F.size("sb"))
         return cut(both.where(alike).select("a", "b"))
 
-    met = shared.join(heads.drop("members"), "key").where((F.col("id") > F.col("head")) & may)
-    first = links(marked(met.select(F.col("id").alias("a"), F.col("head").alias("b"))))
+    prints = cut(nodes.select("id", "fp"))
+    reached = prints.join(cut(fingerprint_components(prints, "id")), "fp").where("id > component_id")
+    alike = links(marked(reached.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
+    settled = bounded(cut(star_components(alike)), 32)
+    met = shared.join(heads.drop("members"), "key").where((F.col("id") > F.col("head")) & may).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    met = met.join(settled.toDF("a", "part"), "a", "left").join(settled.toDF("b", "other"), "b", "left").where("part is null or other is null or part <> other")
+    first = alike.unionAll(links(marked(met)))
     # Members of a bucket that the head left apart. Few buckets have such; only they take marks along.
     rest = cut(shared.join(bounded(cut(heads.where("members > 2").select("key", "head")), 24), "key").where("id > head").drop("head"))
     parts = rest.join(star_components(first).withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
@@ -264,9 +278,9 @@ def distinct_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """``df`` without the documents that are near copies of one with a smaller id; all columns stay.
 
     Near copies have sets of ``shingle``-word runs of that Jaccard similarity or more, or are joined by such pairs.
-    Pairs are found and counted exactly. A fingerprint's distance estimates this similarity too loosely: pairs at 0.8
-    differ in 78 of 512 bits, give or take 8, and no number of its segments covers that. Documents with equal sets are
-    one node. Rows without an id stay.
+    SimHash fingerprints of the sets are linked at 3 or fewer of 64 bits, as in ``simhash_components``, and their links counted. Pairs at 0.8
+    differ in about 10 bits, which no number of segments covers, so an exact search follows for the pairs that fingerprints
+    leave apart. Documents with equal sets are one node. Rows without an id stay.
     """
     least = Fraction(similarity).limit_denominator(10_000)
     known = df.where(F.col(ident).isNotNull())
