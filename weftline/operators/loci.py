@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once
+from weftline.functions.frames import known, once
 from weftline.operators.filters import satisfied
 from weftline.operators.graph import markov_clusters
 from weftline.operators.positional import merge_neighbours
@@ -151,22 +151,31 @@ def extended(loci: DataFrame, genes: DataFrame, families: DataFrame) -> DataFram
 
     families: (family, hgs), the groups of a family. In each step both ends move outwards by a gene whose group the family has
     and the locus lacked when the step began, and which no locus holds; an end stops at its first gene that isn't such. A
-    step takes a missing group at least, so only as many genes as groups are missing are read on either side.
+    step takes a missing group at least. Loci meet whole stretches of free genes of their family's groups, which windows find, not genes.
     """
     loci = once(loci.select("family", "ome", "scaffold", "first", "last").distinct())
     key = ["family", "ome", "scaffold", "first", "last"]
-    inside = loci.withColumn("pos", F.explode(F.sequence("first", "last"))).join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"])
-    held = inside.groupBy(*key).agg(F.collect_set("hg").alias("held"))
-    rows = once(loci.join(held, key, "left").join(families, "family").select(*key, F.array_except(F.array_distinct("hgs"), F.coalesce("held", F.array().cast(dict(families.dtypes)["hgs"]))).alias("missing")))
-    used = loci.select("ome", "scaffold", F.explode(F.sequence("first", "last")).alias("pos")).distinct().withColumn("used", F.lit(True))
-    away = F.explode(F.sequence(F.lit(1), F.size("missing"))).alias("away")
-    sides = rows.where("size(missing) > 0").select(*key, "missing", away).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
-    sides = sides.withColumn("pos", F.when(F.col("side") < 0, F.col("first") - F.col("away")).otherwise(F.col("last") + F.col("away")))
-    met = sides.join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"]).join(used, ["ome", "scaffold", "pos"], "left")
-    # Of each side, the unbroken row of free genes of missing groups.
-    fit = met.where("used is null and array_contains(missing, hg)").withColumn("n", F.row_number().over(Window.partitionBy(*key, "side").orderBy("away"))).where("n = away")
-    tracks = fit.groupBy(*key).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("away", "hg")))), lambda x: x["hg"]).alias(name) for side, name in ((-1, "down"), (1, "up"))])
+    spot = ["ome", "scaffold", "pos"]
     none = F.array().cast(dict(families.dtypes)["hgs"])
+    marked = genes.select(*spot, "hg").join(loci.withColumn("pos", F.explode(F.sequence("first", "last"))), spot, "left")
+    held = marked.where("first is not null").groupBy(*key).agg(F.collect_set("hg").alias("held"))
+    rows = loci.join(held, key, "left").join(families, "family").select(*key, F.array_except(F.array_distinct("hgs"), F.coalesce("held", F.array().cast(dict(families.dtypes)["hgs"]))).alias("missing"))
+    # Unbroken rows of free genes of a family's groups, as far as they lie beside a locus.
+    at = Window.partitionBy("ome", "scaffold").orderBy("pos")
+    taken = F.col("first").isNotNull()
+    beside = F.coalesce(F.lag(taken).over(at), F.lit(False)) | F.coalesce(F.lead(taken).over(at), F.lit(False))
+    own = known(families.select(F.col("family").alias("of"), F.explode("hgs").alias("hg")).where("hg is not null").distinct())
+    free = marked.withColumn("beside", beside).where("first is null").select(*spot, "hg", "beside").join(own, "hg")
+    free = free.withColumn("row", F.col("pos") - F.row_number().over(Window.partitionBy("ome", "scaffold", "of").orderBy("pos")))
+    stretch = free.groupBy("ome", "scaffold", "of", "row").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.bool_or("beside").alias("beside"), F.array_sort(F.collect_list(F.struct("pos", "hg"))).alias("g"))
+    stretch = stretch.where("beside").select("ome", "scaffold", F.col("of").alias("family"), "low", "high", F.col("g.hg").alias("hgs"))
+    below = stretch.select("ome", "scaffold", "family", (F.col("high") + 1).alias("first"), F.reverse("hgs").alias("below"))
+    above = stretch.select("ome", "scaffold", "family", (F.col("low") - 1).alias("last"), F.col("hgs").alias("above"))
+
+    def fit(side):
+        """The groups up to the first that isn't missing."""
+        stop = F.array_position(F.transform(side, lambda h: F.array_contains("missing", h)), False)
+        return F.coalesce(F.when(stop > 0, F.slice(side, F.lit(1), (stop - 1).cast("int"))).otherwise(F.col(side)), none)
 
     def step(state, i):
         """One gene further at each end that is still open."""
@@ -176,9 +185,10 @@ def extended(loci: DataFrame, genes: DataFrame, families: DataFrame) -> DataFram
 
     start = F.struct(*[x for side in ("down", "up") for x in (F.lit(0).alias(side), F.lit(True).alias(f"{side}_open"))], none.alias("taken"))
     steps = F.sequence(F.lit(1), F.greatest(F.size("down"), F.size("up"), F.lit(1)))
-    grown = tracks.select(*key, F.aggregate(steps, start, step).alias("g"))
+    tracks = rows.join(below, ["family", "ome", "scaffold", "first"], "left").join(above, ["family", "ome", "scaffold", "last"], "left").select(*key, fit("below").alias("down"), fit("above").alias("up"))
+    grown = tracks.withColumn("g", F.when((F.size("down") > 0) | (F.size("up") > 0), F.aggregate(steps, start, step)))
     moved = lambda side: F.coalesce(F.col(f"g.{side}"), F.lit(0))
-    return rows.join(grown, key, "left").select(*key, (F.col("first") - moved("down")).alias("new_first"), (F.col("last") + moved("up")).alias("new_last"))
+    return grown.select(*key, (F.col("first") - moved("down")).alias("new_first"), (F.col("last") + moved("up")).alias("new_last"))
 
 
 def edge_claims(grown: DataFrame, genes: DataFrame, families: DataFrame, least: int = 2) -> DataFrame:
@@ -198,9 +208,10 @@ def edge_claims(grown: DataFrame, genes: DataFrame, families: DataFrame, least:
     ends = ends.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.when(F.col("side") == 0, F.col("pos") < least).otherwise(F.col("pos") > F.col("end") - least))
     ends = ends.groupBy("ome", "scaffold", "end", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hg", F.lit(-1)).alias("hg")))), lambda x: x["hg"]).alias("hgs"))
     ends = ends.select("ome", "scaffold", "side", "hgs", F.when(F.col("side") == 0, 0).otherwise(F.col("end") - least + 1).cast("int").alias("first"), F.when(F.col("side") == 0, least - 1).otherwise(F.col("end")).cast("int").alias("last"), (F.col("end") >= 2 * least - 1).alias("apart"))
-    known = lambda first, last: once(grown.select("ome", "scaffold", F.explode(F.sequence(first, last)).alias("pos")).distinct())
-    hit = lambda df, used: df.withColumn("pos", F.explode(F.sequence("first", "last"))).join(used, ["ome", "scaffold", "pos"], "left_semi").select("ome", "scaffold", "side").distinct()
-    free = once(ends.join(hit(ends, known("first", "last")), ["ome", "scaffold", "side"], "left_anti"))
+    # A scaffold has two ends, so these meet its loci as stretches, not place by place.
+    used = lambda first, last: grown.select("ome", "scaffold", F.col(first).alias("low"), F.col(last).alias("high"))
+    hit = lambda df, used: df.select("ome", "scaffold", "side", "first", "last").join(used, ["ome", "scaffold"]).where("low <= last and high >= first").select("ome", "scaffold", "side").distinct()
+    free = once(ends.join(hit(ends, used("first", "last")), ["ome", "scaffold", "side"], "left_anti"))
     lengths = genes.groupBy("ome", "scaffold").agg(F.max("pos").alias("end"))
     cut_off = grown.join(lengths, ["ome", "scaffold"]).where((F.col("first") == 0) | (F.col("last") == F.col("end"))).drop("end")
     inside = cut_off.withColumn("pos", F.explode(F.sequence("new_first", "new_last"))).join(genes.select("ome", "scaffold", "pos", "hg"), ["ome", "scaffold", "pos"])
@@ -214,7 +225,7 @@ def edge_claims(grown: DataFrame, genes: DataFrame, families: DataFrame, least:
     same = F.lag("hgs").over(Window.partitionBy(*key).orderBy("side"))
     near = near.withColumn("same", same).where("same is null or same <> hgs")
     claims = near.select(F.struct(*key).alias("order"), "family", "ome", F.col("other").alias("scaffold"), "side", F.col("a").alias("first"), F.col("b").alias("last"), "apart")
-    claims = once(claims.join(hit(claims, known("new_first", "new_last")), ["ome", "scaffold", "side"], "left_anti"))
+    claims = once(claims.join(hit(claims, used("new_first", "new_last")), ["ome", "scaffold", "side"], "left_anti"))
     by_end = claims.withColumn("r", F.row_number().over(Window.partitionBy("ome", "scaffold", "side").orderBy("order"))).where("r = 1")
     won = by_end.withColumn("r", F.row_number().over(at.orderBy("order", "side"))).where("r = 1 or apart")
     return won.select("family", "ome", "scaffold", "first", "last")
