@@ -1,12 +1,29 @@
 """Steps whose tasks and shuffles must not grow faster than the input."""
 
-from weftline.operators import loci
+import itertools
+import random
+
+from weftline.operators import loci, similarity
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_loci_share_groups_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 40)
+    rng = random.Random(1)
+    rows = [(b, 10 * b + i, rng.choice([None, *range(8)])) for b in range(6) for i in range(10) for _ in range(6)]
+    df = spark.createDataFrame(rows, "block int, locus int, hg int")
+    found = similarity.shared_groups(df, 2)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    held = {}
+    for b, locus, hg in rows:
+        held.setdefault((b, locus), set()).update({hg} - {None})
+    want = sorted((b, i, j, len(x & y), len(x), len(y)) for ((b, i), x), ((c, j), y) in itertools.combinations(sorted(held.items()), 2) if b == c and len(x & y) >= 2)
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_loci_are_extended_without_unrolling_missing_groups(spark):
     genes = spark.createDataFrame([(1, 1, p, h) for p, h in enumerate([7, 5, 4, 1, 2, 3, 5, 6, None, 8])], "ome int, scaffold int, pos int, hg int")
     families = spark.createDataFrame([(0, [*range(1, 9)])], "family int, hgs array<int>")
