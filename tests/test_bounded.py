@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from weftline.operators import loci, similarity
+from weftline.operators import loci, similarity, statistics
 
 
 def plan(df):
@@ -24,6 +24,15 @@ def test_loci_share_groups_in_tasks_of_bounded_rows(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want
 
 
+def test_rules_meet_loci_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 10)
+    terms = spark.createDataFrame([(i, t) for i in range(20) for t in "abcd"[: i % 5]] + [(3, None), (4, "a")], "locus int, term string")
+    rules = spark.createDataFrame([("x", 1, "a"), ("x", 2, "c"), ("x", 2, "d"), ("y", 1, "b"), ("z", 1, None)], "label string, clause int, term string")
+    found = statistics.rule_labels(terms, rules, "locus")
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert {r.locus: r.labels for r in found.collect()} == {i: "x$y" if i % 5 > 2 else "y" for i in range(20) if i % 5 > 1}
+
+
 def test_loci_are_extended_without_unrolling_missing_groups(spark):
     genes = spark.createDataFrame([(1, 1, p, h) for p, h in enumerate([7, 5, 4, 1, 2, 3, 5, 6, None, 8])], "ome int, scaffold int, pos int, hg int")
     families = spark.createDataFrame([(0, [*range(1, 9)])], "family int, hgs array<int>")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once
+from weftline.functions.frames import dealt, known, once
 from weftline.functions.scalars import lower_median_index
 
 
@@ -108,15 +108,19 @@ def concatenated(hits: DataFrame, locus: str, gene: str, term: str) -> DataFrame
     return by_gene.groupBy(locus).agg(F.array_sort(F.collect_list(F.struct(gene, "t"))).alias("g")).select(locus, F.array_join(F.col("g.t"), ";").alias("terms"))
 
 
-def rule_labels(terms: DataFrame, rules: DataFrame, locus: str) -> DataFrame:
+def rule_labels(terms: DataFrame, rules: DataFrame, locus: str, rows: int | None = None) -> DataFrame:
     """locus, labels ($ between them): rules all of whose clauses have a term in the locus.
 
-    terms: (locus, term); rules: (label, clause, term), terms of a clause being alternatives.
+    terms: (locus, term), of about ``rows`` rows (counted, if not given); rules: (label, clause, term), terms of a clause being
+    alternatives. All groups of a locus's rows are made in the task of bounded rows that holds it.
     """
-    clauses = rules.groupBy("label").agg(F.count_distinct("clause").alias("needed"))
-    met = terms.select(locus, "term").distinct().join(rules, "term").groupBy(locus, "label").agg(F.count_distinct("clause").alias("n"))
-    whole = met.join(clauses, "label").where("n = needed")
-    return whole.groupBy(locus).agg(F.array_join(F.array_sort(F.collect_set("label")), "$").alias("labels"))
+    terms = terms.select(locus, "term").where("term is not null")
+    own = dealt(terms, terms.count() if rows is None else rows, locus).distinct()
+    clauses = known(rules.select("label", "clause", "term").distinct())
+    needed = known(rules.groupBy("label").agg(F.count_distinct("clause").alias("needed")))
+    met = own.join(clauses, "term").select(locus, "label", "clause").distinct().groupBy(locus, "label").agg(F.count("clause").alias("n"))
+    met = met.join(needed, "label").where("n = needed")
+    return met.groupBy(locus).agg(F.array_join(F.array_sort(F.collect_set("label")), "$").alias("labels"))
 
 
 def renamed_terms(terms: DataFrame, rules: DataFrame) -> DataFrame:
