@@ -33,6 +33,21 @@ def test_rules_meet_loci_in_tasks_of_bounded_rows(spark, monkeypatch):
     assert {r.locus: r.labels for r in found.collect()} == {i: "x$y" if i % 5 > 2 else "y" for i in range(20) if i % 5 > 1}
 
 
+def test_contrasts_of_rows_that_hold_their_terms(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("TU"), f"g{rng.randint(0, 40)}", rng.choice(["f", "h", None]), rng.choice([1, 2, 3, None]), rng.choice(["p", "q", None])) for _ in range(120)]
+    named = spark.createDataFrame(rows, "taxon string, gene string, family string, cluster int, term string")
+    got = {(r.taxon, r.contrast, r.term): (r.clusters, r.k_background, r.k) for r in statistics.term_contrasts(named.drop("term"), named).collect()}
+    want = {}
+    for name, back, side in (("cluster_total", lambda r: True, 3), ("cluster_family", lambda r: r[2] is not None, 3), ("family_total", lambda r: True, 2)):
+        for taxon, term in itertools.product("TU", ["p", "q", None]):
+            own = [r for r in rows if (r[0], r[4]) == (taxon, term) and back(r)]
+            fore = [r for r in own if r[side] is not None]
+            if own:
+                want[taxon, name, term] = (len({r[side] for r in fore}), len({r[1] for r in own}), len({r[1] for r in fore}))
+    assert got == want
+
+
 def test_loci_are_extended_without_unrolling_missing_groups(spark):
     genes = spark.createDataFrame([(1, 1, p, h) for p, h in enumerate([7, 5, 4, 1, 2, 3, 5, 6, None, 8])], "ome int, scaffold int, pos int, hg int")
     families = spark.createDataFrame([(0, [*range(1, 9)])], "family int, hgs array<int>")

@@ -142,17 +142,31 @@ def contrasts(rows: DataFrame, terms: DataFrame, alpha: float = 0.05) -> DataFra
     rows: (taxon, gene, family, cluster), a row a gene, null for none; terms: (gene, term). clusters: distinct clusters with the term,
     beside the number of genes, on which the test is made.
     """
-    named = once(rows.join(terms.distinct(), "gene"))
-    kinds = {"cluster_total": (F.lit(True), F.col("cluster").isNotNull(), "cluster"), "cluster_family": (F.col("family").isNotNull(), F.col("cluster").isNotNull(), "cluster"), "family_total": (F.lit(True), F.col("family").isNotNull(), "family")}
-    out = None
-    for contrast, (background, foreground, group) in kinds.items():
-        sizes = rows.where(background).groupBy("taxon").agg(F.count_distinct("gene").alias("n_background"), F.count_distinct(F.when(foreground, F.col("gene"))).alias("n"))
-        counts = named.where(background).groupBy("taxon", "term").agg(F.count_distinct("gene").alias("k_background"), F.count_distinct(F.when(foreground, F.col("gene"))).alias("k"), F.count_distinct(F.when(foreground, F.col(group))).alias("clusters"))
-        tests = counts.groupBy("taxon").agg(F.count("*").alias("tests"))
-        met = counts.join(sizes, "taxon").join(tests, "taxon").withColumn("p", upper_tail(F.col("k"), F.col("n_background"), F.col("k_background"), F.col("n")))
-        found = met.select("taxon", F.lit(contrast).alias("contrast"), "term", "clusters", "k_background", "k", "p", (F.col("p") <= F.lit(alpha) / F.col("tests")).alias("significant"))
-        out = found if out is None else out.unionAll(found)
-    return out
+    return term_contrasts(rows, rows.join(terms.distinct(), "gene"), alpha)
+
+
+def term_contrasts(rows: DataFrame, named: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``contrasts`` of rows whose terms are known: named has ``rows`` with a term, a row for each.
+
+    A gene's rows come together once, with what each contrast asks of it, so all contrasts count genes in one pass, and clusters and families in
+    another.
+    """
+    family, cluster = F.col("family").isNotNull(), F.col("cluster").isNotNull()
+    kinds = {"cluster_total": (F.lit(True), cluster), "cluster_family": (family, cluster), "family_total": (F.lit(True), family)}
+    asked = [F.bool_or(test).alias(f"{c}_{side}") for c, (back, fore) in kinds.items() for side, test in (("back", back), ("fore", back & fore))]
+    sides = [F.count_if(f"{c}_{side}").alias(f"{c}_{side}") for c in kinds for side in ("back", "fore")]
+    genes = named.where("gene is not null").groupBy("gene", "taxon", "term").agg(*asked).groupBy("taxon", "term").agg(*sides)
+    kept = F.array(F.struct(F.lit("cluster").alias("kind"), F.col("cluster").cast("string").alias("value"), family.alias("both")), F.struct(F.lit("family").alias("kind"), F.col("family").cast("string").alias("value"), F.lit(True).alias("both")))
+    groups = named.select("taxon", "term", F.explode(kept).alias("g")).where("g.value is not null").groupBy("taxon", "term", F.col("g.kind").alias("kind"), F.col("g.value").alias("value")).agg(F.bool_or("g.both").alias("both"))
+    own = {"cluster_total": F.col("kind") == "cluster", "cluster_family": (F.col("kind") == "cluster") & F.col("both"), "family_total": F.col("kind") == "family"}
+    groups = groups.groupBy("taxon", "term").agg(*[F.count_if(test).alias(f"{c}_groups") for c, test in own.items()])
+    names = [f"{c}_{x}" for c in kinds for x in ("back", "fore", "groups")]
+    wide = genes.unionByName(groups, allowMissingColumns=True).groupBy("taxon", "term").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    sizes = rows.where("gene is not null").groupBy("gene", "taxon").agg(*asked).groupBy("taxon").agg(*[s.alias(f"n_{c}_{side}") for s, (c, side) in zip(sides, ((c, side) for c in kinds for side in ("back", "fore")), strict=True)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("contrast"), *[F.col(n).alias(as_) for n, as_ in ((f"{c}_groups", "clusters"), (f"{c}_back", "k_background"), (f"{c}_fore", "k"), (f"n_{c}_back", "n_background"), (f"n_{c}_fore", "n"))]) for c in kinds])).alias("e")
+    met = wide.join(sizes, "taxon").select("taxon", "term", each).select("taxon", "term", "e.*").where("k_background > 0")
+    met = met.withColumn("tests", F.count("*").over(Window.partitionBy("taxon", "contrast"))).withColumn("p", upper_tail(F.col("k"), F.col("n_background"), F.col("k_background"), F.col("n")))
+    return met.select("taxon", "contrast", "term", "clusters", "k_background", "k", "p", (F.col("p") <= F.lit(alpha) / F.col("tests")).alias("significant"))
 
 
 def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
