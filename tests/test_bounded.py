@@ -3,7 +3,8 @@
 import itertools
 import random
 
-from weftline.operators import loci, similarity, statistics
+from weftline.functions import frames
+from weftline.operators import loci, positional, similarity, statistics
 
 
 def plan(df):
@@ -55,3 +56,9 @@ def test_loci_are_extended_without_unrolling_missing_groups(spark):
     # Both ends take a step at a time; down: 4, then 5 is taken by neither end or both; up: 5, 6, then no group.
     assert "size(missing" not in plan(found)
     assert [(r.new_first, r.new_last) for r in found.collect()] == [(2, 7)]
+
+
+def test_combinations_of_written_genes_are_shuffled_once(spark):
+    genes = frames.once(spark.createDataFrame([(o, 1, p, (o * p) % 7) for o in range(5) for p in range(20)], "ome int, scaffold int, pos int, hg int"))
+    assert plan(positional.window_combinations(genes, 3)).count("Exchange hashpartitioning") == 1
+    assert plan(positional.window_pairs(genes)).count("Exchange hashpartitioning") == 1

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import finished, once
+from weftline.functions.frames import finished, known, once
 from weftline.functions.scalars import percentile_index
 
 
@@ -37,7 +37,9 @@ def draws(combos: DataFrame, parts: DataFrame, samples: int, seed: str = "null")
     rows = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     rows = rows.withColumn("o", pick(seed, F.col("part"), F.col("i"), F.lit("ome")) % F.col("n_omes")).join(omes.select("part", "o", "ome", "n"), ["part", "o"])
     rows = rows.withColumn("place", pick(seed, F.col("part"), F.col("i"), F.lit("set")) % F.col("n"))
-    placed = combos.withColumn("place", F.row_number().over(Window.partitionBy("ome").orderBy("key")) - 1)
+    rows = once(rows)
+    # Only genomes that a draw names are sorted.
+    placed = combos.join(known(rows.select("ome").distinct()), "ome", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("ome").orderBy("key")) - 1)
     return rows.join(placed, ["ome", "place"]).select("part", "i", "ome", "key")
 
 
