@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.frames import once
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Links that one task joins by itself; more go by rounds. And the kinds of nodes that Python orders as Spark does.
+FEW_LINKS = 1 << 17
+ORDERED = {"tinyint", "smallint", "int", "bigint", "string", "binary"}
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of links (u, v) that are all in these batches."""
+    up: dict = {}
+
+    def top(x):  # noqa: ANN001, ANN202
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(top, nodes), kind)], ["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, root) for every node that an edge touches; root: the smallest node reachable.
 
-    Alternates large-star and small-star steps (each a grouped minimum and a join on the node) until the edges
+    Edges are written and counted. Up to ``few`` are joined in one task: rounds over them would be hundreds of tasks with hardly a row. More
+    alternate large-star and small-star steps (each a grouped minimum and a join on the node) until the edges
     stop changing. Each round is written to the checkpoint folder, so a lost executor costs a round at most and
     lineage stays short. Nulls and self-links are dropped. The driver sees one (count, checksum) row a round.
     """
@@ -31,7 +61,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         return joined.select(F.explode(ends).alias("e")).select("e.u", "e.v")
 
-    now = once(links(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))))
+    both_ends = F.col(a).isNotNull() & F.col(b).isNotNull()
+    now = once(edges.where(both_ends).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v"))
+    kind = dict(now.dtypes)["u"]
+    if kind in ORDERED and now.count() <= few:
+        return once(now.coalesce(1).mapInArrow(joined, f"node {kind}, root {kind}"))
     seen = None
     for _ in range(max_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
