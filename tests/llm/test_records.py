@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,22 @@ def test_stretches_of_long_texts(words, library, monkeypatch):
         assert np.frombuffer(words.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_looked_up_once_for_all_its_places(words, library):
+    """Python's steps follow the distinct words of a batch of texts, not all their words."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return dict.__getitem__(self, key)
+
+    words.memo = Counted(words.memo)
+    texts = ["one two, three\nfour two " * 400 + "end", "", "three " * 900 + "one", " odd  ", "two"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode(pa.array(texts))] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 0 < Counted.lookups < 40
+
+
 def test_a_full_memo(words, library, monkeypatch):
     monkeypatch.setattr(records, "MEMO_WORDS", 2)
     for text in ("one two three", "four five\nsix", "one seven"):

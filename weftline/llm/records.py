@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,10 +43,12 @@ END = 2
 SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 #: Words in a worker's memo, and their characters; the memo before it is kept, too.
 MEMO_WORDS, MEMO_CHARS = 400_000, 8 << 20
-#: Characters of texts, or bytes of payloads, that are worked through at a time, about.
-BATCH_BYTES = 1 << 20
+#: Bytes of texts, and of payloads, that are worked through at a time, about.
+TEXT_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
 #: A place at which a text may be cut; characters of a stretch of a long text.
 CUT, LONG = re.compile(r"(?<=\S)(?=[ \n]\S)"), 1 << 20
+#: White space other than a single space or line end between words, as Arrow's expressions have it; no character beyond is white space.
+ODD = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + r"]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 #: Marks that end words, and the first character from which on letters aren't told apart from marks here.
 MARKS, LATIN = ".,;:!?", "\u0250"
 #: A byte-level vocabulary's signs for a space and a line end.
@@ -143,28 +146,27 @@ class Words:
         self.ends[vocabulary.get(LINE, 0)] = True
         self.line = self._plain(["\n"])[0]
         self.marks = dict(zip(MARKS, self._plain(list(MARKS)), strict=True))
-        self.bare, self.spaced = {}, {}
+        # Ids by words: those at the start of a text or line stand behind a line end, with its id; others have a space before them.
+        self.memo: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         """Starts new memos; words that are met again are taken over from the last ones."""
-        self.old = {" ": self.spaced, "\n": self.bare}
-        self.bare, self.spaced, self.parts, self.chars = {"": b""}, {}, {}, 0
+        self.old, self.memo = self.memo, {"\n": self.line}
+        self.parts, self.chars = {}, 0
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], ahead: str, first: np.ndarray, skip: int) -> None:
+    def _learn(self, words: list[str], ahead: str, first: np.ndarray) -> None:
         """Encodes words that the memo lacks, each behind ``ahead``, as one text, and parts it at the tokens that are ``first``.
 
         A mark behind a letter is a token of its own, so a word that ends with one is taken as two.
         """
-        old, new, marked = self.old[ahead], set(), []
+        memo, old, new, marked = self.memo, self.old, set(), []
         for w in words:
-            if w in memo:
-                continue
-            if w in old:
-                memo[w] = old[w]
+            if (known := old.get(w)) is not None:
+                memo[w] = known
             elif w[-1] in self.marks and len(w) > 1 and w[-2] < LATIN and w[-2].isalpha():
                 marked.append(w)
                 new.add(w[:-1])
@@ -176,37 +178,35 @@ class Words:
             ids = np.array(self.model.encode_batch_fast([ahead + ahead.join(some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = (np.append(np.flatnonzero(first[ids]), len(ids)) * self.width).tolist()
             data = ids.tobytes()
-            memo.update(zip(some, (data[i + skip : j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+            memo.update(zip(some, (data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
         memo.update((w, memo[w[:-1]] + self.marks[w[-1]]) for w in marked)
         self.chars += sum(map(len, rest)) + sum(map(len, marked))
 
-    def _joined(self, text: str, words: list[str]) -> bytes:
-        """Ids of a text whose words are parted by single spaces and line ends."""
-        at, found = 0, []
-        for line in text.split("\n"):
-            end = at + line.count(" ") + 1
-            found.append(self.bare[words[at]] + b"".join(map(self.spaced.__getitem__, words[at + 1 : end])))
-            at = end
-        return self.line.join(found)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose words are parted by single spaces and line ends. Arrow tells the words apart and puts their ids one after another."""
+        lines = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
+        split = pc.split_pattern(lines, " ")
+        coded = pc.dictionary_encode(split.flatten())
+        words = coded.dictionary.to_pylist()
+        lacks = [w for w in words if w not in self.memo]
+        self._learn([w for w in lacks if w[0] == "\n"], "", self.ends)
+        self._learn([w for w in lacks if w[0] != "\n"], " ", self.opens)
+        ids = pa.array(map(self.memo.__getitem__, words), pa.large_binary()).take(coded.indices)
+        data, places = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :]
+        bounds = places[split.offsets.to_numpy()].tolist()
+        # The line end before a text is not its own.
+        return [data[i + len(self.line) : j].to_pybytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not self.by_words:
-            return self._plain(texts)
-        if len(self.bare) + len(self.spaced) + len(self.parts) > MEMO_WORDS or self.chars > MEMO_CHARS:
+            return self._plain(texts if isinstance(texts, list) else texts.to_pylist())
+        if len(self.memo) + len(self.parts) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self._forget()
-        split: list[list[str] | None] = []
-        heads, tails = set(), set()
-        for text in texts:
-            words = text.split() or [""]
-            if len(text) > LONG or text.count(" ") + text.count("\n") != len(words) - 1 or sum(map(len, words)) + len(words) - 1 != len(text):
-                split.append(None)
-                continue
-            split.append(words)
-            heads.update(line.partition(" ")[0] for line in text.split("\n"))
-            tails.update(words)
-        self._learn(self.bare, heads, "\n", self.ends, self.width)
-        self._learn(self.spaced, tails - {""}, " ", self.opens, 0)
-        return [self._rest(text) if words is None else self._joined(text, words) for text, words in zip(texts, split, strict=True)]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.greater(pc.binary_length(texts), LONG))
+        plain = texts.filter(pc.invert(odd))
+        found = iter(self._joined(plain) if len(plain) else ())
+        return [self._rest(text.as_py()) if o else next(found) for o, text in zip(odd.to_pylist(), texts, strict=True)]
 
     def _rest(self, text: str) -> bytes:
         """Ids of a text with other white space, or of a long one, a stretch at a time."""
@@ -266,8 +266,8 @@ def write_records(df: DataFrame, folder: str, tokenizer_path: str, end: int | No
         last = b"" if end is None else end.to_bytes(codec.width, "little")
         out, record, offset, first = None, 0, 0, 0
         try:
-            for batch in slices(batches):
-                for ids, payloads in packed(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True), codec, last):
+            for batch in batches:
+                for ids, payloads in packed(batch.column("doc_id"), batch.column("text"), codec, last):
                     if out is None:
                         place.create_dir(f"{base}/data", recursive=True)
                         out = place.open_output_stream(f"{base}/data/{name}")
@@ -291,23 +291,15 @@ def write_records(df: DataFrame, folder: str, tokenizer_path: str, end: int | No
     return spark.read.parquet(f"{folder}/index")
 
 
-def packed(rows: Iterator[tuple[int | None, pa.Scalar]], codec: Words, last: bytes) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    """Ids and payloads of texts, about ``BATCH_BYTES`` of these at a time."""
-
-    def done() -> tuple[list[int | None], list[bytes]]:
+def packed(idents: pa.Array, texts: pa.Array, codec: Words, last: bytes) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """Ids and payloads of texts, about ``TEXT_BYTES`` of these at a time."""
+    ends, at, before = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0, 0
+    while at < len(texts):
+        end = min(int(np.searchsorted(ends, before + TEXT_BYTES)) + 1, len(texts))
+        ids = idents[at:end].to_pylist()
         heads = (struct.pack(HEADER, codec.width, i is not None, i or 0) for i in ids)
-        return ids, [h + x + last for h, x in zip(heads, codec.encode(texts), strict=True)]
-
-    ids, texts, room = [], [], 0
-    for ident, text in rows:
-        ids.append(ident)
-        texts.append(text.as_py())
-        room += len(texts[-1])
-        if room >= BATCH_BYTES:
-            yield done()
-            ids, texts, room = [], [], 0
-    if ids:
-        yield done()
+        yield ids, [h + x + last for h, x in zip(heads, codec.encode(texts[at:end]), strict=True)]
+        at, before = end, int(ends[end - 1])
 
 
 def unframed(stream: pa.NativeFile, name: str, at: int, size: int, upto: int | None = None) -> Iterator[list[bytes]]:
