@@ -46,3 +46,18 @@ def test_missing_tips_are_made_in_bounded_lists(spark, monkeypatch):
     lists = found._jdf.queryExecution().optimizedPlan().toString()
     assert "tips" in lists  # unrolled by Spark
     assert {(r.set_id, r.tip) for r in found.collect()} == {(i, f"t{k}") for i in range(30) for k in range(60) if k not in (i, i + 30)}
+
+
+def test_missing_tips_are_unrolled_from_short_lists(spark, monkeypatch):
+    """All rows of a list are held at once, each with its set's name: long names make short lists."""
+    t = tree.tree_frame(spark, [(0, None, 0.0, None), *[(1 + i, 0, 1.0, f"t{i}") for i in range(90)]])
+    closure = tree.closure(t)
+    stats = tree.node_stats(t, closure)
+    held = {"x" * k: [f"t{i}" for i in range(k % 7 + 2)] for k in (1, 50, 200, 900, 5000)} | {"whole": [f"t{i}" for i in range(90)], "none": []}
+    sets = spark.createDataFrame(list(held.items()), "set_id string, omes array<string>").coalesce(1)
+    monkeypatch.setattr(tree, "UNROLLED", 2000)
+    lists = tree.missing_lists(sets, stats).collect()
+    assert all(len(r.tips) == 1 or len(r.tips) * len(r.set_id) <= 2000 for r in lists) and max(len(r.tips) for r in lists) > 50
+    want = sorted((k, f"t{i}") for k, omes in held.items() if omes for i in range(90) if f"t{i}" not in omes)
+    assert sorted(map(tuple, tree.missing_tips(sets, stats, closure).collect())) == want
+    assert sorted((r.set_id, x) for r in lists for x in r.tips) == want
