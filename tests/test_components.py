@@ -1,9 +1,10 @@
-"""Components: few links in one task, more by rounds."""
+"""Components: few links in one task, more by rounds. Markov clusters: small components as matrices, larger ones in stripes."""
 
 import random
 
 import pytest
 
+from weftline.operators import graph
 from weftline.operators.graph import components
 
 
@@ -43,3 +44,25 @@ def test_few_links_take_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 6
+
+
+def test_stripes_find_what_matrices_find(spark, monkeypatch):
+    """Graphs of several blocks and stripes, with links twice, both ways and to themselves; and the work of a round isn't rows by rows."""
+    draw = random.Random(3)
+    edges = [(100 * g + i, 100 * g + j, draw.uniform(0.5, 1) if i // 8 == j // 8 else draw.uniform(0, 0.05)) for g in range(3) for i in range(30) for j in range(30) if i < j and (i // 8 == j // 8 or draw.random() < 0.2)]
+    edges += [(b, a, w / 2) for a, b, w in edges[:40]] + [(a, a, 0.4) for a, _, _ in edges[:5]] + [(7, None, 1.0)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    whole = {r.node: r.cluster for r in graph.markov_clusters(df, 1.7).collect()}
+    assert len(set(whole.values())) == 12
+    monkeypatch.setattr(graph, "CELLS", 250)
+    monkeypatch.setattr(graph, "HEIGHT", 7)
+    assert {r.node: r.cluster for r in graph.markov_clusters(df, 1.7, dense=10).collect()} == whole
+
+
+def test_columns_of_dense_components_arent_emptied(spark):
+    """All 1e-3 before they are scaled, at an inflation of 2 below what is pruned: the largest of a column stay."""
+    n = 400
+    df = spark.range(n).selectExpr("id AS a", f"explode(sequence(id, {n - 1}L)) AS b").where("a < b").selectExpr("a", "b", "if(a div 200 = b div 200, 1.0D, 0.9D) AS w")
+    for dense in (1000, 10):
+        found = {r.node: r.cluster for r in graph.markov_clusters(df, 2.0, dense).collect()}
+        assert len(found) == n and set(found.values()) <= {0, 200}

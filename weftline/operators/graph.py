@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import once
+from weftline.functions.frames import known, once
 
 
 #: Links that one task joins by itself; more go by rounds. And the kinds of nodes that Python orders as Spark does.
@@ -18,8 +19,8 @@ FEW_LINKS = 1 << 17
 ORDERED = {"tinyint", "smallint", "int", "bigint", "string", "binary"}
 
 
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, root of links (u, v) that are all in these batches."""
+def joined(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """node, root of links (u, v) that are all in these batches; with ``most``, of so many nodes or few more at a time."""
     up: dict = {}
 
     def top(x):  # noqa: ANN001, ANN202
@@ -28,15 +29,22 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     kind = None
+
+    def found() -> pa.RecordBatch:
+        nodes = list(up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(top, nodes), kind)], ["node", "root"])
+
     for batch in batches:
         kind = batch.schema.field("u").type
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
             a, b = top(u), top(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
+        if most is not None and len(up) >= most:
+            yield found()
+            up.clear()
     if up:
-        nodes = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(top, nodes), kind)], ["node", "root"])
+        yield found()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
@@ -84,73 +92,179 @@ def clans(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return sets.join(found, "set_id", "left").withColumn("clan", F.coalesce("clan", "set_id"))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, dense: int = 2000, rounds: int = 100, prune: float = 1e-5) -> DataFrame:
+#: Nodes of a component that one task clusters as a matrix (two of 330 MB); and of larger ones: cells of a stripe of columns (64 MB, of which a
+#: task holds a few), and how many of a column's cells make a row of the table.
+DENSE, CELLS, HEIGHT = 6400, 1 << 23, 1024
+
+
+def markov_clusters(edges: DataFrame, inflation: float = 2.0, dense: int = DENSE, rounds: int = 100, prune: float = 1e-5) -> DataFrame:
     """node, cluster of a weighted graph (a, b, w) by Markov clustering; cluster: its smallest node.
 
-    Runs within connected components: those of up to ``dense`` nodes as matrices, one to a task; larger ones as joins
-    over the edges, so that no component has to fit a task.
+    Runs within connected components: those of up to ``dense`` nodes as matrices, one to a task; larger ones in stripes of columns, so that
+    no component has to fit a task. ``prune``: the least share of a column that stays; the largest always does.
+    """
+    return clustered(*placed_links(edges), inflation, dense, rounds, prune)
+
+
+def placed_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root, i, n): each node's component, its number there, and the component's size; and (root, n, i, j, w): the links of a weighted
+    graph (a, b, w) by these numbers, which aren't written.
+
+    Tasks join their own links first, so components see a few links of each node, however many it has.
     """
-    members = once(components(edges))
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    placed = once(edges.join(members.withColumnRenamed("node", "a"), "a").join(sizes, "root").select("root", "n", "a", "b", "w"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, flat = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-        ends = flat.reshape(-1, 2)
-        m = np.zeros((len(nodes), len(nodes)))
-        np.maximum.at(m, (ends[:, 0], ends[:, 1]), pdf.w.to_numpy())
-        m = np.maximum(m, m.T)
+    kind = dict(edges.dtypes)["a"]
+    links = edges.where("a is not null and b is not null and a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if kind in ORDERED and kind == dict(edges.dtypes)["b"]:
+        for tasks in (64, 8):
+            own = links.coalesce(tasks).mapInArrow(lambda batches: joined(batches, 4 * FEW_LINKS), f"node {kind}, root {kind}")
+            links = once(own.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    order = Window.partitionBy("root")
+    members = components(links, "u", "v", few=4 * FEW_LINKS).withColumns({"i": F.row_number().over(order.orderBy("node")) - 1, "n": F.count("*").over(order).cast("int")})
+    members = once(members.select("node", "root", "i", "n"))
+    few = known(members)
+    ends = edges.join(few.select(F.col("node").alias("a"), "root", "n", "i"), "a").join(few.select(F.col("node").alias("b"), F.col("i").alias("j")), "b")
+    return members, ends.select("root", "n", "i", "j", F.col("w").cast("double").alias("w"))
+
+
+def inflated(x: np.ndarray, inflation: float, prune: float) -> None:
+    """Columns raised to a power and scaled to a sum of 1, in place, without what is below ``prune`` then."""
+    x /= np.maximum(x.max(axis=0), 1e-300)
+    np.power(x, inflation, out=x)
+    x /= np.maximum(x.sum(axis=0), 1e-300)
+    x[x < np.minimum(prune, x.max(axis=0))] = 0
+    x /= np.maximum(x.sum(axis=0), 1e-300)
+
+
+def clustered(members: DataFrame, links: DataFrame, inflation: float, dense: int = DENSE, rounds: int = 100, prune: float = 1e-5) -> DataFrame:
+    """Markov clusters of what ``placed_links`` gives."""
+
+    def cluster(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = key[1].as_py()
+        m = np.zeros((n, n))
+        for batch in batches:
+            i, j, w = (batch.column(c).to_numpy() for c in ("i", "j", "w"))
+            np.maximum.at(m, (i, j), w)
+            np.maximum.at(m, (j, i), w)
         np.fill_diagonal(m, m.max(axis=0))
         m /= m.sum(axis=0)
+        new = np.empty_like(m)
         for _ in range(rounds):
-            new = np.linalg.matrix_power(m, 2) ** inflation
-            new[new < prune] = 0
-            new /= new.sum(axis=0)
-            done = np.abs(new - m).max() < 1e-6
-            m = new
-            if done:
+            # Attractors' rows only: the others are zero, and stay so.
+            rows = np.flatnonzero(m.any(axis=1))
+            left, gap = (m if len(rows) == n else m[np.ix_(rows, rows)]), 0.0
+            if len(rows) < n:
+                new[:] = 0
+            for at in range(0, n, 512):
+                old = m[:, at : at + 512] if len(rows) == n else m[rows, at : at + 512]
+                x = left @ old
+                inflated(x, inflation, prune)
+                gap = max(gap, np.abs(x - old).max())
+                new[rows, at : at + 512] = x
+            m, new = new, m
+            if gap < 1e-6:
                 break
         # A node goes with the attractors its column reaches; attractors that share a node are one cluster.
-        root = np.arange(len(nodes))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i, j in zip(*np.nonzero(m > 1e-3), strict=True):
-            x, y = find(i), find(j)
-            root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"node": nodes, "cluster": [nodes[find(i)] for i in range(len(nodes))]})
-
-    kind = dict(members.dtypes)["node"]
-    small = placed.where(F.col("n") <= dense).select("root", "a", "b", F.col("w").cast("double")).groupBy("root").applyInPandas(cluster, f"node {kind}, cluster {kind}")
-    large = placed.where(F.col("n") > dense)
-    return small if large.isEmpty() else small.unionAll(_markov_joins(large.select("a", "b", F.col("w").cast("double").alias("w")), inflation, rounds, prune))
-
-
-def _markov_joins(edges: DataFrame, inflation: float, rounds: int, prune: float) -> DataFrame:
-    """The same on the columns of a sparse matrix (i, j, w), one join a step."""
-
-    def columns(m: DataFrame) -> DataFrame:
-        m = m.where(F.col("w") >= prune)
-        return m.join(m.groupBy("j").agg(F.sum("w").alias("s")), "j").select("i", "j", (F.col("w") / F.col("s")).alias("w"))
-
-    both = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "w").unionAll(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
-    loops = both.groupBy("j").agg(F.max("w").alias("w")).select(F.col("j").alias("i"), "j", "w")
-    m = once(columns(both.unionAll(loops)))
+        i, j = np.nonzero(m > 1e-3)
+        root, before = np.arange(n), None
+        while before is None or (root != before).any():
+            before, root = root, root.copy()
+            least = np.minimum(before[i], before[j])
+            np.minimum.at(root, i, least)
+            np.minimum.at(root, j, least)
+            root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], key[0].type).take(pa.array(np.zeros(n, np.int32))), pa.array(np.arange(n, dtype=np.int32)), pa.array(root.astype(np.int32))], ["root", "i", "c"])
+
+    kind = dict(members.dtypes)["root"]
+    found = links.where(F.col("n") <= dense).groupBy("root", "n").applyInArrow(cluster, f"root {kind}, i int, c int")
+    named = known(members.select("root", "i", "node"))
+    small = found.join(named, ["root", "i"]).select("root", "c", "node").join(named.select("root", F.col("i").alias("c"), F.col("node").alias("cluster")), ["root", "c"]).select("node", "cluster")
+    large = members.where(F.col("n") > dense)
+    return small if large.isEmpty() else small.unionAll(_markov_stripes(large, links.where(F.col("n") > dense), inflation, rounds, prune))
+
+
+def _markov_stripes(members: DataFrame, links: DataFrame, inflation: float, rounds: int, prune: float) -> DataFrame:
+    """The same of components that don't fit a task. A matrix is a table of pieces of columns (root, n, j, b, x), those of zeros left out;
+    a task holds some columns and is passed all columns of its component, so a round shuffles a component once for each stripe."""
+    kind = dict(members.dtypes)["root"]
+    fields = f"root {kind}, n int, j int, b int, x array<double>, gap double"
+    stripes = F.ceil(F.col("n").cast("long") * F.col("n") / CELLS).cast("int")
+    stripe_of = lambda j: (F.col(j) / F.ceil(F.col("n") / stripes)).cast("int")
+    tasks = int(members.select("root", stripes.alias("k")).distinct().agg(F.sum("k")).first()[0])
+
+    def rows_of(root: pa.Scalar, n: int, low: int, x: np.ndarray, gap: float) -> Iterator[pa.RecordBatch]:
+        """Columns from ``low`` on as rows, those of a block at a time."""
+        for b in range(0, n, HEIGHT):
+            part = x[b : b + HEIGHT]
+            some = np.flatnonzero(part.any(axis=0))
+            if len(some):
+                cells = np.zeros((len(some), HEIGHT))
+                cells[:, : len(part)] = part[:, some].T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * HEIGHT), pa.array(cells.ravel()))
+                same = lambda v, t: pa.array([v], t).take(pa.array(np.zeros(len(some), np.int32)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(root.as_py(), root.type), same(n, pa.int32()), pa.array((low + some).astype(np.int32)), same(b // HEIGHT, pa.int32()), lists, same(gap, pa.float64())], ["root", "n", "j", "b", "x", "gap"])
+
+    def first(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, stripe = key[1].as_py(), key[2].as_py()
+        width = -(-n // -(-n * n // CELLS))
+        low, x = stripe * width, np.zeros((n, min(width, n - stripe * width)))
+        for batch in batches:
+            i, j, w = (batch.column(c).to_numpy() for c in ("i", "j", "w"))
+            np.maximum.at(x, (i, j - low), w)
+        own = np.arange(x.shape[1])
+        x[low + own, own] = x.max(axis=0)
+        x /= x.sum(axis=0)
+        yield from rows_of(key[0], n, low, x, 1.0)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by component and stripe, the stripe's own columns first, then all, by which these are multiplied."""
+        now = old = new = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            inflated(new, inflation, prune)
+            yield from rows_of(now[0], now[1], now[3], new, float(np.abs(new - old).max()))
+
+        for batch in batches:
+            root, stripe, whole = batch.column("root"), batch.column("stripe").to_numpy(), batch.column("whole").to_numpy(zero_copy_only=False)
+            n, j, b = (batch.column(c).to_numpy() for c in ("n", "j", "b"))
+            x = batch.column("x").flatten().to_numpy().reshape(-1, HEIGHT)
+            turns = np.flatnonzero(pc.not_equal(root[1:], root[:-1]).to_numpy(zero_copy_only=False) | (stripe[1:] != stripe[:-1]) | (whole[1:] != whole[:-1])) + 1
+            for at, to in zip([0, *turns], [*turns, len(j)], strict=True):
+                if now is None or (root[at].as_py(), stripe[at]) != (now[0].as_py(), now[2]):
+                    if now is not None:
+                        yield from done()
+                    width = -(-int(n[at]) // -(-int(n[at]) * int(n[at]) // CELLS))
+                    now = (root[at], int(n[at]), stripe[at], int(stripe[at]) * width)
+                    old = np.zeros((now[1], min(width, now[1] - now[3])))
+                    new = np.zeros_like(old)
+                for block in np.unique(b[at:to]):
+                    here = at + np.flatnonzero(b[at:to] == block)
+                    low, high = block * HEIGHT, min((block + 1) * HEIGHT, now[1])
+                    if whole[at]:
+                        new[low:high] += x[here, : high - low].T @ old[j[here]]
+                    else:
+                        old[low:high, j[here] - now[3]] = x[here, : high - low].T
+        if now is not None:
+            yield from done()
+
+    both = links.unionAll(links.select("root", "n", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    m = once(both.withColumn("stripe", stripe_of("j")).repartition(tasks, "root", "stripe").groupBy("root", "n", "stripe").applyInArrow(first, fields))
     for _ in range(rounds):
-        product = m.withColumnsRenamed({"j": "k", "w": "x"}).join(m.select(F.col("i").alias("k"), "j", "w"), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("w")).alias("w"))
-        new = once(columns(product.withColumn("w", F.pow("w", F.lit(inflation)))))
-        gap = new.withColumnRenamed("w", "v").join(m, ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))))).first()[0]
-        m = new
-        if gap is None or gap < 1e-6:
+        own = m.drop("gap").withColumns({"stripe": stripe_of("j"), "whole": F.lit(False)})
+        every = m.drop("gap").withColumns({"stripe": F.explode(F.sequence(F.lit(0), stripes - 1)), "whole": F.lit(True)})
+        m = once(own.unionAll(every).repartition(tasks, "root", "stripe").sortWithinPartitions("root", "stripe", "whole").mapInArrow(step, fields))
+        if m.agg(F.max("gap")).first()[0] < 1e-6:
             break
-    linked = m.where("w > 1e-3").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    found = components(linked)
-    nodes = m.select(F.col("j").alias("node")).distinct()
-    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cell = np.nonzero(batch.column("x").flatten().to_numpy().reshape(-1, HEIGHT) > 1e-3)
+            i = (cell + HEIGHT * batch.column("b").to_numpy()[at]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(at)), pa.array(i), batch.column("j").take(pa.array(at))], ["root", "i", "j"])
+
+    named = known(members.select("root", "i", "node"))
+    linked = m.mapInArrow(reached, f"root {kind}, i int, j int").where("i <> j").join(named.select("root", "i", F.col("node").alias("a")), ["root", "i"]).join(named.select("root", F.col("i").alias("j"), F.col("node").alias("b")), ["root", "j"])
+    found = components(linked.select("a", "b"))
+    return members.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
 
 
 def wedges_closed(edges: DataFrame) -> DataFrame:

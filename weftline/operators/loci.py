@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.frames import known, once
 from weftline.operators.filters import satisfied
-from weftline.operators.graph import markov_clusters
+from weftline.operators.graph import clustered, markov_clusters, placed_links
 from weftline.operators.positional import merge_neighbours
 from weftline.operators.similarity import locus_similarity
 
@@ -243,16 +243,22 @@ def modules(members: DataFrame, loci: DataFrame, locus_genes: DataFrame, least_g
     return kept.join(common.groupBy("cluster").agg(F.array_sort(F.collect_set("hg")).alias("hgs")), "cluster", "left")
 
 
+def linked(weights: DataFrame) -> DataFrame:
+    """Similarities of loci as links, written once."""
+    return once(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")))
+
+
 def tuned(weights: DataFrame, loci: DataFrame, locus_genes: DataFrame, tunes: DataFrame, inflations: list[float], least_genomes: int = 3) -> tuple[float, DataFrame, DataFrame]:
     """(inflation, members, families) of the first inflation at which all known clusters (name, hgs, omes, false_omes) are found.
 
-    weights: the similarities of loci (i, j, weight), which are written once and clustered for each inflation. A ValueError names
-    the clusters that the last one missed.
+    weights: the similarities of loci (i, j, weight), whose components are found and which are written once, to be clustered for each
+    inflation. A ValueError names the clusters that the last one missed.
     """
-    edges = once(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")))
+    nodes, links = placed_links(linked(weights))
+    links = once(links)
     missed: list[str] = []
     for inflation in inflations:
-        members = once(markov_clusters(edges, inflation))
+        members = once(clustered(nodes, links, inflation))
         families = once(modules(members, loci, locus_genes, least_genomes))
         missed = [r.name for r in satisfied(tunes, families.select("hgs", "omes")).where("not satisfied").orderBy("name").limit(20).collect()]
         if not missed:
@@ -281,7 +287,7 @@ def rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, genes
     a block are merged between the rounds; with ``tunes``, the second round's inflation is the first from 1.2 to 3 that finds these.
     """
     weights = locus_similarity(locus_genes, identities, "overlap", least_identity, 1, least_weight)
-    first = once(markov_clusters(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")), inflations[0]))
+    first = once(markov_clusters(linked(weights), inflations[0]))
     domains = modules(first, loci, locus_genes, least_genomes).select("cluster")
     placed = loci.drop("block").join(first.withColumnRenamed("node", "locus"), "locus").join(domains, "cluster").withColumnRenamed("cluster", "block")
     if genes is None:
@@ -292,7 +298,7 @@ def rounds(loci: DataFrame, locus_genes: DataFrame, identities: DataFrame, genes
     if tunes is not None:
         _, second, families = tuned(weights, placed, again, tunes, [i / 10 for i in range(12, 31)], least_genomes)
     else:
-        second = once(markov_clusters(weights.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("weight").alias("w")), inflations[1]))
+        second = once(markov_clusters(linked(weights), inflations[1]))
         families = modules(second, placed, again, least_genomes)
     return families, second, placed, again
 
