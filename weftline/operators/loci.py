@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +22,35 @@ def shares(candidates: DataFrame) -> DataFrame:
     """clan, ome, scaffold, first, last, set_id, score: disjoint shares of candidates with the same columns.
 
     By falling score (then first, last, set_id), a candidate takes its places; what later ones lose is cut out, and each
-    contiguous rest is a share of its own. The order decides, so each clan's scaffold is worked through in one task.
+    contiguous rest is a share of its own. The order decides, so each clan's scaffold is worked through in one task, in the order in which Spark
+    has sorted it; a task goes through its scaffolds row by row, and holds the taken places of one.
     """
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        found: list[tuple] = []
-        for score, first, last, set_id in sorted(zip(-pdf.score, pdf["first"], pdf["last"], pdf.set_id, strict=True)):
-            run: list[int] = []
-            for p in [*range(first, last + 1), None]:
-                if p is not None and p not in taken:
-                    run.append(p)
-                elif run:
-                    found.append((run[0], run[-1], set_id, -score))
-                    run = []
-            taken.update(range(first, last + 1))
-        head = pdf.iloc[0]
-        return pd.DataFrame([[head.clan, head.ome, head.scaffold, *f] for f in found], columns=[*PLACE, "first", "last", "set_id", "score"])
-
     columns = [*PLACE, "first", "last", "set_id", "score"]
     kinds = dict(candidates.dtypes)
-    return candidates.select(*columns).groupBy(*PLACE).applyInPandas(settle, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        for batch in batches:
+            rows, starts, ends = [], [], []
+            for row, (key, first, last) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in PLACE), strict=True), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)):
+                if key != now:
+                    now, taken = key, set()
+                start = None
+                for p in range(first, last + 1):
+                    if p in taken:
+                        if start is not None:
+                            rows.append(row), starts.append(start), ends.append(p - 1)
+                        start = None
+                    else:
+                        taken.add(p)
+                        start = p if start is None else start
+                if start is not None:
+                    rows.append(row), starts.append(start), ends.append(last)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(starts, kept.column(c).type) if c == "first" else pa.array(ends, kept.column(c).type) if c == "last" else kept.column(c) for c in columns], columns)
+
+    placed = candidates.select(*columns).repartition(*PLACE).sortWithinPartitions(*PLACE, F.desc("score"), "first", "last", "set_id")
+    return placed.mapInArrow(settle, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def places(loci: DataFrame, *more: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,22 +159,28 @@ def pieces(batch: pa.RecordBatch, column: str, room: int) -> Iterator[pa.RecordB
         yield batch.slice(at, to - at)
 
 
-def by_intervals(sets: DataFrame, stats: DataFrame, each: Callable[[Intervals, pa.RecordBatch], Iterator[pa.RecordBatch]], fields: str) -> DataFrame | None:
-    """``each`` of the tree and of pieces of (set_id, omes), as rows of ``fields``; None for a tree that is too large to be broadcast."""
+def shared_tree(stats: DataFrame, omes: str) -> Broadcast | None:
+    """``Intervals`` of a tree for lists of the type ``omes``, or of None for a tree without nodes; None for one too large to be broadcast."""
     if stats.count() > BROADCAST_NODES:
         return None
     nano = (F.when(F.col("tip").isNotNull(), F.col("length")).otherwise(F.col("desc_len")).cast("decimal(28,9)") * F.lit(NANO)).cast("long")
     rows = stats.select("node", "parent", "tip", "n_tips", nano.alias("own"), "desc_len", "max_tip_dist").toArrow()
     kinds = {"string": pa.string(), "int": pa.int32()}
-    tree = Intervals(rows, kinds.get(dict(sets.dtypes)["omes"][6:-1], pa.int64())) if rows.num_rows else None
-    shared = sets.sparkSession.sparkContext.broadcast(tree)
+    return stats.sparkSession.sparkContext.broadcast(Intervals(rows, kinds.get(omes[6:-1], pa.int64())) if rows.num_rows else None)
+
+
+def by_intervals(sets: DataFrame, stats: DataFrame, each: Callable[[Intervals, pa.RecordBatch], Iterator[pa.RecordBatch]], fields: str) -> DataFrame | None:
+    """``each`` of the tree and of pieces of (set_id, omes), as rows of ``fields``; None for a tree that is too large to be broadcast."""
+    shared = shared_tree(stats, dict(sets.dtypes)["omes"])
+    if shared is None:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "omes", PIECE):
                 yield from each(shared.value, piece)
 
-    return sets.select("set_id", "omes").where(F.lit(tree is not None)).mapInArrow(run, fields)
+    return sets.select("set_id", "omes").where(F.lit(shared.value is not None)).mapInArrow(run, fields)
 
 
 def set_distances(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -268,14 +275,82 @@ def branch_similarity(pairs_of_sets: DataFrame, stats: DataFrame, pairs: DataFra
     return found.select("pair_id", F.when(F.col("u") == 0, 0.0).otherwise(F.col("i") / F.col("u")).alias("similarity"))
 
 
+#: Genomes of the sets of a block, about, and pairs of sets that a task is asked for.
+BLOCK, ASKED = 1 << 22, 1 << 18
+
+
 def similarity_of(sets: DataFrame, stats: DataFrame, pairs: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function that gives pairs of sets (a, b) their branch similarity. sets: set_id, omes."""
+    """A function that gives pairs of sets (a, b) their branch similarity. sets: set_id, omes.
 
-    def similarity(asked: DataFrame) -> DataFrame:
+    Sets are dealt to blocks, and a task holds two blocks and is asked for pairs between them: genomes travel with sets, not with pairs.
+    """
+    shared = shared_tree(stats, dict(sets.dtypes)["omes"])
+
+    def by_pairs(asked: DataFrame) -> DataFrame:
         named = asked.join(sets.select(F.col("set_id").alias("a"), F.col("omes").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("omes").alias("y")), "b")
         found = branch_similarity(named.select(F.struct("a", "b").alias("pair_id"), F.col("x").alias("a"), F.col("y").alias("b")), stats, pairs)
         return found.select("pair_id.a", "pair_id.b", "similarity")
 
+    if shared is None or shared.value is None:
+        return by_pairs
+
+    def far(rows: np.ndarray, tips: np.ndarray, out: np.ndarray) -> np.ndarray:
+        found, sizes, top = shared.value.tops(rows, tips)
+        out[found] = np.where(sizes > 1, shared.value.covered(rows, tips, found, top) / NANO, 0.0)
+        return out
+
+    def met(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Similarities of sets of tips; NaN of pairs without any."""
+        tips = len(shared.value.tips)
+        row = np.repeat(np.arange(len(a)), [len(x) + len(y) for x, y in zip(a, b, strict=True)])
+        keys = np.sort(row * tips + np.concatenate([np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]), kind="stable")
+        twice = keys[1:] == keys[:-1]
+        both, either = keys[1:][twice], keys[np.append(True, ~twice)] if len(keys) else keys
+        u = far(either // tips, either % tips, np.full(len(a), np.nan))
+        i = far(both // tips, both % tips, np.zeros(len(a)))
+        with np.errstate(all="ignore"):
+            return np.where(u == 0, 0.0, i / u)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by blocks, first their sets (a, omes), then pairs (a, b)."""
+        now, held = None, {}
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "deal")])
+            pair = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0) | (pair[1:] != pair[:-1])) + 1
+            for at, to in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+                if now != (now := tuple(key[:, at])):
+                    held = {}
+                part = batch.slice(at, to - at)
+                if not pair[at]:
+                    for piece in pieces(part, "omes", PIECE):
+                        rows, tips = shared.value.places(piece.column("omes"))
+                        held |= zip(piece.column("a").to_pylist(), np.split(tips.astype(np.int32), np.searchsorted(rows, np.arange(1, piece.num_rows))), strict=True)
+                    continue
+                a, b = ([held.get(x) for x in part.column(c).to_pylist()] for c in "ab")
+                known = np.flatnonzero([x is not None and y is not None for x, y in zip(a, b, strict=True)])
+                for low, high in stretches(np.cumsum([len(a[i]) + len(b[i]) + 1 for i in known]), PIECE):
+                    some = known[low:high]
+                    values = met([a[i] for i in some], [b[i] for i in some])
+                    there = pa.array(some[~np.isnan(values)])
+                    yield pa.RecordBatch.from_arrays([part.column("a").take(there), part.column("b").take(there), pa.array(values[~np.isnan(values)])], ["a", "b", "similarity"])
+
+    total = sets.agg(F.sum(F.size("omes"))).first()[0] or 1
+    blocks = -(-total // BLOCK)
+    kind, omes = dict(sets.dtypes)["set_id"], dict(sets.dtypes)["omes"]
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
+    def similarity(asked: DataFrame) -> DataFrame:
+        asked = once(asked.select("a", "b").where("a is not null and b is not null"))
+        meetings = blocks * (blocks + 1) // 2
+        deals = max(1, -(-asked.count() // (ASKED * meetings)))
+        place = lambda x, y, deal: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), deal.alias("deal"))
+        ways = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        first = ways.select(*place(own("set_id"), F.col("_other"), F.col("_deal")), F.col("set_id").alias("a"), F.lit(None).cast(kind).alias("b"), "omes")
+        then = asked.select(*place(own("a"), own("b"), F.pmod(F.xxhash64("b", "a"), F.lit(deals)).cast("int")), "a", "b", F.lit(None).cast(omes).alias("omes"))
+        dealt = first.unionAll(then).repartition(min(meetings * deals, 1 << 14), "x", "y", "deal")
+        return dealt.sortWithinPartitions("x", "y", "deal", F.col("b").isNotNull()).mapInArrow(meet, f"a {kind}, b {kind}, similarity double")
+
     return similarity
 
 
