@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,15 @@ from weftline.functions.frames import known, once
 FAMILY = ("hlg", "hg")
 
 
-def hits_until_complete(algn: DataFrame, members: DataFrame, score: str = "ppos") -> DataFrame:
+class Aligner(NamedTuple):
+    """Alignments that are made as they are asked for, so that most of all pairs never are: ``within(members)`` (hlg, hg, q, s, ...) of genes of a
+    family's group, and ``reaching(bars, score)`` (hg, q, s, ...), with all whose query has a bar (hg, gene, bar) that they reach."""
+
+    within: Callable[[DataFrame], DataFrame]
+    reaching: Callable[[DataFrame, str], DataFrame]
+
+
+def hits_until_complete(algn: DataFrame | Aligner, members: DataFrame, score: str = "ppos") -> DataFrame:
     """hlg, hg, q, q_ome, s, s_ome, kind (in or out), rank, seen, n: each member's alignments, best first, up to the one
     at which every other genome of the family has been hit.
 
@@ -24,7 +35,7 @@ def hits_until_complete(algn: DataFrame, members: DataFrame, score: str = "ppos"
     family_omes = known(members.select(*FAMILY, F.col("ome").alias("s_ome"), F.lit(True).alias("inside")).distinct())
     kind = F.when(F.col("member") & (F.col("s_ome") != F.col("q_ome")), "in").when(F.col("inside").isNull(), "out")
 
-    def met(asked: DataFrame) -> DataFrame:
+    def met(asked: DataFrame, algn: DataFrame) -> DataFrame:
         found = algn.join(asked, ["hg", "q"])
         if "bar" in asked.columns:
             found = found.where(F.col("bar").isNull() | (F.col(score) >= F.col("bar"))).drop("bar")
@@ -32,9 +43,17 @@ def hits_until_complete(algn: DataFrame, members: DataFrame, score: str = "ppos"
         return found.withColumn("kind", kind).where("kind is not null").drop("member", "inside")
 
     # A scan ends at the worst of its genomes' best scores; what lies below needn't be sorted. Alignments are read twice for this.
-    best = met(queries).where("kind = 'in'").groupBy(*FAMILY, "q", "n", "s_ome").agg(F.max(score).alias("best"))
+    if isinstance(algn, Aligner):
+        inside = algn.within(members.join(sizes, [*FAMILY], "left_semi")).where("q_ome <> s_ome").join(sizes, [*FAMILY])
+    else:
+        inside = met(queries, algn).where("kind = 'in'")
+    best = inside.groupBy(*FAMILY, "q", "n", "s_ome").agg(F.max(score).alias("best"))
     ends = best.groupBy(*FAMILY, "q", "n").agg(F.min("best").alias("bar"), F.count("best").alias("k")).where("k >= n - 1").select(*FAMILY, "q", "bar")
-    rows = met(known(queries.join(ends, [*FAMILY, "q"], "left"))).repartition(*FAMILY, "q")
+    asked = known(queries.join(ends, [*FAMILY, "q"], "left"))
+    if isinstance(algn, Aligner):
+        bars = asked.groupBy("hg", F.col("q").alias("gene")).agg(F.min(F.coalesce("bar", F.lit(float("-inf")))).alias("bar"))
+        algn = algn.reaching(bars, score)
+    rows = met(asked, algn).repartition(*FAMILY, "q")
     order = Window.partitionBy(*FAMILY, "q").orderBy(F.desc(score), "s")
     first = F.row_number().over(Window.partitionBy(*FAMILY, "q", "kind", "s_ome").orderBy(F.desc(score), "s")) == 1
     rows = rows.withColumn("new", ((F.col("kind") == "in") & first).cast("int"))
@@ -70,7 +89,7 @@ def family_scores(best: DataFrame) -> DataFrame:
     return rolled.select("hlg", "gcl", "mmi", F.when(F.col("bare") == 0, F.col("mmp")).alias("mmp"))
 
 
-def lost_genomes(algn: DataFrame, members: DataFrame, missing: DataFrame, least_evidence: float = 0.5, kind: str = "array<bigint>") -> DataFrame:
+def lost_genomes(algn: DataFrame | Aligner, members: DataFrame, missing: DataFrame, least_evidence: float = 0.5, kind: str = "array<bigint>") -> DataFrame:
     """hlg, lost: missing genomes of which a gene stands before a member's hits are complete, by identity, in any group.
 
     missing: (hlg, ome). Only scans that complete are evidence, and a family needs it for ``least_evidence`` of its groups.
