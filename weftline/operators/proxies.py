@@ -14,10 +14,11 @@ FAMILY = ("hlg", "hg")
 
 
 class Aligner(NamedTuple):
-    """Alignments that are made as they are asked for, so that most of all pairs never are: ``within(members)`` (hlg, hg, q, s, ...) of genes of a
-    family's group, and ``reaching(bars, score)`` (hg, q, s, ...), with all whose query has a bar (hg, gene, bar) that they reach."""
+    """Alignments that are made as they are asked for, so that most of all pairs never are: ``bests(members, score)`` (hlg, hg, q, s_ome, best), the best
+    score of each member with those of its family's group in each other genome; and ``reaching(bars, score)`` (hg, q, s, ...), with all whose
+    query has a bar (hg, gene, bar) that they reach."""
 
-    within: Callable[[DataFrame], DataFrame]
+    bests: Callable[[DataFrame, str], DataFrame]
     reaching: Callable[[DataFrame, str], DataFrame]
 
 
@@ -44,10 +45,9 @@ def hits_until_complete(algn: DataFrame | Aligner, members: DataFrame, score: st
 
     # A scan ends at the worst of its genomes' best scores; what lies below needn't be sorted. Alignments are read twice for this.
     if isinstance(algn, Aligner):
-        inside = algn.within(members.join(sizes, [*FAMILY], "left_semi")).where("q_ome <> s_ome").join(sizes, [*FAMILY])
+        best = algn.bests(members.join(sizes, [*FAMILY], "left_semi"), score).join(sizes, [*FAMILY])
     else:
-        inside = met(queries, algn).where("kind = 'in'")
-    best = inside.groupBy(*FAMILY, "q", "n", "s_ome").agg(F.max(score).alias("best"))
+        best = met(queries, algn).where("kind = 'in'").groupBy(*FAMILY, "q", "n", "s_ome").agg(F.max(score).alias("best"))
     ends = best.groupBy(*FAMILY, "q", "n").agg(F.min("best").alias("bar"), F.count("best").alias("k")).where("k >= n - 1").select(*FAMILY, "q", "bar")
     asked = known(queries.join(ends, [*FAMILY, "q"], "left"))
     if isinstance(algn, Aligner):
