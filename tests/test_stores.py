@@ -164,3 +164,20 @@ def test_taxa(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c"), (6, "c"), (7, "c")], "ome int, phylum string")
     assert sorted(r.ome for r in filters.populous_taxa(df, "phylum", 1).collect()) == [1, 2, 5, 6, 7]
     assert [tuple(r) for r in filters.taxa_by_size(df, "phylum").orderBy("place").collect()] == [("b", 1, 0), ("a", 2, 1), ("c", 3, 2)]
+
+
+def test_the_store_holds_what_blocks_ask_for(spark, monkeypatch, tmp_path):
+    """Alignments of loci of one block: a quarter of all."""
+    from weftline.plans import stores
+
+    rng, rows = random.Random(2), []
+    spark.createDataFrame([(g, [rng.uniform(0, 1) for _ in range(3)], g % 2) for g in range(80)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    keep = similarity.alignment_store
+
+    def kept(identities, *more):
+        rows.extend((r.lo, r.hi) for r in identities.collect())
+        return keep(identities, *more)
+
+    monkeypatch.setattr(similarity, "alignment_store", kept)
+    assert stores.stored_similarity(spark, str(tmp_path)).count()
+    assert sorted(rows) == [(a, b) for a in range(80) for b in range(a + 1, 80) if a % 2 == b % 2 and a // 5 % 4 == b // 5 % 4]
